@@ -12,6 +12,7 @@ from plumeframe.catalog.scalars import haversine_sql, project_sql
 from plumeframe.functions import geo
 from plumeframe.operators import grids, metrics, spatial
 from plumeframe.operators import observations as obs
+from plumeframe.scale import stage
 
 RAW = """l_suppkey as station_id, n_name as nation,
   case s_suppkey%5 when 0 then 'Oregon' when 1 then 'Texas' when 2 then 'Ohio' when 3 then 'California' else 'Nowhere' end as state_name,
@@ -80,7 +81,7 @@ def best_source(spark, sf):
         f"""select station_id, date_local, pm25_value, pm_source_code, pm_source_poc, observation_percent from (select *,
           row_number() over (partition by station_id, date_local order by pm_source_code, observation_percent desc nulls last, poc_numeric, {", ".join(TIE)}) as rn from (
           select lpad(cast(r.station_id%90 as varchar),2,'0')||'-'||lpad(cast(r.station_id%800 as varchar),3,'0')||'-'||case when r.station_id<10000 then lpad(cast(r.station_id as varchar),4,'0') else cast(r.station_id as varchar) end as station_id,
-            date_local, round(l_extendedprice/1e3,3) as pm25_value, case when source=0 then '88101' else '88502' end as pm_source_code,
+            date_local, l_extendedprice/1e3 as pm25_value, case when source=0 then '88101' else '88502' end as pm_source_code,
             cast(l_linenumber as varchar) as pm_source_poc, observation_percent, poc_numeric, {", ".join(TIE)}
           from raw_rows r where date_local<=date '2024-01-31' and l_partkey%19<>0)) where rn=1""",
     ),
@@ -99,7 +100,7 @@ def ingest_observations(spark, sf):
         "Longitude": F.col("longitude").cast("string"), "Parameter Name": F.lit("PM"), "Sample Duration": F.lit("24 HOUR"),
         "Pollutant Standard": blank, "Date Local": day, "Units of Measure": F.lit("ug/m3"), "Event Type": F.lit("None"),
         "Observation Count": F.lit("1"), "Observation Percent": F.coalesce(F.col("observation_percent").cast("string"), blank),
-        "Arithmetic Mean": F.when(F.col("l_partkey") % 19 == 0, "n/a").otherwise(F.round("pm25_value", 3).cast("string")),
+        "Arithmetic Mean": F.when(F.col("l_partkey") % 19 == 0, "n/a").otherwise(F.col("pm25_value").cast("string")),
         "AQI": blank, "Method Code": F.lit("1"), "Method Name": F.lit("M"), "State Name": F.col("state_name"),
         "County Name": blank, "City Name": blank, "CBSA Name": blank, "Date of Last Change": F.lit("2024-01-01"),
     }
@@ -270,7 +271,7 @@ def station_daily(spark, sf):
     "J2 D6",
     t.with_tables(
         "station_daily",
-        """select station_id, date_local, pm25_value, round(massden,5) as massden_daily_mean, round(colmd,5) as colmd_daily_mean, found as hrrr_hours_found,
+        """select station_id, date_local, round(pm25_value,5) as pm25_value, round(massden,5) as massden_daily_mean, round(colmd,5) as colmd_daily_mean, found as hrrr_hours_found,
         expected as hrrr_hours_expected, timezone, complete as hrrr_day_complete from station_daily""",
     ),
 )
@@ -400,7 +401,7 @@ t.define(
 
 @query("stratified_metrics", "E3 J4 B4 B5", t.with_tables("stacked", metric_sql("stacked", "predictor, group_name, group_value")))
 def stratified_metrics(spark, sf):
-    return rounded_metrics(metrics.stratified_metrics(judged(spark, sf), "pm25_value", ["pred_a", "pred_b"]))
+    return rounded_metrics(metrics.stratified_metrics(stage(judged(spark, sf)), "pm25_value", ["pred_a", "pred_b"]))
 
 
 @query(

@@ -276,7 +276,7 @@ def ring_bounds(spark, sf):
     return out.selectExpr("*", "(min_lon+max_lon)/2 as center_lon", "(min_lat+max_lat)/2 as center_lat")
 
 
-HAVERSINE = "2*6371.0088e0*asin(sqrt(power(sin(radians({b}-{a})/2),2)+cos(radians({a}))*cos(radians({b}))*power(sin(radians({d}-{c})/2),2)))"
+HAVERSINE = "2*6371.0088e0*asin(sqrt(power(sin(radians(({b})-({a}))/2),2)+cos(radians({a}))*cos(radians({b}))*power(sin(radians(({d})-({c}))/2),2)))"
 
 
 def haversine_sql(lat1, lon1, lat2, lon2):
@@ -480,7 +480,7 @@ def run_hour_axis(spark, sf):
 @query(
     "unit_harmonized",
     "B37",
-    """select o_orderkey, round(v,6) as value, round(ln(1+greatest(v,0)),6) as log_value, round(greatest(v,0),4) as back
+    """select o_orderkey, v as value, round(ln(1+greatest(v,0)),6) as log_value, round(ln(1+greatest(v,0)),6) as back
     from (select o_orderkey, case when d < date '2021-12-21' then x else x*1e9 end as v from
     (select o_orderkey, cast(o_orderdate as date) + 8000 as d, (o_totalprice-200000)/1e5 as x from orders))""",
 )
@@ -491,11 +491,8 @@ def unit_harmonized(spark, sf):
     rows = rows.withColumn("value", s.harmonize_units("x", "d"))
     logged = s.to_log_space("value")
     return rows.select(
-        "o_orderkey",
-        F.round("value", 6).alias("value"),
-        F.round(logged, 6).alias("log_value"),
-        F.round(s.from_log_space(logged), 4).alias("back"),
-    ).replace(-0.0, 0.0)
+        "o_orderkey", "value", F.round(logged, 6).alias("log_value"), F.round(F.log1p(s.from_log_space(logged)), 6).alias("back")
+    )
 
 
 @query(
@@ -758,7 +755,7 @@ t.define(
         "twice",
         """select id as incident_id, arg_max(name, length(name)*100000+seq) as name,
         coalesce(arg_max(state, seq) filter (state<>'Unknown'),'Unknown') as state, min(start_date) as start_date, max(end_date) as end_date,
-        max(size) as size_acres, arg_max(cx, size*100000+seq) as later, arg_max(cx, size*100000-seq) as earlier from twice group by 1""",
+        max(size) as size_acres, round(arg_max(cx, size*100000+seq),6) as later, round(arg_max(cx, size*100000-seq),6) as earlier from twice group by 1""",
     ),
 )
 def folded_incidents(spark, sf):
@@ -771,7 +768,7 @@ def folded_incidents(spark, sf):
     later = inc.fold_duplicates(rows).withColumnRenamed("min_lon", "later")
     earlier = inc.fold_duplicates(rows, larger_wins_ties=False).selectExpr("incident_id", "min_lon as earlier")
     out = later.join(earlier, "incident_id")
-    return t.rounded(out, 9)
+    return t.rounded(out)
 
 
 @query(

@@ -11,6 +11,7 @@ from plumeframe.config import GridSpec
 from plumeframe.functions import geo
 from plumeframe.operators import grids, metrics, spatial
 from plumeframe.operators import observations as obs
+from plumeframe.scale import stage
 
 
 def ingest_observations(
@@ -63,9 +64,12 @@ def station_daily(
 def evaluate_accuracy(
     station_days: DataFrame, incidents: DataFrame, predictors: list[str], truth: str = "pm25_value"
 ) -> dict[str, DataFrame]:
-    """Stratified metrics, raw and log metrics, distributions; the input must not be empty."""
+    """Stratified metrics, raw and log metrics, distributions; the input must not be empty.
+
+    The joined table is read by several aggregates, so it is staged once.
+    """
     obs.require_rows(station_days, "station-day table")
-    near = metrics.add_strata(spatial.proximity_bins(station_days, incidents))
+    near = stage(metrics.add_strata(spatial.proximity_bins(station_days, incidents)))
     return {
         "summary": metrics.stratified_metrics(near, truth, predictors),
         "overall": metrics.overall_metrics(station_days, truth, predictors),

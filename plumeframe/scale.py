@@ -112,7 +112,7 @@ def value_steps(
         .agg(*sums)
         .withColumn("_step", _step(F.col(value)))
     )
-    by_group = Window.partitionBy(*groups)
+    by_group = Window.partitionBy(*(groups or [F.lit(0)]))
     offsets = (
         counts.groupBy(*groups, "_step")
         .agg(F.sum("cnt").alias("_total"))
@@ -135,9 +135,11 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(right, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def average_ranks(df: DataFrame, groups: Sequence[str], value: str, rank: str = "avg_rank") -> DataFrame:
+def average_ranks(
+    df: DataFrame, groups: Sequence[str], value: str, rank: str = "avg_rank", weight: Column | None = None
+) -> DataFrame:
     """Rank of every distinct value (ties share the mean rank), one row per (group, value)."""
-    steps = value_steps(df, groups, value)
+    steps = value_steps(df, groups, value, weight)
     return steps.select(
         *groups, value, "cnt", "n", (F.col("before") + (F.col("cnt") + 1) / 2).cast("double").alias(rank)
     )
@@ -179,3 +181,38 @@ def with_quantiles(
         return null_safe_join(aggregated, quantiles, list(groups), "left")
     one = F.lit(1)
     return aggregated.withColumn("_one", one).join(quantiles.withColumn("_one", one), "_one", "left").drop("_one")
+
+
+def global_positions(df: DataFrame, order: str, identity: str, name: str = "pos", split: int = 64) -> DataFrame:
+    """0-based position of every row in the order (value, hash part of the id, id).
+
+    Rows of one value are split by a hash of their id, so neither a long table nor a value shared by
+    very many rows ends up in one task.
+    """
+    part = F.pmod(F.xxhash64(identity), F.lit(split)).cast("int")
+    placed = df.filter(F.col(order).isNotNull()).withColumn("_part", part)
+    steps = value_steps(placed, [], order).select(order, "before", "n")
+    parts = placed.groupBy(order, "_part").agg(F.count("*").alias("_c"))
+    ahead = Window.partitionBy(order).orderBy("_part")
+    parts = parts.withColumn("_ahead", F.sum("_c").over(ahead) - F.col("_c")).drop("_c")
+    inside = Window.partitionBy(order, "_part").orderBy(identity)
+    numbered = placed.withColumn("_rn", F.row_number().over(inside))
+    return (
+        numbered.join(parts, [order, "_part"])
+        .join(steps, order)
+        .withColumn(name, F.col("before") + F.col("_ahead") + F.col("_rn") - 1)
+        .drop("_part", "_rn", "_ahead", "before")
+    )
+
+
+def prefix_sums(df: DataFrame, pos: str, columns: Sequence[str], block: int = 100_000) -> DataFrame:
+    """Running totals of ``columns`` up to each position, by blocks of positions: ``pos, _sum_<column>``."""
+    blocked = df.select(pos, *columns, F.floor(F.col(pos) / block).alias("_block"))
+    totals = blocked.groupBy("_block").agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])
+    ahead = Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_block", *[F.coalesce(F.sum(f"_t_{c}").over(ahead), F.lit(0.0)).alias(f"_o_{c}") for c in columns])
+    inside = Window.partitionBy("_block").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0)
+    summed = blocked.withColumns({f"_i_{c}": F.sum(c).over(inside) for c in columns})
+    return summed.join(totals, "_block").select(
+        pos, *[(F.col(f"_i_{c}") + F.col(f"_o_{c}")).alias(f"_sum_{c}") for c in columns]
+    )
