@@ -105,23 +105,22 @@ def ring_edges(rings: Column | str) -> Column:
 
 
 def strictly_inside(x: Column | str, y: Column | str, edges: Column | str) -> Column:
-    """Even-odd test over edges, holes included; a point on an edge is outside."""
-    x, y, edges = _col(x), _col(y), _col(edges)
-
-    def cross(e: Column) -> Column:
-        return (e["x2"] - e["x1"]) * (y - e["y1"]) - (x - e["x1"]) * (e["y2"] - e["y1"])
+    """Even-odd test over edges, holes included; a point on an edge is outside.
 
-    def crosses(e: Column) -> Column:
-        spans = (e["y1"] > y) != (e["y2"] > y)
-        return spans & ((e["y2"] > e["y1"]) == (cross(e) > 0))
+    One pass over the edges: state 0 or 1 is the parity so far, 2 means the point lies on an edge.
+    """
+    x, y, edges = _col(x), _col(y), _col(edges)
 
-    def touches(e: Column) -> Column:
-        in_x = x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
-        in_y = y.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]))
-        return (cross(e) == 0) & in_x & in_y
+    def step(state: Column, e: Column) -> Column:
+        low, high = F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])
+        cross = (e["x2"] - e["x1"]) * (y - e["y1"]) - (x - e["x1"]) * (e["y2"] - e["y1"])
+        touches = (cross == 0) & x.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
+        crosses = (y < high) & ((e["y2"] > e["y1"]) == (cross > 0))
+        return (
+            F.when((state == 2) | (y < low) | (y > high), state).when(touches, 2).when(crosses, 1 - state).otherwise(state)
+        )
 
-    odd = F.size(F.filter(edges, crosses)) % 2 == 1
-    return odd & ~F.exists(edges, touches)
+    return F.aggregate(edges, F.lit(0), step) == 1
 
 
 def polygon_acres(rings: Column | str) -> Column:

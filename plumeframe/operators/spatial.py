@@ -25,8 +25,11 @@ def incident_cells(incidents: DataFrame, pad_days: int | None, cell: float = CEL
     Each row keeps the edges a ray running east from the cell can meet, so a large perimeter is
     not carried whole into every cell.
     """
+    # Perimeters come from few files; spread them before they are cut into cells.
+    tasks = int(incidents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = (
-        incidents.withColumn("_edges", geo.ring_edges("rings"))
+        incidents.repartition(tasks, "incident_id")
+        .withColumn("_edges", geo.ring_edges("rings"))
         .withColumn(
             "_cx",
             F.explode(F.sequence(F.floor(F.col("min_lon") / cell).cast("int"), F.floor(F.col("max_lon") / cell).cast("int"))),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeframe.functions.scalars import progress_bin, ratio
-from plumeframe.scale import global_positions, prefix_sums, with_quantiles
+from plumeframe.scale import positions, prefix_sums, with_quantiles
 
 META = ("size_acres", "size_bucket", "active_window_days")
 
@@ -279,7 +279,7 @@ def rolling_smooth(
     kept = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         identity, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
     )
-    placed = global_positions(kept, "x", identity)
+    placed = positions(kept, [], "x", identity)
     n = F.col("n")
     window = F.greatest(F.lit(min_window), F.floor(n * frac).cast("int"))
     window = window + F.when(window % 2 == 0, 1).otherwise(0)

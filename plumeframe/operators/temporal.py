@@ -215,7 +215,7 @@ def covering_granule(
 
 def channel_sets(granules: DataFrame, channels: Sequence[str], time: str = "start_ts") -> DataFrame:
     """Times at which every channel is present, one key column per channel."""
-    keys = [F.max_by(F.when(F.col("channel") == c, F.col("granule_key")), F.when(F.col("channel") == c, F.col("granule_key"))).alias(f"key_{c}") for c in channels]
+    keys = [F.max(F.when(F.col("channel") == c, F.col("granule_key"))).alias(f"key_{c}") for c in channels]
     out = granules.filter(F.col("channel").isin(*channels)).groupBy(time).agg(*keys)
     for c in channels:
         out = out.filter(F.col(f"key_{c}").isNotNull())
@@ -249,7 +249,10 @@ def schedule(spark, start: dt.datetime, end: dt.datetime, step_minutes: int, max
         raise ValueError("step must be > 0")
     count = int((end - start).total_seconds() // (step_minutes * 60)) + 1
     frames = count if not 0 < max_frames < count else max_frames
-    position = F.col("id") if frames == count else F.floor(F.col("id") * (count - 1) / max(frames - 1, 1))
+    position = F.col("id")
+    if frames != count:
+        step = (count - 1) / max(frames - 1, 1)
+        position = F.when(F.col("id") == frames - 1, count - 1).otherwise(F.floor(F.col("id") * step)).cast("bigint")
     first = F.unix_seconds(F.lit(start).cast("timestamp"))
     return spark.range(frames).select(
         F.col("id").cast("int").alias("frame"),

@@ -183,23 +183,28 @@ def with_quantiles(
     return aggregated.withColumn("_one", one).join(quantiles.withColumn("_one", one), "_one", "left").drop("_one")
 
 
-def global_positions(df: DataFrame, order: str, identity: str, name: str = "pos", split: int = 64) -> DataFrame:
-    """0-based position of every row in the order (value, hash part of the id, id).
+def positions(
+    df: DataFrame, groups: Sequence[str], order: str, identity: str, name: str = "pos", split: int = 64
+) -> DataFrame:
+    """0-based position of every row in its group, in the order (value, hash part of the id, id), and
+    the group size ``n``.
 
-    Rows of one value are split by a hash of their id, so neither a long table nor a value shared by
+    Rows of one value are split by a hash of their id, so neither a long group nor a value shared by
     very many rows ends up in one task.
     """
+    groups = list(groups)
     part = F.pmod(F.xxhash64(identity), F.lit(split)).cast("int")
     placed = df.filter(F.col(order).isNotNull()).withColumn("_part", part)
-    steps = value_steps(placed, [], order).select(order, "before", "n")
-    parts = placed.groupBy(order, "_part").agg(F.count("*").alias("_c"))
-    ahead = Window.partitionBy(order).orderBy("_part")
+    at = [*groups, order]
+    steps = value_steps(placed, groups, order).select(*at, "before", "n")
+    parts = placed.groupBy(*at, "_part").agg(F.count("*").alias("_c"))
+    ahead = Window.partitionBy(*at).orderBy("_part")
     parts = parts.withColumn("_ahead", F.sum("_c").over(ahead) - F.col("_c")).drop("_c")
-    inside = Window.partitionBy(order, "_part").orderBy(identity)
+    inside = Window.partitionBy(*at, "_part").orderBy(identity)
     numbered = placed.withColumn("_rn", F.row_number().over(inside))
     return (
-        numbered.join(parts, [order, "_part"])
-        .join(steps, order)
+        numbered.join(parts, [*at, "_part"])
+        .join(steps, at)
         .withColumn(name, F.col("before") + F.col("_ahead") + F.col("_rn") - 1)
         .drop("_part", "_rn", "_ahead", "before")
     )
