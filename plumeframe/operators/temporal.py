@@ -31,6 +31,24 @@ def _hours(start: Column, end: Column) -> Column:
     return F.explode(F.sequence(first, last, F.expr("INTERVAL 1 HOUR")))
 
 
+def hour_steps(
+    cadence_after_72h: int = 1, cap: int | None = None, sample_hours: Sequence[int] | None = None, max_scanned: int | None = None
+) -> Column:
+    """Kept hour offsets of an incident window (``start_ts``, ``end_ts``) as an array."""
+    start, end = hour_floor("start_ts"), hour_floor("end_ts")
+    count = F.greatest(F.floor((F.unix_seconds(end) - F.unix_seconds(start)) / 3600) + 1, F.lit(0))
+    if max_scanned is not None:
+        count = F.least(count, F.lit(max_scanned))
+    count = count.cast("bigint")
+    steps = F.when(count > 0, F.sequence(F.lit(0).cast("bigint"), count - 1)).otherwise(F.array().cast("array<bigint>"))
+    if cadence_after_72h == 2:
+        steps = F.filter(steps, lambda i: (i <= 72) | (i % 2 == 0))
+    if sample_hours is not None:
+        allowed = [int(h) for h in sample_hours]
+        steps = F.filter(steps, lambda i: ((F.hour(start) + i) % 24).isin(allowed))
+    return F.slice(steps, 1, cap) if cap is not None else steps
+
+
 def incident_hours(
     incidents: DataFrame,
     cadence_after_72h: int = 1,
@@ -38,30 +56,31 @@ def incident_hours(
     sample_hours: Sequence[int] | None = None,
     max_scanned: int | None = None,
 ) -> DataFrame:
-    """Hours of every incident window (``start_ts``, ``end_ts``), thinned and capped.
+    """Hours of every incident window, thinned and capped.
 
     After hour 72 of a window a cadence of 2 keeps even hours only; ``sample_hours`` keeps these
     hours of day; ``max_scanned`` looks at the first hours only; ``cap`` keeps the first kept ones.
     The axis is a row-local array, so a long window costs one row's sequence, not a shuffle.
     """
-    start, end = hour_floor("start_ts"), hour_floor("end_ts")
-    count = (F.unix_seconds(end) - F.unix_seconds(start)) / 3600 + 1
-    count = F.greatest(F.floor(count), F.lit(0))
-    if max_scanned is not None:
-        count = F.least(count, F.lit(max_scanned))
-    steps = F.when(count > 0, F.sequence(F.lit(0).cast("bigint"), count - 1)).otherwise(F.array().cast("array<bigint>"))
-    if cadence_after_72h == 2:
-        steps = F.filter(steps, lambda i: (i <= 72) | (i % 2 == 0))
-    if sample_hours is not None:
-        allowed = [int(h) for h in sample_hours]
-        steps = F.filter(steps, lambda i: ((F.hour(start) + i) % 24).isin(allowed))
-    if cap is not None:
-        steps = F.slice(steps, 1, cap)
+    steps = hour_steps(cadence_after_72h, cap, sample_hours, max_scanned)
     return incidents.withColumn("hour_index", F.explode(steps)).withColumn(
-        "run_time", F.timestamp_seconds(F.unix_seconds(start) + F.col("hour_index") * 3600)
+        "run_time", F.timestamp_seconds(F.unix_seconds(hour_floor("start_ts")) + F.col("hour_index") * 3600)
     )
 
 
+def day_steps(
+    run_start: dt.date, run_end: dt.date, require_next_day: bool, cap: int | None = None, max_days: int | None = None
+) -> Column:
+    """Kept days of an incident (``start_date``, ``end_date``) inside the run as an array."""
+    last = F.least(F.col("end_date"), F.lit(run_end))
+    if require_next_day:
+        last = F.least(last, F.date_sub(F.lit(run_end), 1))
+    first = F.greatest(F.col("start_date"), F.lit(run_start))
+    days = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<date>"))
+    limits = [x for x in (cap, max_days) if x is not None]
+    return F.slice(days, 1, min(limits)) if limits else days
+
+
 def incident_days(
     incidents: DataFrame,
     run_start: dt.date,
@@ -71,15 +90,7 @@ def incident_days(
     max_days: int | None = None,
 ) -> DataFrame:
     """Days of every incident inside the run; without the run's last day when a next-day label is needed."""
-    last = F.least(F.col("end_date"), F.lit(run_end))
-    if require_next_day:
-        last = F.least(last, F.date_sub(F.lit(run_end), 1))
-    first = F.greatest(F.col("start_date"), F.lit(run_start))
-    days = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<date>"))
-    limits = [x for x in (cap, max_days) if x is not None]
-    if limits:
-        days = F.slice(days, 1, min(limits))
-    return incidents.withColumn("day", F.explode(days))
+    return incidents.withColumn("day", F.explode(day_steps(run_start, run_end, require_next_day, cap, max_days)))
 
 
 def daily_panel(incidents: DataFrame, daily: DataFrame, max_days: int | None = None) -> DataFrame:
