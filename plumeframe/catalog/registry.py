@@ -8,7 +8,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("detections", "scalars", "observations")
+MODULES = (
+    "detections", "scalars", "observations", "stability", "overpass", "granules", "linkage", "grids", "models", "sets",
+    "incremental", "reports",
+)
 
 
 @dataclass(frozen=True)

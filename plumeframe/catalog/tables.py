@@ -7,11 +7,13 @@ with them.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumeframe.config import GridSpec
+from plumeframe.scale import ensure_checkpoint_dir
 
 GRID = GridSpec(x0=-2400000.0, y0=-900000.0, dx=200000.0, dy=200000.0, nx=14, ny=12)
 RUN_START, RUN_END = dt.date(2024, 1, 1), dt.date(2024, 1, 31)
@@ -42,6 +44,12 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     )
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared checkpoint folder, for queries that write and read back."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 # ---- detections ------------------------------------------------------------------------------
 
 CONFIDENCE = (
