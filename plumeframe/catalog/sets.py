@@ -158,12 +158,8 @@ def report_files(spark, sf):
     sinks.write_report({"incidents": table, "summary": summary}, folder, ["summary"], {"incidents": ["incident_id"]})
     schema = "incident_id bigint, pixels_in_window_anyconf bigint, frp_sum_in_window double"
     rows = spark.read.schema(schema).option("header", True).csv(f"{folder}/incidents")
-    count = spark.read.schema("incidents bigint").json(f"{folder}/summary")
-    whole = rows.join(count.filter("incidents > 0").withColumn("_k", F.lit(1)).select("_k"), F.lit(1) == F.col("_k"), "left_semi")
-    return t.rounded(whole, 3)
-
-
-t.define("tensor_cells", "select * from cells where value is not null", ["cells"])
+    count = spark.read.schema("incidents bigint").json(f"{folder}/summary").agg(F.sum("incidents")).scalar()
+    return t.rounded(rows.filter(count > 0), 3)
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeframe.functions.scalars import confidence_class, progress_bin, ratio, relative_progress, size_bucket
-from plumeframe.scale import with_quantiles
+from plumeframe.scale import beside, with_quantiles
 
 
 def active_window_days():
@@ -112,8 +112,7 @@ def grouped_pixel_stats(pixels: DataFrame, groups: Sequence[str], count_incident
 
 def overall_summary(stats: DataFrame, pixels: DataFrame) -> DataFrame:
     """One row over all incidents and all in-window pixels."""
-    one = F.lit(1).alias("_one")
-    per_incident = stats.groupBy(one).agg(
+    per_incident = stats.agg(
         F.count("*").alias("fire_count"),
         F.count_if(F.col("pixels_in_window_anyconf") > 0).alias("fires_with_any_pixels"),
         F.avg("pixels_in_window_anyconf").alias("mean_pixels_per_fire"),
@@ -122,7 +121,7 @@ def overall_summary(stats: DataFrame, pixels: DataFrame) -> DataFrame:
         ),
     )
     per_incident = with_quantiles(
-        per_incident.drop("_one"),
+        per_incident,
         stats,
         [],
         {
@@ -141,7 +140,7 @@ def overall_summary(stats: DataFrame, pixels: DataFrame) -> DataFrame:
         [],
         {"frp_median_pixel": ("frp", 0.5), "frp_p90_pixel": ("frp", 0.9), "frp_p99_pixel": ("frp", 0.99)},
     )
-    return per_incident.withColumn("_one", F.lit(1)).join(per_pixel.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return beside(per_incident, per_pixel)
 
 
 def top_incidents(stats: DataFrame, by: str, k: int = 25, min_pixels: int = 0) -> DataFrame:

@@ -171,14 +171,16 @@ def proximity_bins(
         .withColumn("_radius", geo.bbox_radius_km("min_lon", "min_lat", "max_lon", "max_lat"))
     )
     stations = observations.select("station_id", "date_local", "latitude", "longitude")
-    narrow = F.cos(F.radians(F.least(stations.agg(F.max(F.abs("latitude"))).scalar() + 3.0, F.lit(85.0))))
     reach = daily.groupBy("day").agg(
         F.cos(F.radians(F.avg("_clat"))).alias("_scale"), F.max("_radius").alias("_max_radius")
     )
-    # A relevant centre is within far_km + radius; lon degrees shrink with latitude, so the planar
-    # reach is widened by the ratio of the two scales.
+    # A relevant centre is within far_km + radius of the station. A great circle of that length spans
+    # no more than that in latitude and, at the highest latitude in play, its ratio in longitude; the
+    # day's plane stretches longitude by at most the ratio of the two cosines.
     degrees = (F.lit(far_km) + F.col("_max_radius")) / KM_PER_DEGREE
-    reach = reach.withColumn("_reach", degrees * F.sqrt(1 + F.pow(F.col("_scale") / narrow, F.lit(2.0))) * 1.02)
+    highest = stations.agg(F.max(F.abs("latitude"))).scalar()
+    narrow = F.cos(F.radians(F.least(highest + degrees, F.lit(85.0))))
+    reach = reach.withColumn("_reach", degrees * F.greatest(F.col("_scale") / narrow, F.lit(1.0)) * 1.05)
     cell = 1.0
     spread = daily.join(reach, "day")
     lon_reach = F.col("_reach") / F.col("_scale")

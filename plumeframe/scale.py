@@ -179,8 +179,13 @@ def with_quantiles(
     quantiles = exact_quantiles(rows, groups, wanted)
     if groups:
         return null_safe_join(aggregated, quantiles, list(groups), "left")
-    one = F.lit(1)
-    return aggregated.withColumn("_one", one).join(quantiles.withColumn("_one", one), "_one", "left").drop("_one")
+    return beside(aggregated, quantiles)
+
+
+def beside(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Columns of a one-row table next to those of another: stacked, then the value of each column."""
+    both = one.unionByName(other, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
 def positions(
