@@ -123,6 +123,15 @@ def distinct_stations(spark, sf):
     return obs.distinct_stations(raw_rows(spark, sf))
 
 
+@query(
+    "duplicate_station_days",
+    "L2 G2",
+    t.with_tables("raw_rows", "select station_id, date_local, count(*) as n from raw_rows group by 1,2 having count(*)>1"),
+)
+def duplicate_station_days(spark, sf):
+    return obs.duplicate_keys(raw_rows(spark, sf), ["station_id", "date_local"])
+
+
 # ---- fields ----------------------------------------------------------------------------------
 
 G = t.GRID

@@ -95,7 +95,8 @@ def nearest_index(points: DataFrame, value: str, axis: DataFrame, name: str = "a
     """Nearest index on any axis table (``axis_index, axis_value``); ties go to the larger value.
 
     The axis becomes half-open intervals between midpoints; intervals and points meet on a coarse
-    bin of the value, the bin width coming from the axis itself.
+    bin of the value, the bin width coming from the axis itself. Only the axis (one row per grid
+    line) is ordered in one place.
     """
     w = Window.partitionBy(F.lit(0)).orderBy("axis_value")
     ends = axis.agg(F.struct(F.min("axis_value").alias("lo"), F.max("axis_value").alias("hi")).alias("e")).scalar()

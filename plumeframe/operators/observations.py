@@ -81,12 +81,16 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
+def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that occur more than once, with their count."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+
+
 def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Raise when a key occurs twice."""
-    repeated = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1")
-    row = repeated.agg(F.sum(F.col("_n") - 1).alias("n")).first()
-    if row["n"]:
-        raise ValueError(f"{row['n']} duplicate {'/'.join(keys)} keys; expected one row each")
+    extra = duplicate_keys(df, keys).agg(F.sum(F.col("n") - 1).alias("n")).first()["n"]
+    if extra:
+        raise ValueError(f"{extra} duplicate {'/'.join(keys)} keys; expected one row each")
     return df
 
 

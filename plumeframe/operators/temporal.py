@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeframe.functions.scalars import hour_floor, progress_bin, relative_progress, size_bucket
-from plumeframe.scale import top_rows
+from plumeframe.scale import top_rows, value_steps
 
 
 def hour_axis(spark, start: dt.date, end: dt.date) -> DataFrame:
@@ -305,16 +305,18 @@ def carry_forward(slots: DataFrame, value: str, by: Sequence[str] = (), order: s
 def slot_targets(detections: DataFrame, start: dt.datetime, end: dt.datetime, hold_hours: int, slots: int) -> DataFrame:
     """Target time of every slot: its middle daytime detection, else its middle.
 
-    The middle detection is found by counts per minute-exact time, not by ordering all detections.
+    The middle one is found by running counts over distinct times, spread over tasks within a slot.
     """
-    day = detections.filter(F.col("daynight") == "D").withColumn("slot", slot_of(F.col("acq_ts"), start, hold_hours, slots))
-    times = day.groupBy("slot", "acq_ts").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy("slot").orderBy("acq_ts").rowsBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy("slot")
-    times = times.withColumn("_upto", F.sum("_n").over(w)).withColumn("_middle", F.floor(F.sum("_n").over(total) / 2))
-    middle = (
-        times.filter((F.col("_upto") > F.col("_middle")) & (F.col("_upto") - F.col("_n") <= F.col("_middle")))
-        .select("slot", F.col("acq_ts").alias("_mid"))
+    begin_us = F.unix_micros(F.lit(start).cast("timestamp")) + F.col("slot") * hold_hours * 3_600_000_000
+    day = (
+        detections.filter(F.col("daynight") == "D")
+        .withColumn("slot", slot_of(F.col("acq_ts"), start, hold_hours, slots))
+        .withColumn("_off", F.unix_micros("acq_ts") - begin_us)
+    )
+    steps = value_steps(day, ["slot"], "_off")
+    place = F.floor(F.col("n") / 2)
+    middle = steps.filter((F.col("before") <= place) & (place < F.col("before") + F.col("cnt"))).select(
+        "slot", F.timestamp_micros(begin_us + F.col("_off")).alias("_mid")
     )
     hold = hold_hours * 3600
     first = F.unix_seconds(F.lit(start).cast("timestamp"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 2_000_000
-STEPS_PER_OCTAVE = 64
+STEPS_PER_OCTAVE = 4096
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -100,7 +100,7 @@ def value_steps(
 
     ``n`` is the group size. ``extra`` adds more sums per distinct value. Rows are pre-aggregated to
     distinct values; these are spread by (group, step) and the running total over steps is a
-    window over the few steps of a group, never over its rows.
+    window over the steps of a group (4096 per doubling of the value), never over its rows.
     """
     groups = list(groups)
     weight = F.lit(1) if weight is None else weight

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from plumeframe.functions.scalars import acquisition_time, hour_floor, missing_to_null, unquote
 from plumeframe.operators.incidents import latest_index
 from plumeframe.operators.observations import RAW_COLUMNS, require_columns
+from plumeframe.scale import stage
 
 DETECTION_SCHEMA = T.StructType(
     [
@@ -131,13 +132,8 @@ def read_detections(
 
 
 def add_detection_id(detections: DataFrame) -> DataFrame:
-    """Identity of a detection from its own values, so that it survives a re-read; equal rows are numbered."""
-    from pyspark.sql import Window
-
-    values = [c for c in ("acq_ts", "lon", "lat", "frp", "confidence", "daynight") if c in detections.columns]
-    same = Window.partitionBy(*values).orderBy(F.lit(0))
-    numbered = detections.withColumn("_copy", F.row_number().over(same))
-    return numbered.withColumn("det_id", F.sha2(F.concat_ws("|", *values, "_copy"), 256)).drop("_copy")
+    """Numbers the detections (equal rows stay separate rows) and stages them, so that the numbers hold."""
+    return stage(detections.withColumn("det_id", F.monotonically_increasing_id()))
 
 
 def load_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
