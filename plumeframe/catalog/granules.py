@@ -199,13 +199,13 @@ def slot_growth(spark, sf):
     t.with_tables(
         "slotted granules",
         f"""select slot, last_value(k ignore nulls) over (order by slot rows unbounded preceding) as granule_key from (select cast(range as integer) as slot from range({SLOTS}))
-        left join (select cast(least(floor((epoch(start_ts)-epoch(timestamp '2024-01-01'))/{HOLD * 3600}),{SLOTS - 1}) as integer) as slot, max(granule_key) as k from granules where size_bytes>250000 and o_custkey%5=0 and channel='01' group by 1) using (slot)""",
+        left join (select cast(least(floor((epoch(start_ts)-epoch(timestamp '2024-01-01'))/{HOLD * 3600}),{SLOTS - 1}) as integer) as slot, max(granule_key) as k from granules where size_bytes>495000 and channel='01' group by 1) using (slot)""",
     ),
 )
 def carried_slots(spark, sf):
     found = (
         granules(spark, sf)
-        .filter("size_bytes > 250000 and o_custkey % 5 = 0 and channel = '01'")
+        .filter("size_bytes > 495000 and channel = '01'")
         .groupBy(temporal.slot_of(F.col("start_ts"), T0, HOLD, SLOTS).alias("slot"))
         .agg(F.max("granule_key").alias("granule_key"))
     )

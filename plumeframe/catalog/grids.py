@@ -92,7 +92,7 @@ CHANNELS = (
         "window_hours",
         """, a as (select count(*) as s0, count(*) filter (i<=72 or i%2=0) as s1 from window_hours), c as (select count(*) as s2 from (select row_number() over (partition by incident_id order by i) as rn
           from window_hours where i<=72 or i%2=0) where rn<=60), x as (select *, s0*(6+2)*256*256*2 as b0, s0*(4+2)*256*256*2 as bu, s1*(4+2)*256*256*2 as b1, s2*(4+2)*256*256*2 as b2, cast(0.00003e0*1073741824*s0*30 as bigint) as budget from a, c)
-        select cast(s2 as bigint) as samples, cast(b2 as bigint) as bytes, 'drop_upper_air_and_dzdt,two_hour_cadence_after_72h,cap_samples_per_incident=60' as actions from x""".replace(", a as", "AA as", 1),
+        select cast(s2 as bigint) as samples, cast(b2 as bigint) as bytes, 'drop_upper_air_and_dzdt,two_hour_cadence_after_72h,cap_samples_per_fire=60' as actions from x""".replace(", a as", "AA as", 1),
     ).replace("\nAA as", ", a as"),
 )
 def reduction_plan(spark, sf):

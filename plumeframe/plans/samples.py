@@ -69,7 +69,7 @@ def plan_reduction(
         cadence = 2
         steps.append((upper, cadence, None, "two_hour_cadence_after_72h"))
     cap = rules.cap_samples_per_incident
-    steps.append((upper, cadence, cap, f"cap_samples_per_incident={cap}"))
+    steps.append((upper, cadence, cap, f"cap_samples_per_fire={cap}"))
     counts = count_samples(fires, [(c, k) for _, c, k, _ in steps], sample_hours, daily)
     actions: list[str] = []
     for (include, cadence, limit, action), samples in zip(steps, counts):

@@ -106,6 +106,8 @@ def value_steps(
     weight = F.lit(1) if weight is None else weight
     sums = [F.sum(weight).cast("bigint").alias("cnt")]
     sums += [F.sum(column).alias(name) for name, column in (extra or {}).items()]
+    # One struct as key: NULL group values stay comparable, and join and window share one shuffle.
+    place = F.struct(*groups, "_step").alias("_place")
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*groups, value)
@@ -118,13 +120,14 @@ def value_steps(
         .agg(F.sum("cnt").alias("_total"))
         .withColumn("n", F.sum("_total").over(by_group))
         .withColumn("_offset", F.sum("_total").over(by_group.orderBy("_step")) - F.col("_total"))
-        .select(*groups, "_step", "n", "_offset")
+        .select(place, "n", "_offset")
     )
-    inside = Window.partitionBy(*groups, "_step").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("_place").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
-        null_safe_join(counts, offsets, [*groups, "_step"])
+        counts.withColumn("_place", place)
+        .join(offsets, "_place")
         .withColumn("before", F.col("_offset") + F.sum("cnt").over(inside) - F.col("cnt"))
-        .drop("_offset", "_step")
+        .drop("_offset", "_step", "_place")
     )
 
 
