@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DataType, StructField, StructType
 
 from plumeframe.scale import ensure_checkpoint_dir
 
@@ -31,3 +32,8 @@ def without(df: DataFrame, taken: Iterable[str], keep: Sequence[str] = ()) -> Da
     """Drop input columns that carry the name of an output (names compare without case)."""
     reserved = {c.lower() for c in taken} - {c.lower() for c in keep}
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in reserved])
+
+
+def schema_with(df: DataFrame, **added: str) -> StructType:
+    """The schema of ``df`` with further columns, given by their type's DDL."""
+    return StructType([*df.schema.fields, *[StructField(name, DataType.fromDDL(kind)) for name, kind in added.items()]])

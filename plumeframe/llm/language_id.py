@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumeframe.llm.common import schema_with, without
+
 UNDECIDED = "und"
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST_GRAM = 5
@@ -171,8 +173,7 @@ def train(
 def identify(docs: DataFrame, model: LanguageModel, pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """Add the predicted language of ``text`` and its score; an input column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = [c for c in docs.columns if c.lower() not in (pred.lower(), score.lower())]
-    schema = docs.select(*[docs[f"`{c}`"] for c in keep]).schema.add(pred, "string").add(score, "double")
+    kept = without(docs, (pred, score))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted, memo = shared.value, {}
@@ -183,7 +184,7 @@ def identify(docs: DataFrame, model: LanguageModel, pred: str = "lang_pred", sco
                 names=[*batch.schema.names, pred, score],
             )
 
-    return docs.select(*[docs[f"`{c}`"] for c in keep]).mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema_with(kept, **{pred: "string", score: "double"}))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeframe.llm import language_id, mixing, sharding
+from plumeframe.llm import embedding_dedup, language_id, mixing, pivot_search, sharding
 from plumeframe.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,21 @@ def op1_language_id(spark, sf_dir):
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+_USABLE = "embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+SQL["op4_pivot_search"] = f"""
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as e from embeddings where {_USABLE}),
+s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) as score
+      from v q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e) where q.vec_id % 100 = 0)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 10"""
+
+
+@query
+def op4_pivot_search(spark, sf_dir):
+    index = pivot_search.pivot_table(table(spark, sf_dir, "embeddings"))
+    return pivot_search.top_k(index, F.col("vec_id") % 100 == 0, k=10)
+
+
 @query
 def op8_external_shuffle(spark, sf_dir):
     sharded = sharding.shuffled_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -45,3 +60,20 @@ def op8_external_shuffle(spark, sf_dir):
 def op9_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size"))
     return mixing.planned_documents(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+SQL["op10_embedding_dedup"] = f"""
+with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings where {_USABLE} and label is not null
+  and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+  where list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+roots as (select a, min(b) as b from reach group by a), counts as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(roots.b, vec_id)) as component_id,
+  least(vec_id, coalesce(roots.b, vec_id)) = vec_id as kept
+from embeddings left join counts on counts.a = vec_id left join roots on roots.a = vec_id"""
+
+
+@query
+def op10_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumeframe.llm.common import without
+from plumeframe.llm.common import schema_with, without
 
 OVERHEAD = 16
 BUCKET_BYTES = 32 << 20
@@ -52,7 +52,7 @@ def _offsets(counts: DataFrame) -> DataFrame:
 def shuffled_shards(docs: DataFrame, shards: int = 40, seed: int = 20_240_601, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Every record of ``docs`` (``doc_id``, ``text`` and others) with its ``size``, ``shard`` and gapless ``slot``."""
     columns = without(docs, ("size", "shard", "slot", *_INNER))
-    schema = columns.schema.add("size", "long").add("shard", "integer").add("slot", "long")
+    schema = schema_with(columns, size="long", shard="int", slot="long")
     sized = columns.withColumn("size", record_size())
     rows, volume = sized.agg(F.count("*"), F.sum("size")).first()
     buckets = max(1, math.ceil((volume or 0) / bucket_bytes))
