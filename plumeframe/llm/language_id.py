@@ -34,17 +34,15 @@ MEMO = 200_000
 LONG_TEXT = 1_000_000
 
 
-def _counts(words: Iterator[str], bound: int = 100_000) -> Iterator[Counter]:
-    while chunk := list(islice(words, bound)):
-        yield Counter(chunk)
-
-
-def words_of(text: str) -> Iterator[Counter]:
-    """Counts of the lower-case words, a bounded number of words at a time."""
+def words_of(text: str) -> Iterator[list[str]]:
+    """The lower-case words, a bounded number at a time."""
     lower = text.lower()
     if len(lower) <= LONG_TEXT:
-        return iter((Counter(WORD.findall(lower)),))
-    return _counts(m.group() for m in WORD.finditer(lower))
+        yield WORD.findall(lower)
+        return
+    words = (m.group() for m in WORD.finditer(lower))
+    while chunk := list(islice(words, LONG_TEXT // 10)):
+        yield chunk
 
 
 def grams(word: str, size: int) -> list[str]:
@@ -69,34 +67,50 @@ class LanguageModel:
         if known is not None:
             return known
         for size in range(LONGEST_GRAM, 0, -1):
-            found = [s for g in grams(word, size) if (s := self.grams[size - 1].get(g)) is not None]
+            units = self.grams[size - 1]
+            found = [units[g] for g in grams(word, size) if g in units]
             if found:
-                return np.mean(found, axis=0)
+                return sum(found[1:], found[0]) / len(found)
         return None
 
-    def predict(self, text: str | None, memo: dict) -> tuple[str, float]:
-        if text is None or not self.languages:
+
+class Reader(dict):
+    """Rows of a score table by word: scores per language, then whether it has a letter and whether it counts.
+
+    Words are scored when first met; the table is emptied when it is full.
+    """
+
+    def __init__(self, model: LanguageModel):
+        super().__init__()
+        self.model = model
+        self.rows = np.zeros((MEMO, len(model.languages) + 2))
+
+    def __missing__(self, word: str) -> int:
+        at, row = len(self), self.rows[len(self)]
+        row[:] = 0.0
+        if any(c.isalpha() for c in word):
+            row[-2] = 1.0
+            scores = self.model.word_scores(word)
+            if scores is not None:
+                row[:-2], row[-1] = scores, 1.0
+        self[word] = at
+        return at
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        if text is None or not self.model.languages:
             return UNDECIDED, 0.0
-        total, weight, letters = np.zeros(len(self.languages)), 0, False
-        for counts in words_of(text):
-            for word, n in counts.items():
-                if word in memo:
-                    known, scores = memo[word]
-                else:
-                    known = any(c.isalpha() for c in word)
-                    scores = self.word_scores(word) if known else None
-                    if len(memo) >= MEMO:
-                        memo.clear()
-                    memo[word] = known, scores
-                letters = letters or known
-                if scores is not None:
-                    total += n * scores
-                    weight += n
-        if not letters:
+        total = np.zeros(self.rows.shape[1])
+        for words in words_of(text):
+            for i in range(0, len(words), MEMO // 4):
+                part = words[i : i + MEMO // 4]
+                if len(self) + len(part) > MEMO:
+                    self.clear()
+                total += self.rows[np.fromiter(map(self.__getitem__, part), np.int64, len(part))].sum(axis=0)
+        if not total[-2]:
             return UNDECIDED, 0.0
-        mean = total / max(weight, 1)
+        mean = total[:-2] / max(total[-1], 1.0)
         best = int(np.argmax(mean))
-        return self.languages[best], float(1.0 / np.exp(mean - mean[best]).sum())
+        return self.model.languages[best], float(1.0 / np.exp(mean - mean[best]).sum())
 
 
 def _log_frequencies(rows: list, order: dict[str, int], totals: np.ndarray) -> dict[str, np.ndarray]:
@@ -138,8 +152,8 @@ def train(
         for batch in batches:
             counted: Counter = Counter()
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
-                for counts in words_of(text):
-                    for word, n in counts.items():
+                for words in words_of(text):
+                    for word, n in Counter(words).items():
                         counted[lang, word] += n
             rows = [(lang, 0, word, n) for (lang, word), n in counted.items()]
             by_gram: Counter = Counter()
@@ -176,9 +190,9 @@ def identify(docs: DataFrame, model: LanguageModel, pred: str = "lang_pred", sco
     kept = without(docs, (pred, score))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted, memo = shared.value, {}
+        reader = Reader(shared.value)
         for batch in batches:
-            found = [fitted.predict(text, memo) for text in batch["text"].to_pylist()]
+            found = [reader.predict(text) for text in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
                 names=[*batch.schema.names, pred, score],

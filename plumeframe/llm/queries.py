@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeframe.llm import embedding_dedup, language_id, mixing, pivot_search, sharding
-from plumeframe.llm.common import table
+from plumeframe.llm import bag_minhash, embedding_dedup, language_id, mixing, pivot_search, sharding, token_counts, url_filter, warc_fixity
+from plumeframe.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -27,6 +27,31 @@ def op1_language_id(spark, sf_dir):
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+BLOCK = ("com/en/", "example.net/de/8", "org/es/")
+ALLOW = ("example.com/en/7", "net/de/")
+
+SQL["op2_url_filter"] = r"""
+with rules(rule, verdict) as (values ('com/en/', 'block'), ('example.com/en/7', 'allow'), ('net/de/', 'allow'), ('example.net/de/8', 'block'), ('org/es/', 'block')),
+split as (select *, split_part(rule, '/', 1) as rule_host, substr(rule, strpos(rule, '/')) as rule_path from rules),
+u as (select row_number() over () as n, page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+p as (select n, page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
+m as (select n, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as verdict
+  from p join split on (host = rule_host or host like '%.' || rule_host) and starts_with(path, rule_path) group by n)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from p left join m using (n)"""
+
+
+@query
+def op2_url_filter(spark, sf_dir):
+    index = url_filter.write_index(url_filter.rule_table(spark, BLOCK, ALLOW))
+    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), index).drop("url")
+
+
+@query
+def op3_bag_minhash(spark, sf_dir):
+    return bag_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 _USABLE = "embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
 SQL["op4_pivot_search"] = f"""
 with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as e from embeddings where {_USABLE}),
@@ -42,6 +67,56 @@ def op4_pivot_search(spark, sf_dir):
     return pivot_search.top_k(index, F.col("vec_id") % 100 == 0, k=10)
 
 
+SQL["op5_warc_fixity"] = r"""
+with named as (select page_id, coalesce(url, '') as url, coalesce(html, '') as html,
+  md5(case when page_id is null then coalesce(url, '') when url is null then cast(page_id as varchar) else cast(page_id as varchar) || '|' || url end) as name from pages),
+texts as (select page_id, name, html, concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Target-URI: ', url, chr(13), chr(10),
+  'WARC-Date: 2024-01-01T00:00:00Z', chr(13), chr(10), 'WARC-Record-ID: <urn:uuid:',
+  name[1:8], '-', name[9:12], '-', name[13:16], '-', name[17:20], '-', name[21:32], '>', chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10),
+  'Content-Length: ', strlen(html), chr(13), chr(10), chr(13), chr(10), html, chr(13), chr(10), chr(13), chr(10)) as record from named),
+measured as (select page_id, name, html, cast(strlen(record) as bigint) as record_length, sha256(record) as record_digest from texts),
+filed as (select *, cast(('0x' || name[1:8])::bigint % greatest(1, cast(ceil((select sum(record_length) from measured) / 67108864.0) as bigint)) as integer) as warc_file from measured)
+select page_id, warc_file, cast(coalesce(sum(record_length) over (partition by warc_file order by page_id, name, record_digest rows between unbounded preceding and 1 preceding), 0) as bigint) as record_offset,
+  record_length, record_digest, case when name[31:32] = '07' and starts_with(html, '<') then 'corrupt' when name[31:32] = '08' then 'missing' else 'ok' end as status from filed"""
+
+
+@query
+def op5_warc_fixity(spark, sf_dir):
+    """An archive of the pages against a replica in which some payloads are damaged and some records are lost."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    mark = F.substring(F.md5(F.concat_ws("|", F.col("page_id").cast("string"), "url")), 31, 2)
+    payload = F.when((mark == "07") & F.startswith("html", F.lit("<")), F.concat(F.lit("#"), F.substring("html", F.lit(2), F.length("html")))).otherwise(F.col("html"))
+    records = staged(warc_fixity.warc_records(pages), "records")
+    replica = warc_fixity.warc_records(pages.withColumn("html", payload)).filter(F.substring("name", 31, 2) != "08")
+    shape = warc_fixity.tree_shape(records)
+    faults = warc_fixity.audit(warc_fixity.fixity_tree(records, shape), warc_fixity.fixity_tree(replica, shape), shape)
+    judged = records.join(faults, ["warc_file", "record_offset"], "left")
+    return judged.select(
+        "page_id", "warc_file", "record_offset", "record_length", "record_digest", F.coalesce("status", F.lit("ok")).alias("status")
+    )
+
+
+@query
+def op7_token_counts(spark, sf_dir):
+    """Tokens of each document, and after three edits at places that its id decides."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    edits = F.array(
+        *[
+            F.struct(
+                F.pmod(F.xxhash64("doc_id", F.lit(i)), F.coalesce(F.length("text"), F.lit(0)) + 1).cast("long").alias("start"),
+                F.lit(removed).cast("long").alias("removed"),
+                F.concat(F.lit(inserted), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("inserted"),
+            )
+            for i, (removed, inserted) in enumerate(((40, " amended "), (0, "x"), (1, " ")))
+        ]
+    )
+    counted = token_counts.build_trees(docs).withColumnRenamed("n_tokens", "tokens_before").withColumn("edits", edits)
+    edited = token_counts.apply_edits(counted.withColumn("n_tokens", F.col("tokens_before")))
+    return edited.select(
+        "doc_id", "tokens_before", F.col("n_tokens").alias("tokens_after"), F.coalesce(F.length("text"), F.lit(0)).alias("chars_after"), "n_encoded"
+    )
+
+
 @query
 def op8_external_shuffle(spark, sf_dir):
     sharded = sharding.shuffled_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
