@@ -45,7 +45,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 36, 6
 MEMO = 300_000
-BATCH_SHINGLES = 200_000
+BATCH_SHINGLES = 500_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0x100000001B3)
 ONE = np.uint64(1)
@@ -135,10 +135,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarr
             at = low + ((place & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * rate).astype(np.int64)
             owned = at < count
             spot = owner[owned] * size + part[owned].astype(np.int64)
-            order = np.argsort(-due[owned], kind="stable")
-            earliest = np.full(out.size, np.inf)
-            earliest[spot[order]] = due[owned][order]
-            np.minimum(out, earliest.reshape(out.shape), out=out)
+            np.minimum.at(out.reshape(-1), spot, due[owned])
         # Documents with an open component go on for twice the time; the others are done.
         unfilled = np.isinf(out).any(axis=1)
         if not waiting or not unfilled.any():
