@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeframe.llm import language_id, mixing
+from plumeframe.llm import bag_minhash, language_id, mixing, piece_lattice
 from plumeframe.llm.common import staged, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -24,14 +24,30 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return found.filter((F.col("_pred") != language_id.UNDECIDED) & (F.col("_score") >= MIN_SCORE)).select(*COLUMNS)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the smallest id."""
+    return bag_minhash.keep_one(docs.select(*COLUMNS))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document taken twice is two rows, one not taken is none."""
     return mixing.mixture(mixing.planned_documents(docs)).select(*COLUMNS)
 
 
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row of the mix as piece ids; ``round_trip`` says that decoding them gives its text back."""
+    pieces = piece_lattice.load_pieces()
+    marked = docs.select(*COLUMNS, F.crc32("text").alias("text_crc32"))
+    decoded = piece_lattice.decode(piece_lattice.encode(marked, pieces), pieces)
+    same = F.crc32("text").eqNullSafe(F.col("text_crc32"))
+    return decoded.select("doc_id", "lang", "source", "n_chars", F.size("ids").alias("n_ids"), "ids", same.alias("round_trip"))
+
+
 STAGES = [
     ("language_id", identify_languages),
+    ("near_duplicates", drop_near_duplicates),
     ("mixing", mix_sources),
+    ("piece_encoding", encode_pieces),
 ]
 ORACLE_SQL = None
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeframe.llm import bag_minhash, embedding_dedup, language_id, mixing, pivot_search, sharding, token_counts, url_filter, warc_fixity
+from plumeframe.llm import bag_minhash, embedding_dedup, language_id, mixing, piece_lattice, pivot_search, sharding, token_counts, url_filter, warc_fixity
 from plumeframe.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,20 @@ def op5_warc_fixity(spark, sf_dir):
     )
 
 
+@query
+def op6_piece_lattice(spark, sf_dir):
+    """Number and checksum of each document's ids, and whether decoding them gives the text back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.crc32("text").alias("text_crc32"))
+    pieces = piece_lattice.load_pieces()
+    decoded = piece_lattice.decode(piece_lattice.encode(docs, pieces), pieces)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").alias("n_ids"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.crc32("text").eqNullSafe(F.col("text_crc32")).alias("round_trip"),
+    )
+
+
 @query
 def op7_token_counts(spark, sf_dir):
     """Tokens of each document, and after three edits at places that its id decides."""
