@@ -30,6 +30,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -43,8 +44,9 @@ UNIT = 1 << 20
 FALLBACK = -100 * UNIT
 FOLD_CHARS = 48
 MAX_PIECES = 1_000_000
-CHUNK_BYTES = 32 << 20
-MEMO = 300_000
+CHUNK_BYTES = 96 << 20
+SLICE_CHARS = 4 << 20
+MEMO = 600_000
 # Letters and digits part from other signs; the underscore and the raised two are joined with both in some pieces.
 FINE = rf"{MARK}*(?:(?:[^\W_²]+|[^\w{MARK}]+)(?:[_²]+(?:[^\W_²]+|[^\w{MARK}]+)?)*|(?:[_²]+(?:[^\W_²]+|[^\w{MARK}]+)?)+)|{MARK}+"
 COARSE = rf"{MARK}*[^{MARK}]+|{MARK}+"
@@ -150,20 +152,20 @@ def _path(best: str, word: str, first_byte: int) -> Column:
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """``word, ids`` of the distinct ``word`` rows of up to ``FOLD_CHARS`` characters. Partitioned by word, nothing moves."""
+    """``word, ids`` and ``first`` of distinct ``word, first`` rows. Partitioned by word, nothing moves."""
     table = [(piece, i, weight) for piece, (weight, i) in pieces.edges.items()]
     known = F.broadcast(words.sparkSession.createDataFrame(table, "piece string, id int, weight long"))
     size = F.length("word")
-    starts = words.select("word", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
-    spans = starts.select("word", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + pieces.longest, size))).alias("stop"))
+    starts = words.select("word", "first", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
+    spans = starts.select("word", "first", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + pieces.longest, size))).alias("stop"))
     edges = spans.withColumn("piece", F.substring(F.col("word"), F.col("start") + 1, F.col("stop") - F.col("start")))
     # A left join keeps the words of which no substring is a piece.
     lattice = (
         edges.join(known, "piece", "left")
         .groupBy("word")
-        .agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("stop", "start", "id", "weight"))).alias("edges"))
+        .agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("stop", "start", "id", "weight"))).alias("edges"), F.min("first").alias("first"))
     )
-    return lattice.withColumn("best", _best_edges("edges", "word")).select("word", _path("best", "word", pieces.first_byte).alias("ids"))
+    return lattice.withColumn("best", _best_edges("edges", "word")).select("word", "first", _path("best", "word", pieces.first_byte).alias("ids"))
 
 
 def encode(docs: DataFrame, pieces: Pieces, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -185,7 +187,9 @@ def encode(docs: DataFrame, pieces: Pieces, chunk_bytes: int = CHUNK_BYTES) -> D
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(packed, pa.binary())], names=[*names, "_packed"])
 
     slim = placed.select(*others, "_chunk")
-    packed = placed.mapInArrow(pack, schema_with(slim, _packed="binary")).repartition(chunks, "_chunk")
+    # No fewer partitions than other shuffles have, or Spark would deal the texts out a second time.
+    partitions = max(chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    packed = placed.mapInArrow(pack, schema_with(slim, _packed="binary")).repartition(partitions, "_chunk")
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern, open_ = re.compile(shared.value.pattern), zstandard.ZstdDecompressor()
@@ -206,31 +210,58 @@ def encode(docs: DataFrame, pieces: Pieces, chunk_bytes: int = CHUNK_BYTES) -> D
                 yield from flush()
         yield from flush()
 
-    words = packed.select("_chunk", "_packed").mapInArrow(distinct_words, "_chunk int, word string").repartition("word")
-    table = encode_words(words.select("word").distinct(), pieces)
+    # Both uses of the packed texts, and both of the words, read all columns of one exchange, so Spark runs it once.
+    words = packed.mapInArrow(distinct_words, "_chunk int, word string").repartition("word")
+    table = encode_words(words.groupBy("word").agg(F.min("_chunk").alias("first")), pieces)
     lists = words.distinct().join(table, "word")
 
     def assemble(docs: pa.Table, lists: pa.Table) -> pa.Table:
         vocabulary, open_ = shared.value, zstandard.ZstdDecompressor()
         pattern = re.compile(vocabulary.pattern)
+        mark = [vocabulary.first_byte + b for b in MARK.encode()]
+        known = lists["word"].combine_chunks() if lists.num_rows else pa.array([], pa.string())
         ids = lists["ids"].combine_chunks() if lists.num_rows else pa.array([], pa.list_(pa.int32()))
-        flat, ends = ids.flatten().to_numpy().astype(np.int32).tobytes(), np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))]).astype(int) * 4
-        known = {w: flat[a:b] for w, a, b in zip(lists["word"].to_pylist(), ends.tolist(), ends[1:].tolist())}
-        mark = np.array([vocabulary.first_byte + b for b in MARK.encode()], np.int32).tobytes()
-
-        class Known(dict):
-            def __missing__(self, word: str) -> bytes:
-                return np.array(viterbi(word, vocabulary), np.int32).tobytes()
-
-        find = Known(known).__getitem__
-        rows = []
-        for text in docs["_packed"].to_pylist():
-            if text is None:
-                rows.append(None)
-                continue
-            parts = [b"".join([b"".join(map(find, words)) for words in _words(part, pattern)]) for part in _parts(open_.decompress(text).decode())]
-            rows.append(np.frombuffer(mark.join(parts), np.int32))
-        return docs.drop_columns(["_chunk", "_packed"]).append_column("ids", pa.array(rows, pa.list_(pa.int32())))
+        flat = ids.flatten().to_numpy()
+        sizes = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+
+        def ids_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """Ids of the words one after the other, and how many each has. NULL stands for a mark character."""
+            at = pc.index_in(pa.array(words, pa.string()), value_set=known).to_numpy(zero_copy_only=False)
+            new = np.flatnonzero(np.isnan(at)) if at.dtype.kind == "f" else np.empty(0, np.int64)
+            at = np.nan_to_num(at, nan=-1).astype(np.int64)
+            extra = [np.array(mark if words[i] is None else viterbi(words[i], vocabulary), np.int32) for i in new]
+            at[new] = len(sizes) + np.arange(len(new))
+            lengths = np.concatenate([sizes, np.array([len(x) for x in extra], np.int64)])
+            begins = np.concatenate([starts, len(flat) + np.cumsum(lengths[len(sizes) :]) - lengths[len(sizes) :]])
+            every = np.concatenate([flat, *extra]) if extra else flat
+            count = lengths[at]
+            place = np.repeat(begins[at] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            return every[place].astype(np.int32, copy=False), count
+
+        def encoded(texts: list[str | None]) -> pa.ListArray:
+            words, ends = [], []
+            for text in texts:
+                for i, part in enumerate(_parts(text or "")):
+                    if i:
+                        words.append(None)
+                    for some in _words(part, pattern):
+                        words.extend(some)
+                ends.append(len(words))
+            values, count = ids_of(words)
+            offsets = np.concatenate([[0], np.concatenate([[0], np.cumsum(count)])[ends]]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([t is None for t in texts]))
+
+        slices, waiting, chars = [], [], 0
+        for packed_text in docs["_packed"]:
+            text = open_.decompress(packed_text.as_py()).decode() if packed_text.is_valid else None
+            waiting.append(text)
+            chars += len(text or "")
+            if chars >= SLICE_CHARS:
+                slices.append(encoded(waiting))
+                waiting, chars = [], 0
+        slices.append(encoded(waiting))
+        return docs.drop_columns(["_chunk", "_packed"]).append_column("ids", pa.chunked_array(slices, pa.list_(pa.int32())))
 
     out = schema_with(columns.select(*others), ids="array<int>")
     return packed.groupBy("_chunk").cogroup(lists.groupBy("_chunk")).applyInArrow(assemble, out)
