@@ -40,10 +40,12 @@ from plumeframe.llm.common import schema_with, without
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-UNIT = 1 << 20
+UNIT = 1 << 14
 FALLBACK = -100 * UNIT
 FOLD_CHARS = 48
-MAX_PIECES = 1_000_000
+# An edge is one number: stop and start (6 bits each), id (20 bits), cost (31 bits).
+ID_BITS, COST_BITS = 20, 31
+MAX_PIECES = 1 << ID_BITS
 CHUNK_BYTES = 96 << 20
 SLICE_CHARS = 4 << 20
 MEMO = 600_000
@@ -79,7 +81,8 @@ def load_pieces(model: str = MODEL, zipf: bool = True) -> Pieces:
             content.append(b"")
         else:
             score = vocabulary.get_score(i)
-            edges[piece] = round((-math.log(256 - min(score, 0.0)) if zipf else score) * UNIT), i
+            weight = -math.log(256 - min(score, 0.0)) if zipf else min(score, 0.0)
+            edges[piece] = max(round(weight * UNIT), 1 - (1 << COST_BITS)), i
             content.append(piece.replace(MARK, " ").encode())
     for pattern in (FINE, COARSE):
         if all(re.fullmatch(pattern, p) and len(re.findall(pattern, p)) == 1 for p in edges):
@@ -124,9 +127,17 @@ def _best_edges(edges: str, word: str) -> Column:
     """Best (score, start, id) into each position of the word; position 0 first."""
     row = lambda score, start, piece: F.struct(score.cast("long").alias("score"), start.cast("int").alias("start"), piece.cast("int").alias("id"))
 
+    def option(best: Column):
+        def of(edge: Column) -> Column:
+            start = F.shiftright(edge, COST_BITS + ID_BITS).bitwiseAND(63).cast("int")
+            piece = F.shiftright(edge, COST_BITS).bitwiseAND((1 << ID_BITS) - 1)
+            return row(F.get(best, start)["score"] - edge.bitwiseAND((1 << COST_BITS) - 1), start, piece)
+
+        return of
+
     def into(best: Column, stop: Column) -> Column:
-        ending = F.filter(edges, lambda e: e["stop"] == stop)
-        options = F.transform(ending, lambda e: row(F.get(best, e["start"])["score"] + e["weight"], e["start"], e["id"]))
+        ending = F.filter(edges, lambda e: F.shiftright(e, COST_BITS + ID_BITS + 6) == stop)
+        options = F.transform(ending, option(best))
         letter = row(F.get(best, stop - 1)["score"] + F.lit(FALLBACK), stop - 1, F.lit(-1))
         return F.concat(best, F.array(F.array_max(F.concat(options, F.array(letter)))))
 
@@ -153,18 +164,20 @@ def _path(best: str, word: str, first_byte: int) -> Column:
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     """``word, ids`` and ``first`` of distinct ``word, first`` rows. Partitioned by word, nothing moves."""
-    table = [(piece, i, weight) for piece, (weight, i) in pieces.edges.items()]
-    known = F.broadcast(words.sparkSession.createDataFrame(table, "piece string, id int, weight long"))
+    # The empty piece at the start of each word keeps words of which no substring is a piece.
+    table = [(piece, (i << COST_BITS) - weight) for piece, (weight, i) in pieces.edges.items()] + [("", -1)]
+    known = F.broadcast(words.sparkSession.createDataFrame(table, "piece string, tail long"))
     size = F.length("word")
     starts = words.select("word", "first", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
-    spans = starts.select("word", "first", "start", F.explode(F.sequence(F.col("start") + 1, F.least(F.col("start") + pieces.longest, size))).alias("stop"))
-    edges = spans.withColumn("piece", F.substring(F.col("word"), F.col("start") + 1, F.col("stop") - F.col("start")))
-    # A left join keeps the words of which no substring is a piece.
-    lattice = (
-        edges.join(known, "piece", "left")
-        .groupBy("word")
-        .agg(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("stop", "start", "id", "weight"))).alias("edges"), F.min("first").alias("first"))
+    stops = F.sequence(F.when(F.col("start") == 0, 0).otherwise(F.col("start") + 1), F.least(F.col("start") + pieces.longest, size))
+    spans = starts.select("word", "first", "start", F.explode(stops).alias("stop"))
+    place = F.shiftleft((F.col("stop") * 64 + F.col("start")).cast("long"), COST_BITS + ID_BITS)
+    edges = (
+        spans.withColumn("piece", F.substring(F.col("word"), F.col("start") + 1, F.col("stop") - F.col("start")))
+        .join(known, "piece")
+        .select("word", "first", F.when(F.col("tail") >= 0, place + F.col("tail")).alias("edge"))
     )
+    lattice = edges.groupBy("word").agg(F.collect_list("edge").alias("edges"), F.min("first").alias("first"))
     return lattice.withColumn("best", _best_edges("edges", "word")).select("word", "first", _path("best", "word", pieces.first_byte).alias("ids"))
 
 
