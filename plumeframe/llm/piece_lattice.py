@@ -43,12 +43,14 @@ MARK = "▁"
 UNIT = 1 << 14
 FALLBACK = -100 * UNIT
 FOLD_CHARS = 48
-# An edge is one number: stop and start (6 bits each), id (20 bits), cost (31 bits).
+# An edge is one number: stop and start (6 bits each), id + 1 (20 bits), cost (31 bits). So is the best way into a
+# position: its score above start and id + 1, so that numbers compare like (score, start, id).
 ID_BITS, COST_BITS = 20, 31
-MAX_PIECES = 1 << ID_BITS
-CHUNK_BYTES = 96 << 20
-SLICE_CHARS = 4 << 20
-MEMO = 600_000
+STEP_BITS = 6 + ID_BITS
+MAX_PIECES = (1 << ID_BITS) - 2
+CHUNK_BYTES = 48 << 20
+SLICE_CHARS = 1 << 20
+MEMO = 1_200_000
 # Letters and digits part from other signs; the underscore and the raised two are joined with both in some pieces.
 FINE = rf"{MARK}*(?:(?:[^\W_²]+|[^\w{MARK}]+)(?:[_²]+(?:[^\W_²]+|[^\w{MARK}]+)?)*|(?:[_²]+(?:[^\W_²]+|[^\w{MARK}]+)?)+)|{MARK}+"
 COARSE = rf"{MARK}*[^{MARK}]+|{MARK}+"
@@ -124,25 +126,21 @@ def _words(text: str, pattern: re.Pattern) -> Iterator[list[str]]:
 
 
 def _best_edges(edges: str, word: str) -> Column:
-    """Best (score, start, id) into each position of the word; position 0 first."""
-    row = lambda score, start, piece: F.struct(score.cast("long").alias("score"), start.cast("int").alias("start"), piece.cast("int").alias("id"))
-
-    def option(best: Column):
-        def of(edge: Column) -> Column:
-            start = F.shiftright(edge, COST_BITS + ID_BITS).bitwiseAND(63).cast("int")
-            piece = F.shiftright(edge, COST_BITS).bitwiseAND((1 << ID_BITS) - 1)
-            return row(F.get(best, start)["score"] - edge.bitwiseAND((1 << COST_BITS) - 1), start, piece)
-
-        return of
+    """The best way into each position of the word, position 0 first."""
+    step = (1 << STEP_BITS) - 1
 
     def into(best: Column, stop: Column) -> Column:
-        ending = F.filter(edges, lambda e: F.shiftright(e, COST_BITS + ID_BITS + 6) == stop)
-        options = F.transform(ending, option(best))
-        letter = row(F.get(best, stop - 1)["score"] + F.lit(FALLBACK), stop - 1, F.lit(-1))
-        return F.concat(best, F.array(F.array_max(F.concat(options, F.array(letter)))))
+        def option(edge: Column) -> Column:
+            place = F.shiftright(edge, COST_BITS).bitwiseAND(step)
+            before = F.get(best, F.shiftright(place, ID_BITS).cast("int"))
+            return before - before.bitwiseAND(step) - F.shiftleft(edge.bitwiseAND((1 << COST_BITS) - 1), STEP_BITS) + place
+
+        ending = F.transform(F.filter(edges, lambda e: F.shiftright(e, COST_BITS + STEP_BITS) == stop), option)
+        before = F.get(best, stop - 1)
+        letter = before - before.bitwiseAND(step) + F.lit(FALLBACK << STEP_BITS) + F.shiftleft((stop - 1).cast("long"), ID_BITS)
+        return F.concat(best, F.array(F.array_max(F.concat(ending, F.array(letter)))))
 
-    start = F.array(row(F.lit(0), F.lit(0), F.lit(-1)))
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), start, into)
+    return F.aggregate(F.sequence(F.lit(1), F.length(word)), F.array(F.lit(0).cast("long")), into)
 
 
 def _path(best: str, word: str, first_byte: int) -> Column:
@@ -153,9 +151,11 @@ def _path(best: str, word: str, first_byte: int) -> Column:
         return F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda i: (F.conv(F.substring(code, i, F.lit(2)), 16, 10) + first_byte).cast("int"))
 
     def back(state: Column, _: Column) -> Column:
-        edge = F.get(best, state["at"])
-        ids = F.when(edge["id"] >= 0, F.array(edge["id"])).otherwise(letters(edge["start"]))
-        step = F.struct(edge["start"].alias("at"), F.concat(ids, state["ids"]).alias("ids"))
+        way = F.get(best, state["at"])
+        start = F.shiftright(way, ID_BITS).bitwiseAND(63).cast("int")
+        piece = (way.bitwiseAND((1 << ID_BITS) - 1) - 1).cast("int")
+        ids = F.when(piece >= 0, F.array(piece)).otherwise(letters(start))
+        step = F.struct(start.alias("at"), F.concat(ids, state["ids"]).alias("ids"))
         return F.when(state["at"] > 0, step).otherwise(state)
 
     end = F.struct(F.length(word).alias("at"), F.array().cast("array<int>").alias("ids"))
@@ -165,7 +165,7 @@ def _path(best: str, word: str, first_byte: int) -> Column:
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     """``word, ids`` and ``first`` of distinct ``word, first`` rows. Partitioned by word, nothing moves."""
     # The empty piece at the start of each word keeps words of which no substring is a piece.
-    table = [(piece, (i << COST_BITS) - weight) for piece, (weight, i) in pieces.edges.items()] + [("", -1)]
+    table = [(piece, ((i + 1) << COST_BITS) - weight) for piece, (weight, i) in pieces.edges.items()] + [("", -1)]
     known = F.broadcast(words.sparkSession.createDataFrame(table, "piece string, tail long"))
     size = F.length("word")
     starts = words.select("word", "first", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
@@ -181,10 +181,15 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     return lattice.withColumn("best", _best_edges("edges", "word")).select("word", "first", _path("best", "word", pieces.first_byte).alias("ids"))
 
 
+def text_of(ids: list[int], content: list[bytes]) -> str:
+    """The text that ids stand for."""
+    return b"".join(map(content.__getitem__, ids)).removeprefix(b" ").decode("utf-8", "replace")
+
+
 def encode(docs: DataFrame, pieces: Pieces, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The columns of ``docs`` but the text, and ``ids``: array<int>."""
+    """The columns of ``docs`` but the text, ``ids``: array<int>, and ``round_trip``: whether decoding the ids gives the text back."""
     spark = docs.sparkSession
-    columns = without(docs, ("ids", "_chunk", "_packed"))
+    columns = without(docs, ("ids", "round_trip", "_chunk", "_packed"))
     others = [c for c in columns.columns if c != "text"]
     volume = columns.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, math.ceil(volume / chunk_bytes))
@@ -252,7 +257,7 @@ def encode(docs: DataFrame, pieces: Pieces, chunk_bytes: int = CHUNK_BYTES) -> D
             place = np.repeat(begins[at] - np.cumsum(count) + count, count) + np.arange(count.sum())
             return every[place].astype(np.int32, copy=False), count
 
-        def encoded(texts: list[str | None]) -> pa.ListArray:
+        def encoded(texts: list[str | None]) -> tuple[pa.ListArray, pa.BooleanArray]:
             words, ends = [], []
             for text in texts:
                 for i, part in enumerate(_parts(text or "")):
@@ -263,7 +268,9 @@ def encode(docs: DataFrame, pieces: Pieces, chunk_bytes: int = CHUNK_BYTES) -> D
                 ends.append(len(words))
             values, count = ids_of(words)
             offsets = np.concatenate([[0], np.concatenate([[0], np.cumsum(count)])[ends]]).astype(np.int32)
-            return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([t is None for t in texts]))
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([t is None for t in texts], pa.bool_()))
+            same = [t is None or text_of(values[a:b].tolist(), vocabulary.content) == t for t, a, b in zip(texts, offsets, offsets[1:])]
+            return lists, pa.array(same, pa.bool_())
 
         slices, waiting, chars = [], [], 0
         for packed_text in docs["_packed"]:
@@ -274,9 +281,12 @@ def encode(docs: DataFrame, pieces: Pieces, chunk_bytes: int = CHUNK_BYTES) -> D
                 slices.append(encoded(waiting))
                 waiting, chars = [], 0
         slices.append(encoded(waiting))
-        return docs.drop_columns(["_chunk", "_packed"]).append_column("ids", pa.chunked_array(slices, pa.list_(pa.int32())))
+        out = docs.drop_columns(["_chunk", "_packed"])
+        for name, kind, parts in zip(("ids", "round_trip"), (pa.list_(pa.int32()), pa.bool_()), zip(*slices)):
+            out = out.append_column(name, pa.chunked_array(parts, kind))
+        return out
 
-    out = schema_with(columns.select(*others), ids="array<int>")
+    out = schema_with(columns.select(*others), ids="array<int>", round_trip="boolean")
     return packed.groupBy("_chunk").cogroup(lists.groupBy("_chunk")).applyInArrow(assemble, out)
 
 
@@ -288,13 +298,7 @@ def decode(encoded: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content = shared.value.content
         for batch in batches:
-            texts: list = []
-            for ids in batch["ids"]:
-                if not ids.is_valid:
-                    texts.append(None)
-                else:
-                    whole = b"".join(map(content.__getitem__, ids.values.to_pylist()))
-                    texts.append(whole.removeprefix(b" ").decode("utf-8", "replace"))
+            texts = [text_of(ids.values.to_pylist(), content) if ids.is_valid else None for ids in batch["ids"]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
 
     return columns.mapInArrow(run, schema_with(columns, **{text: "string"}))
