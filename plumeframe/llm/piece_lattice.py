@@ -48,9 +48,9 @@ FOLD_CHARS = 48
 ID_BITS, COST_BITS = 20, 31
 STEP_BITS = 6 + ID_BITS
 MAX_PIECES = (1 << ID_BITS) - 2
-CHUNK_BYTES = 48 << 20
-SLICE_CHARS = 1 << 20
-MEMO = 1_200_000
+CHUNK_BYTES = 64 << 20
+SLICE_CHARS = 2 << 20
+MEMO = 800_000
 # Letters and digits part from other signs; the underscore and the raised two are joined with both in some pieces.
 FINE = rf"{MARK}*(?:(?:[^\W_²]+|[^\w{MARK}]+)(?:[_²]+(?:[^\W_²]+|[^\w{MARK}]+)?)*|(?:[_²]+(?:[^\W_²]+|[^\w{MARK}]+)?)+)|{MARK}+"
 COARSE = rf"{MARK}*[^{MARK}]+|{MARK}+"
@@ -126,21 +126,23 @@ def _words(text: str, pattern: re.Pattern) -> Iterator[list[str]]:
 
 
 def _best_edges(edges: str, word: str) -> Column:
-    """The best way into each position of the word, position 0 first."""
+    """The best way into each position of the word, position 0 first: a fold over the edges in the order of their ends."""
     step = (1 << STEP_BITS) - 1
 
-    def into(best: Column, stop: Column) -> Column:
-        def option(edge: Column) -> Column:
-            place = F.shiftright(edge, COST_BITS).bitwiseAND(step)
-            before = F.get(best, F.shiftright(place, ID_BITS).cast("int"))
-            return before - before.bitwiseAND(step) - F.shiftleft(edge.bitwiseAND((1 << COST_BITS) - 1), STEP_BITS) + place
+    def into(best: Column, edge: Column) -> Column:
+        stop = F.shiftright(edge, COST_BITS + STEP_BITS).cast("int")
+        place = F.shiftright(edge, COST_BITS).bitwiseAND(step)
+        before = F.get(best, F.shiftright(place, ID_BITS).cast("int"))
+        way = before - before.bitwiseAND(step) - F.shiftleft(edge.bitwiseAND((1 << COST_BITS) - 1), STEP_BITS) + place
+        # The first edge into a position appends it (there is nothing to compare with), others keep the better way.
+        return F.concat(F.slice(best, F.lit(1), stop), F.array(F.greatest(F.get(best, stop), way)))
 
-        ending = F.transform(F.filter(edges, lambda e: F.shiftright(e, COST_BITS + STEP_BITS) == stop), option)
-        before = F.get(best, stop - 1)
-        letter = before - before.bitwiseAND(step) + F.lit(FALLBACK << STEP_BITS) + F.shiftleft((stop - 1).cast("long"), ID_BITS)
-        return F.concat(best, F.array(F.array_max(F.concat(ending, F.array(letter)))))
+    def letter(start: Column) -> Column:
+        place = F.shiftleft(((start + 1) * 64 + start).cast("long"), COST_BITS + ID_BITS)
+        return place + F.lit(-FALLBACK)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), F.array(F.lit(0).cast("long")), into)
+    letters = F.transform(F.sequence(F.lit(0), F.length(word) - 1), letter)
+    return F.aggregate(F.sort_array(F.concat(F.col(edges), letters)), F.array(F.lit(0).cast("long")), into)
 
 
 def _path(best: str, word: str, first_byte: int) -> Column:
@@ -231,7 +233,8 @@ def encode(docs: DataFrame, pieces: Pieces, chunk_bytes: int = CHUNK_BYTES) -> D
     # Both uses of the packed texts, and both of the words, read all columns of one exchange, so Spark runs it once.
     words = packed.mapInArrow(distinct_words, "_chunk int, word string").repartition("word")
     table = encode_words(words.groupBy("word").agg(F.min("_chunk").alias("first")), pieces)
-    lists = words.distinct().join(table, "word")
+    # A word that was flushed twice by its chunk comes twice, which does no harm.
+    lists = words.join(table.filter(F.col("first") >= 0).select("word", "ids").hint("shuffle_hash"), "word")
 
     def assemble(docs: pa.Table, lists: pa.Table) -> pa.Table:
         vocabulary, open_ = shared.value, zstandard.ZstdDecompressor()
