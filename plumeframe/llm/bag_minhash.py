@@ -13,10 +13,11 @@ open is continued, so the outcome does not depend on that time.
 Candidates. 36 bands of 6 components: a pair at 0.8 meets in no band with probability 2e-5.
 1. Equal bags are one class; only one document of a class goes on.
 2. In each bucket (band value) every class is compared with the smallest one. Links become components.
-3. In buckets that still hold several components, pairs of different components that were not compared yet are
-   compared, unless their sizes rule out the similarity. So no pair of different components that meets in a bucket
-   is left out, and a group of copies costs one comparison per member, not one per pair.
-Verification computes the similarity of whole bags.
+3. In buckets that still hold several components, the members are packed into blocks of bounded size, a component of
+   many members into blocks of its own. Pairs of blocks that hold different components are compared inside a task,
+   which returns the components that a link joins, never the pairs. So no pair of different components that meets
+   in a bucket is left out, and a group of copies costs one comparison per member, not one per pair.
+Verification computes the similarity of whole bags, whose elements are 32-bit hashes.
 
 Cases. Words are runs of letters, digits and underscores in lower case. A text of fewer than five words is one
 shingle. Texts without a word (empty too) are equal only to the same text. NULL texts and NULL ids are alone. Rows that
@@ -46,6 +47,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 36, 6
 MEMO = 300_000
 BATCH_SHINGLES = 500_000
+BLOCK_DOCS, BLOCK_ELEMENTS, SLICE = 128, 500_000, 4_096
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0x100000001B3)
 ONE = np.uint64(1)
@@ -86,7 +88,7 @@ def bag_of(text: str, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
 def elements_of(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The bag as a set: the k-th copy of a shingle is an element of its own. Set similarity is weighted similarity."""
     copy = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    return np.sort(mix64(np.repeat(shingles, counts) + copy.astype(np.uint64) * GOLDEN))
+    return np.sort((mix64(np.repeat(shingles, counts) + copy.astype(np.uint64) * GOLDEN) >> np.uint64(32)).astype(np.uint32))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -202,17 +204,76 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         near = [
-            similarity(np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)) >= SIMILARITY
+            similarity(np.frombuffer(a.as_buffer(), np.uint32), np.frombuffer(b.as_buffer(), np.uint32)) >= SIMILARITY
             for a, b in zip(batch["bag_a"], batch["bag_b"])
         ]
         keep = pa.array(near, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch["a"].filter(keep), batch["b"].filter(keep)], names=["a", "b"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs of documents whose bags are similar enough; only documents in a pair are read as bags."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    bags = staged(texts.join(ends, "doc_id", "left_semi").mapInArrow(_bags, "doc_id long, bag binary"), "bags")
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Number of common elements of each set on the left with each on the right, by products of slices of elements."""
+    sets = [*left, *right]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    elements = np.concatenate(sets) if sets else np.empty(0, np.uint32)
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], owner[order]
+    again = elements[1:] == elements[:-1]
+    shared = np.concatenate([again, [False]]) | np.concatenate([[False], again]) if len(elements) else np.empty(0, bool)
+    elements, owner = elements[shared], owner[shared]
+    column = np.cumsum(np.concatenate([[0], elements[1:] != elements[:-1]])) if len(elements) else np.empty(0, np.int64)
+    out = np.zeros((len(left), len(right)))
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, SLICE):
+        a, b = np.searchsorted(column, [first, first + SLICE])
+        held = np.zeros((len(sets), SLICE), np.float32)
+        held[owner[a:b], column[a:b] - first] = 1
+        out += held[: len(left)] @ held[len(left) :].T
+    return out
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of components with a link between two blocks."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            roots, sets = [], []
+            for name in ("rows", "others"):
+                rows = batch[name][i].values
+                roots.append(rows.field("root").to_numpy())
+                sets.append([np.frombuffer(x.as_buffer(), np.uint32) for x in rows.field("bag")])
+            common = overlaps(*sets)
+            size = [np.array([len(x) for x in own]) for own in sets]
+            near = common >= SIMILARITY * (size[0][:, None] + size[1][None, :] - common) - 1e-9
+            a, b = np.nonzero(near & (roots[0][:, None] != roots[1][None, :]))
+            pairs = np.unique(np.sort(np.stack([roots[0][a], roots[1][b]], axis=1), axis=1), axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], names=["a", "b"])
+
+
+def _joined_components(mixed: DataFrame, bags: DataFrame) -> DataFrame:
+    """``a, b``: components of the ``bucket, rep, n, root`` entries that are linked through a pair in a bucket."""
+    counts = mixed.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.sum("n").alias("w"))
+    # A component with many members in a bucket has blocks of its own (``own`` is its root), the others share blocks.
+    counts = counts.withColumn("own", F.when(F.col("c") >= BLOCK_DOCS, F.col("root")))
+    blocks = F.greatest(F.ceil(F.sum("c") / BLOCK_DOCS), F.ceil(F.sum("w") / BLOCK_ELEMENTS)).alias("blocks")
+    own = counts.filter(F.col("own").isNotNull()).groupBy("bucket", "own").agg(blocks)
+    rest = counts.filter(F.col("own").isNull()).groupBy("bucket").agg(blocks).withColumn("own", F.lit(-1).cast("long"))
+    sizes = own.unionByName(rest)
+    placed = mixed.join(counts.select("bucket", "root", F.coalesce("own", F.lit(-1)).alias("own")), ["bucket", "root"]).join(sizes, ["bucket", "own"])
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    packs = placed.join(bags.withColumnRenamed("doc_id", "rep"), "rep").groupBy("bucket", "own", "block")
+    packs = staged(packs.agg(F.collect_list(F.struct("rep", "root", "bag")).alias("rows")), "blocks")
+    names = packs.select("bucket", "own", "block")
+    others = names.select("bucket", F.col("own").alias("own_"), F.col("block").alias("block_"))
+    # Blocks of one large component need no comparison with each other; the shared ones do, and with themselves.
+    shared = (F.col("own") == -1) & (F.col("own_") == -1) & (F.col("block") >= F.col("block_"))
+    pairs = names.join(others, "bucket").filter((F.col("own") > F.col("own_")) | shared)
+    right = packs.select("bucket", F.col("own").alias("own_"), F.col("block").alias("block_"), F.col("rows").alias("others"))
+    met = pairs.join(packs, ["bucket", "own", "block"]).join(right, ["bucket", "own_", "block_"]).select("rows", "others")
+    return staged(met.mapInArrow(_joined, "a long, b long").distinct(), "joined")
+
+
+def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """The pairs of documents whose bags are similar enough."""
     a, b = (bags.select(F.col("doc_id").alias(x), F.col("bag").alias(f"bag_{x}")) for x in "ab")
     joined = pairs.join(a, "a").join(b, "b").select("a", "b", "bag_a", "bag_b")
     return staged(joined.mapInArrow(_verify, "a long, b long"), "verified")
@@ -236,17 +297,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = entries.groupBy("bucket").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter(F.col("first") < F.col("last"))
     shared = staged(entries.join(least.select("bucket", "first"), "bucket"), "buckets")
     first = shared.filter(F.col("rep") != F.col("first")).select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
-    links = _verified(first, usable)
+    bags = staged(usable.join(shared.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_bags, "doc_id long, bag binary"), "bags")
+    links = _verified(first, bags)
 
     roots = components(links)
     labelled = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = labelled.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter(F.col("x") < F.col("y")).select("bucket")
     open_ = staged(labelled.join(mixed, "bucket").filter(F.col("rep") != F.col("first")).select("bucket", "rep", "n", "root"), "open")
-    other = open_.select("bucket", *[F.col(c).alias(f"{c}_") for c in ("rep", "n", "root")])
-    sized = (F.col("n") >= F.col("n_") * SIMILARITY) & (F.col("n_") >= F.col("n") * SIMILARITY)
-    rest = open_.join(other, "bucket").filter((F.col("rep") > F.col("rep_")) & (F.col("root") != F.col("root_")) & sized)
-    rest = rest.select(F.col("rep").alias("a"), F.col("rep_").alias("b")).distinct()
-    more = _verified(staged(rest.join(first, ["a", "b"], "left_anti"), "pairs"), usable)
+    more = _joined_components(open_, bags)
 
     group = components(same.unionByName(links).unionByName(more)).withColumnRenamed("node", "doc_id")
     sizes = member.groupBy("doc_id").agg(F.max("copies").alias("copies"))
