@@ -217,18 +217,19 @@ def cloud_panel(
 
 def missing_cause_report(
     detections: DataFrame, fires: DataFrame, granules: DataFrame, pixels: DataFrame, sample: int | None = None,
-    max_days: int = 30, max_minutes: float = 45.0, seed: int = 42,
+    max_days: int | None = None, max_minutes: float = 45.0, seed: int = 42,
 ) -> dict[str, object]:
-    """Why days have no detections: cloud at the overpasses or age of the incident."""
+    """Why days have no detections: cloud at the overpasses or age of the incident. All days unless ``max_days`` is given."""
     clon, clat = (F.col("min_lon") + F.col("max_lon")) / 2, (F.col("min_lat") + F.col("max_lat")) / 2
     near = fires.filter(geo.in_footprint(clon, clat))
     if sample is not None:
         near = models.stratified_sample(near, sample, seed).drop("size_bucket")
     near = stage(near)
-    days = F.sequence(F.col("start_date"), F.least(F.col("end_date"), F.date_add("start_date", max_days - 1)))
+    last = F.col("end_date") if max_days is None else F.least(F.col("end_date"), F.date_add("start_date", max_days - 1))
+    days = F.sequence(F.col("start_date"), last)
     panel = near.drop("rings").withColumn("day", F.explode(days)).withColumn("centroid_lon", clon)
     panel = panel.withColumn("days_since_start", F.datediff("day", "start_date"))
-    windows = near.withColumn("end_date", F.least(F.col("end_date"), F.date_add("start_date", max_days - 1)))
+    windows = near.withColumn("end_date", last)
     assigned = spatial.assign_points(detections, windows, 0, "rounded")
     counted = det.panel_counts(panel, assigned)
     panel = stage(panel_clouds(counted, near, granules, pixels, max_minutes))

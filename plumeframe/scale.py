@@ -84,9 +84,11 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
 
 
 def _step(value: Column) -> Column:
-    """Order-preserving integer of a number, fine enough that a group spreads over many steps."""
+    """Order-preserving integer of a number, as fine for very small numbers as for large ones."""
     number = value.cast("double")
-    return (F.signum(number) * F.floor(F.log2(F.abs(number) + 1) * STEPS_PER_OCTAVE)).cast("int")
+    # Doubles reach down to 2^-1074; the shift keeps the logarithm positive.
+    size = F.floor((F.log2(F.abs(number)) + 1100) * STEPS_PER_OCTAVE)
+    return F.when(number == 0, F.lit(0)).otherwise(F.signum(number) * size).cast("int")
 
 
 def value_steps(

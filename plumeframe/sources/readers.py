@@ -6,6 +6,7 @@ import csv
 import datetime as dt
 import io
 import zipfile
+from functools import reduce
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -63,15 +64,27 @@ def _keep_code(rows: DataFrame, code: str) -> DataFrame:
     return rows.withColumn("pm_source_code", F.lit(code))
 
 
+def _csv_by_header(spark: SparkSession, path: str | Sequence[str]) -> list[DataFrame]:
+    """CSV files as text columns, one frame per distinct header; files may order their columns differently."""
+    files = spark.read.format("binaryFile").load(path if isinstance(path, str) else list(path)).select("path")
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in files.orderBy("path").collect():
+        header = tuple(spark.read.csv(row["path"], header=True, inferSchema=False).columns)
+        groups.setdefault(header, []).append(row["path"])
+    return [spark.read.csv(paths, header=True, inferSchema=False) for paths in groups.values()]
+
+
 def read_observations(spark: SparkSession, paths: Sequence[str], code: str) -> DataFrame:
     """Monitor CSV files as text columns, rows of one parameter; splits over tasks by file ranges."""
-    rows = spark.read.csv(list(paths), header=True, inferSchema=False)
-    require_columns(rows, list(RAW_COLUMNS))
-    return _keep_code(rows, code)
+    parts = []
+    for rows in _csv_by_header(spark, paths):
+        require_columns(rows, list(RAW_COLUMNS))
+        parts.append(_keep_code(rows, code))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_observation_archives(spark: SparkSession, paths: Sequence[str], code: str) -> DataFrame:
-    """The same from zip archives, of which the first CSV member counts.
+    """The same from zip archives: the first CSV member, which must hold the table, and all others that hold it.
 
     One task opens one archive and streams its rows in batches; archives are yearly files of some
     megabytes. Larger sources should be extracted and read with ``read_observations``.
@@ -87,19 +100,22 @@ def read_observation_archives(spark: SparkSession, paths: Sequence[str], code: s
                     found = [m for m in archive.namelist() if m.lower().endswith(".csv")]
                     if not found:
                         raise ValueError(f"No CSV found in {path}")
-                    with archive.open(found[0]) as raw:
-                        reader = csv.DictReader(io.TextIOWrapper(raw, encoding="utf-8", newline=""))
-                        absent = [n for n in RAW_COLUMNS if n not in (reader.fieldnames or [])]
-                        if absent:
-                            raise ValueError(f"Missing expected columns: {absent}")
-                        rows: list[list[str | None]] = []
-                        for row in reader:
-                            rows.append([row.get(n) or None for n in names])
-                            if len(rows) >= ROWS_PER_BATCH:
+                    for place, member in enumerate(found):
+                        with archive.open(member) as raw:
+                            reader = csv.DictReader(io.TextIOWrapper(raw, encoding="utf-8", newline=""))
+                            absent = [n for n in RAW_COLUMNS if n not in (reader.fieldnames or [])]
+                            if absent and place:
+                                continue
+                            if absent:
+                                raise ValueError(f"Missing expected columns: {absent}")
+                            rows: list[list[str | None]] = []
+                            for row in reader:
+                                rows.append([row.get(n) or None for n in names])
+                                if len(rows) >= ROWS_PER_BATCH:
+                                    yield pd.DataFrame(rows, columns=names, dtype=object)
+                                    rows = []
+                            if rows:
                                 yield pd.DataFrame(rows, columns=names, dtype=object)
-                                rows = []
-                        if rows:
-                            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return _keep_code(archives.mapInPandas(members, schema), code)
 
@@ -114,9 +130,12 @@ def read_detections(
 
     ``name_part`` keeps files whose name contains it. Only the needed columns are parsed.
     """
-    rows = spark.read.csv(path if isinstance(path, str) else list(path), header=True, schema=DETECTION_SCHEMA, enforceSchema=False)
-    if name_part is not None:
-        rows = rows.filter(F.lower(F.col("_metadata.file_name")).contains(name_part.lower()))
+    parts = []
+    for part in _csv_by_header(spark, path):
+        if name_part is not None:
+            part = part.filter(F.lower(F.col("_metadata.file_name")).contains(name_part.lower()))
+        parts.append(part.select(*DETECTION_SCHEMA.fieldNames()))
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
     number = lambda c: missing_to_null(F.trim(c).try_cast("double"))
     out = rows.select(
         number("longitude").alias("lon"),

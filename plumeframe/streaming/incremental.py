@@ -43,13 +43,13 @@ def _others(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
 def add_hours(hours: DataFrame, batch_id: int, stations: DataFrame, state: str) -> None:
     """Add one batch of station hours (``station_id, hour_utc, value0, value1``) to the state.
 
-    Hours already processed are skipped; an hour counts as processed even when a value is missing.
+    A station's hour that was processed before is skipped; it counts as processed even when a value is missing.
     """
     spark = hours.sparkSession
     seen = _others(spark, f"{state}/hours", batch_id)
     new = hours.dropDuplicates(["station_id", "hour_utc"])
     if seen is not None:
-        new = new.join(seen.select("hour_utc").distinct(), "hour_utc", "left_anti")
+        new = new.join(seen.select("station_id", "hour_utc"), ["station_id", "hour_utc"], "left_anti")
     both = new.filter(F.col("value0").isNotNull() & F.col("value1").isNotNull())
     sums = (
         both.join(stations.select("station_id", "timezone"), "station_id")
@@ -58,7 +58,7 @@ def add_hours(hours: DataFrame, batch_id: int, stations: DataFrame, state: str)
     )
     sums.write.mode("overwrite").parquet(f"{state}/sums/batch={batch_id}")
     # Hours last: without them a batch that failed half-way is done again.
-    new.select("hour_utc").distinct().write.mode("overwrite").parquet(f"{state}/hours/batch={batch_id}")
+    new.select("station_id", "hour_utc").write.mode("overwrite").parquet(f"{state}/hours/batch={batch_id}")
 
 
 def run_hours(stream: DataFrame, stations: DataFrame, state: str) -> None:

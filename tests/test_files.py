@@ -190,3 +190,31 @@ def test_station_daily_integration(spark):
         ["massden_daily_mean"],
     )
     assert out["summary"].count() > 0 and out["distribution"].first()["n"] == 1
+
+
+def test_files_with_other_headers_are_read_by_name(spark, tmp_path):
+    from plumeframe.sources.readers import RAW_COLUMNS, read_detections, read_observations
+
+    for year, names in ((2021, list(RAW_COLUMNS)), (2022, list(reversed(RAW_COLUMNS)))):
+        (tmp_path / f"daily_{year}.csv").write_text(",".join(names) + "\n" + ",".join(f"{n[:3]}{year}" for n in names) + "\n")
+    rows = read_observations(spark, [str(tmp_path / f"daily_{y}.csv") for y in (2021, 2022)], "88101").collect()
+    assert len(rows) == 2
+    assert all(r[n][:3] == n[:3] for r in rows for n in RAW_COLUMNS)
+    folder = tmp_path / "spots"
+    folder.mkdir()
+    head = "latitude,longitude,bright_ti4,scan,track,acq_date,acq_time,satellite,instrument,confidence,version,bright_ti5,frp,daynight,type"
+    (folder / "a.csv").write_text(f"{head}\n40.5,-120.25,300,1,1,2021-07-04,0930,N,VIIRS,n,2,290,5.5,D,0\n")
+    found = read_detections(spark, str(folder)).collect()
+    assert [(r["lat"], r["lon"], r["frp"]) for r in found] == [(40.5, -120.25, 5.5)]
+
+
+def test_station_hours_of_a_later_batch_count(spark, tmp_path):
+    import datetime as dt
+
+    from plumeframe.streaming import incremental as live
+
+    places = spark.createDataFrame([("a", "UTC"), ("b", "UTC")], "station_id string, timezone string")
+    hour = dt.datetime(2021, 7, 4, 5)
+    for batch, station in enumerate("ab"):
+        live.add_hours(spark.createDataFrame([(station, hour, 1.0, 2.0)], "station_id string, hour_utc timestamp, value0 double, value1 double"), batch, places, str(tmp_path))
+    assert {r["station_id"]: r["n"] for r in live.current_sums(spark, str(tmp_path)).collect()} == {"a": 1, "b": 1}

@@ -349,6 +349,11 @@ def test_logistic_recovers_direction(spark):
     assert fit["a"] == pytest.approx(1.5, abs=0.4) and fit["b"] == pytest.approx(-1.0, abs=0.4)
 
 
-def test_quotas():
-    assert models.bucket_quotas({"a": 90, "b": 9, "c": 1}, 10) == {"a": 8, "b": 1, "c": 1}
-    assert sum(models.bucket_quotas({"a": 5, "b": 5}, 7).values()) == 7
+def test_quotas(spark):
+    def quotas(sizes, wanted):
+        rows = models.bucket_quotas(spark.createDataFrame(list(sizes.items()), "size_bucket string, n long"), wanted).collect()
+        return {r["size_bucket"]: r["quota"] for r in rows}
+
+    assert quotas({"a": 90, "b": 9, "c": 1}, 10) == {"a": 8, "b": 1, "c": 1}
+    assert quotas({"a": 5, "b": 5}, 7) == {"a": 4, "b": 3}
+    assert quotas({"a": 2, "b": 50}, 40) == {"a": 2, "b": 38}

@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumeframe.scale import average_ranks, exact_quantiles, positions, prefix_sums, skew_join, top_rows
+from plumeframe import scale
+from plumeframe.operators import metrics
+from plumeframe.scale import average_ranks, exact_quantiles, positions, prefix_sums, skew_join, top_rows, value_steps
 
 
 @pytest.fixture(scope="module")
@@ -71,3 +73,15 @@ def test_top_rows_trims_before_the_shuffle(skewed):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
     assert out.filter("k = 'hot'").count() == 2
+
+
+def test_steps_are_fine_for_very_small_numbers(spark):
+    rows = spark.range(200_000).select((F.col("id") * 5e-13).alias("v"))
+    per_step = value_steps(rows, [], "v").select((scale._step(F.col("v"))).alias("s")).groupBy("s").count()
+    assert per_step.agg(F.max("count")).first()[0] < 1_000
+
+
+def test_rank_correlation_of_a_null_group(spark):
+    rows = [(None, float(i), float(i * i)) for i in range(6)] + [("a", float(i), float(-i)) for i in range(6)]
+    found = metrics.rank_correlation(spark.createDataFrame(rows, "g string, y double, p double"), ["g"], "y", "p").collect()
+    assert {r["g"]: round(r["spearman_r"], 9) for r in found} == {None: 1.0, "a": -1.0}
