@@ -14,14 +14,15 @@ from plumeframe.llm import bag_minhash, language_id, mixing, piece_lattice
 from plumeframe.llm.common import staged, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-MIN_SCORE = 0.3
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a recognised language; text without letters or without any known unit goes."""
+    """Keep documents in a recognised language; a text without letters, or of which nothing is known in any language, goes."""
     model = language_id.fit_documents(docs)
     found = language_id.identify(docs, model, "_pred", "_score")
-    return found.filter((F.col("_pred") != language_id.UNDECIDED) & (F.col("_score") >= MIN_SCORE)).select(*COLUMNS)
+    # Without any evidence all languages share the score.
+    even = 1.0 / len(model.languages) + 1e-9 if len(model.languages) > 1 else 0.0
+    return found.filter((F.col("_pred") != language_id.UNDECIDED) & (F.col("_score") > even)).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,7 +112,7 @@ def best_of_pack(query: tuple, candidates: tuple, k: int, floors: np.ndarray) ->
     for i in range(len(qid)):
         limit, step = floors[i], 64
         ids, scores = np.empty(0, np.int64), np.empty(0, np.int64)
-        open_ = np.flatnonzero(bound[i] >= limit)
+        open_ = np.flatnonzero((bound[i] >= limit) & (bound[i] > -np.inf))
         while len(open_):
             if len(open_) > step:
                 split = np.argpartition(-bound[i, open_], step)
