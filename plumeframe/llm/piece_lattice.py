@@ -4,8 +4,8 @@ Encoding. A text is the prefix mark and its characters, with spaces as marks, as
 into words at places that no piece crosses, so the best segmentation of the text is that of its words. Each distinct
 word is segmented once: its substrings up to the longest piece are exploded and equi-joined with the piece table; the
 matching edges are grouped by word, and a Viterbi fold over the word's positions (``aggregate``) keeps the best edge
-into each position and walks back. Characters without a piece become their UTF-8 byte pieces. Words and their ids go
-back to the documents by chunk: documents are dealt over chunks of bounded size and each chunk meets the words it holds.
+into each position and walks back to where its pieces start. Characters without a piece become their UTF-8 byte
+pieces. Words and their cuts go back to the documents by chunk: documents are dealt over chunks of bounded size and each chunk meets the words it holds.
 
 Weights. The vocabulary at hand is a merge list, whose scores are minus the merge rank. As log probabilities they
 would favour many short pieces, so an edge weighs -ln(256 + rank), the Zipf law of the rank, in fixed point. The ids are
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import islice
@@ -47,6 +48,7 @@ FOLD_CHARS = 48
 # position: its score above start and id + 1, so that numbers compare like (score, start, id).
 ID_BITS, COST_BITS = 20, 31
 STEP_BITS = 6 + ID_BITS
+ALPHABET = 256
 MAX_PIECES = (1 << ID_BITS) - 2
 CHUNK_BYTES = 64 << 20
 SLICE_CHARS = 2 << 20
@@ -125,9 +127,10 @@ def _words(text: str, pattern: re.Pattern) -> Iterator[list[str]]:
         yield some
 
 
-def _best_edges(edges: str, word: str) -> Column:
+def _best_edges(edges: str, word: str, pieces: Pieces) -> Column:
     """The best way into each position of the word, position 0 first: a fold over the edges in the order of their ends."""
     step = (1 << STEP_BITS) - 1
+    alphabet = F.array(*[F.lit(_tail(*pieces.edges[chr(c)]) if chr(c) in pieces.edges else -FALLBACK).cast("long") for c in range(ALPHABET)])
 
     def into(best: Column, edge: Column) -> Column:
         stop = F.shiftright(edge, COST_BITS + STEP_BITS).cast("int")
@@ -139,39 +142,45 @@ def _best_edges(edges: str, word: str) -> Column:
 
     def letter(start: Column) -> Column:
         place = F.shiftleft(((start + 1) * 64 + start).cast("long"), COST_BITS + ID_BITS)
-        return place + F.lit(-FALLBACK)
+        return place + F.coalesce(F.get(alphabet, F.ascii(F.substring(F.col(word), start + 1, F.lit(1)))), F.lit(-FALLBACK))
 
     letters = F.transform(F.sequence(F.lit(0), F.length(word) - 1), letter)
     return F.aggregate(F.sort_array(F.concat(F.col(edges), letters)), F.array(F.lit(0).cast("long")), into)
 
 
-def _path(best: str, word: str, first_byte: int) -> Column:
-    """Ids along the best path; characters without a piece as their bytes."""
-
-    def letters(start: Column) -> Column:
-        code = F.hex(F.encode(F.substring(F.col(word), start + 1, F.lit(1)), "UTF-8"))
-        return F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda i: (F.conv(F.substring(code, i, F.lit(2)), 16, 10) + first_byte).cast("int"))
+def _cuts(best: str, word: str) -> Column:
+    """Where the pieces of the best path start: bit i stands for position i."""
+    one = F.lit(1).cast("long")
 
     def back(state: Column, _: Column) -> Column:
-        way = F.get(best, state["at"])
-        start = F.shiftright(way, ID_BITS).bitwiseAND(63).cast("int")
-        piece = (way.bitwiseAND((1 << ID_BITS) - 1) - 1).cast("int")
-        ids = F.when(piece >= 0, F.array(piece)).otherwise(letters(start))
-        step = F.struct(start.alias("at"), F.concat(ids, state["ids"]).alias("ids"))
-        return F.when(state["at"] > 0, step).otherwise(state)
+        # The state holds the position in its low 6 bits and the cuts found so far above them.
+        at = state.bitwiseAND(63).cast("int")
+        start = F.shiftright(F.get(best, at), ID_BITS).bitwiseAND(63)
+        found = state - state.bitwiseAND(63) + start + F.call_function("shiftleft", one, (start + 6).cast("int"))
+        return F.when(at > 0, found).otherwise(state)
+
+    return F.shiftright(F.aggregate(F.sequence(F.lit(1), F.length(word)), F.length(word).cast("long"), back), 6)
+
 
-    end = F.struct(F.length(word).alias("at"), F.array().cast("array<int>").alias("ids"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(word)), end, back)["ids"]
+def _tail(weight: int, piece: int) -> int:
+    """Id and cost of an edge."""
+    return ((piece + 1) << COST_BITS) - weight
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """``word, ids`` and ``first`` of distinct ``word, first`` rows. Partitioned by word, nothing moves."""
+    """``word, first, cuts`` of distinct ``word, first`` rows. Partitioned by word, nothing moves.
+
+    Substrings of one character below ``ALPHABET`` are read from an array in the fold, all others meet the piece table.
+    """
     # The empty piece at the start of each word keeps words of which no substring is a piece.
-    table = [(piece, ((i + 1) << COST_BITS) - weight) for piece, (weight, i) in pieces.edges.items()] + [("", -1)]
+    table = [(p, _tail(*edge)) for p, edge in pieces.edges.items() if len(p) > 1 or ord(p) >= ALPHABET] + [("", -1)]
     known = F.broadcast(words.sparkSession.createDataFrame(table, "piece string, tail long"))
     size = F.length("word")
-    starts = words.select("word", "first", F.explode(F.sequence(F.lit(0), size - 1)).alias("start"))
-    stops = F.sequence(F.when(F.col("start") == 0, 0).otherwise(F.col("start") + 1), F.least(F.col("start") + pieces.longest, size))
+    # A word has a character at least; the outer form only keeps the optimizer from filtering one of the two uses of the words.
+    starts = words.select("word", "first", F.explode_outer(F.sequence(F.lit(0), size - 1)).alias("start"))
+    least = F.when(F.ascii(F.substring(F.col("word"), F.col("start") + 1, F.lit(1))) < ALPHABET, 2).otherwise(1) + F.col("start")
+    some = F.when(least <= size, F.sequence(least, F.least(F.col("start") + pieces.longest, size))).otherwise(F.array().cast("array<int>"))
+    stops = F.when(F.col("start") == 0, F.concat(F.array(F.lit(0)), some)).otherwise(some)
     spans = starts.select("word", "first", "start", F.explode(stops).alias("stop"))
     place = F.shiftleft((F.col("stop") * 64 + F.col("start")).cast("long"), COST_BITS + ID_BITS)
     edges = (
@@ -180,7 +189,19 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
         .select("word", "first", F.when(F.col("tail") >= 0, place + F.col("tail")).alias("edge"))
     )
     lattice = edges.groupBy("word").agg(F.collect_list("edge").alias("edges"), F.min("first").alias("first"))
-    return lattice.withColumn("best", _best_edges("edges", "word")).select("word", "first", _path("best", "word", pieces.first_byte).alias("ids"))
+    return lattice.withColumn("best", _best_edges("edges", "word", pieces)).select("word", "first", _cuts("best", "word").alias("cuts"))
+
+
+def ids_at(word: str, cuts: int, pieces: Pieces) -> list[int]:
+    """Ids of the pieces of a word that start at ``cuts``; characters without a piece as their bytes."""
+    out: list[int] = []
+    stop = len(word)
+    while stop:
+        start = (cuts & ((1 << stop) - 1)).bit_length() - 1
+        edge = pieces.edges.get(word[start:stop])
+        out.extend([edge[1]] if edge else [pieces.first_byte + b for b in reversed(word[start:stop].encode())])
+        stop = start
+    return out[::-1]
 
 
 def text_of(ids: list[int], content: list[bytes]) -> str:
@@ -231,19 +252,23 @@ def encode(docs: DataFrame, pieces: Pieces, chunk_bytes: int = CHUNK_BYTES) -> D
         yield from flush()
 
     # Both uses of the packed texts, and both of the words, read all columns of one exchange, so Spark runs it once.
-    words = packed.mapInArrow(distinct_words, "_chunk int, word string").repartition("word")
+    words = packed.mapInArrow(distinct_words, "_chunk int, word string").filter(F.col("word").isNotNull()).repartition("word")
     table = encode_words(words.groupBy("word").agg(F.min("_chunk").alias("first")), pieces)
     # A word that was flushed twice by its chunk comes twice, which does no harm.
-    lists = words.join(table.filter(F.col("first") >= 0).select("word", "ids").hint("shuffle_hash"), "word")
+    lists = words.join(table.filter(F.col("first") >= 0).select("word", "cuts").hint("shuffle_hash"), "word")
 
     def assemble(docs: pa.Table, lists: pa.Table) -> pa.Table:
         vocabulary, open_ = shared.value, zstandard.ZstdDecompressor()
         pattern = re.compile(vocabulary.pattern)
         mark = [vocabulary.first_byte + b for b in MARK.encode()]
         known = lists["word"].combine_chunks() if lists.num_rows else pa.array([], pa.string())
-        ids = lists["ids"].combine_chunks() if lists.num_rows else pa.array([], pa.list_(pa.int32()))
-        flat = ids.flatten().to_numpy()
-        sizes = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, lengths = array("i"), array("q")
+        for batch in lists.to_batches(10_000):
+            for word, cuts in zip(batch["word"].to_pylist(), batch["cuts"].to_pylist()):
+                ids = ids_at(word, cuts, vocabulary)
+                flat.extend(ids)
+                lengths.append(len(ids))
+        flat, sizes = np.array(flat, np.int32), np.array(lengths, np.int64)
         starts = np.cumsum(sizes) - sizes
 
         def ids_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
