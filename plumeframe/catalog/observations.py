@@ -321,7 +321,7 @@ _BIN = "case when {c}<=30 then '<=30' when {c}<=100 then '30-100' else '>100' en
     ),
 )
 def proximity_bins(spark, sf):
-    out = spatial.proximity_bins(observations(spark, sf), t.incidents(spark, sf))
+    out = spatial.proximity_bins(observations(spark, sf), t.incidents(spark, sf), k=8)
     return out.select("station_id", "date_local", "fire_proximity_bin")
 
 
@@ -388,7 +388,7 @@ def rounded_metrics(df):
 
 
 def judged(spark, sf):
-    near = spatial.proximity_bins(observations(spark, sf), t.incidents(spark, sf))
+    near = spatial.proximity_bins(observations(spark, sf), t.incidents(spark, sf), k=8)
     return metrics.add_strata(near.selectExpr("*", *t._columns(PREDICTORS)))
 
 

@@ -151,15 +151,15 @@ def active_days(incidents: DataFrame, day: str = "day") -> DataFrame:
 def proximity_bins(
     observations: DataFrame,
     incidents: DataFrame,
-    k: int | None = 8,
+    k: int | None = None,
     near_km: float = 30.0,
     far_km: float = 100.0,
 ) -> DataFrame:
     """Adds ``fire_proximity_bin``: <=30, 30-100 or >100 km to the nearest active perimeter.
 
-    Per station-day the k centres nearest on a plane scaled by the cosine of the day's mean centre
-    latitude are looked at; the distance is haversine to the centre less the half diagonal, not
-    below zero. ``k=None`` looks at every incident. Only pairs within the planar reach that can
+    The distance is haversine to the centre less the half diagonal, not below zero. Every incident is
+    looked at, or with ``k`` only the k centres nearest on a plane scaled by the cosine of the day's
+    mean centre latitude. Only pairs within the planar reach that can
     still give a distance of ``far_km`` are formed: incidents are spread over coarse cells of
     that reach and joined on (day, cell).
     """

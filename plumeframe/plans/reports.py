@@ -161,8 +161,8 @@ def drop_rebound_cloud_report(
     pixels: DataFrame,
     gap_minutes: int = 45,
     max_minutes: float = 30.0,
-    max_incidents: int = 60,
-    per_incident: int = 1,
+    max_incidents: int = 0,
+    per_incident: int = 0,
     max_events: int = 0,
     **rules: float,
 ) -> dict[str, DataFrame]:

@@ -54,7 +54,7 @@ def plan_reduction(
     fires: DataFrame, channels: Sequence[Channel], labels: int, patch: tuple[int, int], rules: ReductionRules,
     sample_hours: Sequence[int] | None = None, daily: tuple[dt.date, dt.date, bool] | None = None,
 ) -> ReductionPlan:
-    """Steps that bring a sample set under its byte budget, in a fixed order.
+    """Steps that would bring a sample set under its byte budget, in a fixed order: a report. ``build_samples`` takes them only when asked to.
 
     Drop upper-air channels; keep every second hour after 72 h (hourly sets only); cap the samples
     per incident. ``daily`` is (run start, run end, next-day label needed). All states are counted in
@@ -115,16 +115,16 @@ def label_alignment(fields: DataFrame, leads: Sequence[int]) -> DataFrame:
     )
 
 
-def hourly_tasks(fires: DataFrame, settings: SampleSettings, plan: ReductionPlan, max_hours_per_incident: int | None = None) -> DataFrame:
-    tasks = temporal.incident_hours(fires, plan.cadence_after_72h, plan.cap_samples, settings.sample_hours, max_hours_per_incident)
+def hourly_tasks(fires: DataFrame, settings: SampleSettings, plan: ReductionPlan) -> DataFrame:
+    tasks = temporal.incident_hours(fires, plan.cadence_after_72h, plan.cap_samples, settings.sample_hours)
     return tasks.withColumn("run_date", F.to_date("run_time")).withColumn(
         "sample_key", s.sample_key_hourly("incident_id", "run_time")
     )
 
 
-def daily_tasks(fires: DataFrame, settings: SampleSettings, plan: ReductionPlan, max_days_per_incident: int | None = None) -> DataFrame:
+def daily_tasks(fires: DataFrame, settings: SampleSettings, plan: ReductionPlan) -> DataFrame:
     hours = settings.sample_hours or (0, 6, 12, 18)
-    days = temporal.incident_days(fires, settings.run_start, settings.run_end, True, plan.cap_samples, max_days_per_incident)
+    days = temporal.incident_days(fires, settings.run_start, settings.run_end, True, plan.cap_samples)
     return days.withColumnRenamed("day", "run_date").withColumn(
         "run_time", F.timestamp_seconds(F.unix_date("run_date").cast("bigint") * 86400 + min(hours) * 3600)
     ).withColumn("sample_key", s.sample_key_daily("incident_id", "run_date", hours))
@@ -286,9 +286,8 @@ def build_samples(
     settings: SampleSettings,
     daily: bool = False,
     done: DataFrame | None = None,
-    max_incidents: int | None = None,
+    plan: ReductionPlan | None = None,
     max_samples: int | None = None,
-    max_per_incident: int | None = None,
     next_day_only: bool = True,
     domain=geo.GRID_DOMAIN,
 ) -> SampleSet:
@@ -296,20 +295,21 @@ def build_samples(
 
     ``daily`` means over the sample hours of a day with the next day's mean as label; otherwise one
     sample per hour with labels at the configured leads. Samples with any missing field are left out;
-    samples in ``done`` are skipped. The limits are arguments of the product, off by default.
+    samples in ``done`` are skipped. All channels, hours and days are built, whatever their size; ``plan`` (such as that
+    of ``plan_reduction``) leaves some out, ``max_samples`` builds the first ones of a set that ``done`` continues.
     """
     if daily and not next_day_only:
         raise ValueError("daily samples need next-day labels")
     hours = s.check_hours(settings.sample_hours if settings.sample_hours is not None else ((0, 6, 12, 18) if daily else None))
     leads = (24,) if daily else settings.leads
     kept, dropped = incidents.domain_split(fires, settings.buffer_km, domain)
-    if max_incidents is not None:
-        kept = kept.orderBy("start_ts", "end_ts", "incident_id").limit(max_incidents)
     kept = with_boxes(kept.drop("rings"), settings.buffer_km)
     span = (settings.run_start, settings.run_end, True) if daily else None
-    plan = plan_reduction(kept, settings.channels, len(leads), settings.patch, settings.reduction, hours, span)
+    if plan is None:
+        total = count_samples(kept, [(1, None)], hours, span)[0]
+        plan = ReductionPlan(True, 1, None, (), total, sample_bytes(total, len(settings.channels) + 1, len(leads), settings.patch))
     channels = [c for c in settings.channels if plan.include_upper_air or not is_upper_air(c)]
-    tasks = (daily_tasks if daily else hourly_tasks)(kept, settings, plan, max_per_incident)
+    tasks = (daily_tasks if daily else hourly_tasks)(kept, settings, plan)
     tasks = skip_done(tasks, done)
     needed = source_times(tasks, settings, channels, leads, hours if daily else None)
     tasks = complete_tasks(tasks, needed, fields)
