@@ -133,12 +133,12 @@ def _best_edges(edges: str, word: str, pieces: Pieces) -> Column:
     alphabet = F.array(*[F.lit(_tail(*pieces.edges[chr(c)]) if chr(c) in pieces.edges else -FALLBACK).cast("long") for c in range(ALPHABET)])
 
     def into(best: Column, edge: Column) -> Column:
-        stop = F.shiftright(edge, COST_BITS + STEP_BITS).cast("int")
+        stop = F.shiftright(edge, COST_BITS + STEP_BITS)
         place = F.shiftright(edge, COST_BITS).bitwiseAND(step)
-        before = F.get(best, F.shiftright(place, ID_BITS).cast("int"))
-        way = before - before.bitwiseAND(step) - F.shiftleft(edge.bitwiseAND((1 << COST_BITS) - 1), STEP_BITS) + place
-        # The first edge into a position appends it (there is nothing to compare with), others keep the better way.
-        return F.concat(F.slice(best, F.lit(1), stop), F.array(F.greatest(F.get(best, stop), way)))
+        before = F.get(best, F.shiftright(place, ID_BITS)).bitwiseAND(~step)
+        way = before + place - F.shiftleft(edge.bitwiseAND((1 << COST_BITS) - 1), STEP_BITS)
+        # Longer pieces come first and mostly stay the best, so few edges write: the first into a position, and better ones.
+        return F.when(F.get(best, stop) >= way, best).otherwise(F.concat(F.slice(best, F.lit(1), stop.cast("int")), F.array(way)))
 
     def letter(start: Column) -> Column:
         place = F.shiftleft(((start + 1) * 64 + start).cast("long"), COST_BITS + ID_BITS)
