@@ -258,17 +258,22 @@ def _joined_components(mixed: DataFrame, bags: DataFrame) -> DataFrame:
     own = counts.filter(F.col("own").isNotNull()).groupBy("bucket", "own").agg(blocks)
     rest = counts.filter(F.col("own").isNull()).groupBy("bucket").agg(blocks).withColumn("own", F.lit(-1).cast("long"))
     sizes = own.unionByName(rest)
+    sizes = sizes.join(sizes.groupBy("bucket").agg(F.sum("blocks").alias("all_blocks")), "bucket")
     placed = mixed.join(counts.select("bucket", "root", F.coalesce("own", F.lit(-1)).alias("own")), ["bucket", "root"]).join(sizes, ["bucket", "own"])
     placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    packs = placed.join(bags.withColumnRenamed("doc_id", "rep"), "rep").groupBy("bucket", "own", "block")
+    packs = placed.join(bags.withColumnRenamed("doc_id", "rep"), "rep").groupBy("bucket", "own", "block", "all_blocks")
     packs = staged(packs.agg(F.collect_list(F.struct("rep", "root", "bag")).alias("rows")), "blocks")
-    names = packs.select("bucket", "own", "block")
+    # A shared block is compared with itself where it lies; only blocks of buckets with several blocks move to meet others.
+    within = packs.filter(F.col("own") == -1).select("rows", F.col("rows").alias("others"))
+    several = packs.filter(F.col("all_blocks") > 1).drop("all_blocks")
+    names = several.select("bucket", "own", "block")
     others = names.select("bucket", F.col("own").alias("own_"), F.col("block").alias("block_"))
-    # Blocks of one large component need no comparison with each other; the shared ones do, and with themselves.
-    shared = (F.col("own") == -1) & (F.col("own_") == -1) & (F.col("block") >= F.col("block_"))
+    # Blocks of one large component need no comparison with each other.
+    shared = (F.col("own") == -1) & (F.col("own_") == -1) & (F.col("block") > F.col("block_"))
     pairs = names.join(others, "bucket").filter((F.col("own") > F.col("own_")) | shared)
-    right = packs.select("bucket", F.col("own").alias("own_"), F.col("block").alias("block_"), F.col("rows").alias("others"))
-    met = pairs.join(packs, ["bucket", "own", "block"]).join(right, ["bucket", "own_", "block_"]).select("rows", "others")
+    right = several.select("bucket", F.col("own").alias("own_"), F.col("block").alias("block_"), F.col("rows").alias("others"))
+    across = pairs.join(several, ["bucket", "own", "block"]).join(right, ["bucket", "own_", "block_"]).select("rows", "others")
+    met = within.unionByName(across)
     return staged(met.mapInArrow(_joined, "a long, b long").distinct(), "joined")
 
 
@@ -292,8 +297,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same = member.filter(F.col("doc_id") > F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     # One document per class, in the buckets that hold more than one class.
-    shown = sketches.join(classes.select("digest", "rep"), "digest").filter(F.col("doc_id") == F.col("rep"))
-    entries = shown.dropDuplicates(["digest"]).select("rep", "n", F.explode("bands").alias("bucket"))
+    shown = sketches.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n", "bands"), "doc_id").alias("one"))
+    entries = shown.select("rep", F.col("one.n").alias("n"), F.explode("one.bands").alias("bucket"))
     least = entries.groupBy("bucket").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter(F.col("first") < F.col("last"))
     shared = staged(entries.join(least.select("bucket", "first"), "bucket"), "buckets")
     first = shared.filter(F.col("rep") != F.col("first")).select(F.col("rep").alias("a"), F.col("first").alias("b")).distinct()
