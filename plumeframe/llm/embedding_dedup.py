@@ -2,11 +2,12 @@
 
 1. Equal vectors of a label become one class with a count.
 2. Per label (and length), spherical k-means on a bounded sample gives cells of about ``cell_rows`` classes.
-3. A class lives in the cell of its nearest centroid A. It also visits each later cell B from whose
-   border it is no further than a partner can be: x.(A-B)/|A-B| is the sine of its angle to the
-   border, and a partner beyond the border lies within acos(threshold). ``reach`` scales that
-   bound: 1 finds every pair whatever the data. The default min(1, 4/sqrt(d)) is four standard
-   deviations of a partner in a random direction of d dimensions.
+3. A class lives in the cell of its nearest centroid A. It also visits each later cell B that can hold
+   a partner. A partner in B lies beyond the border of B with A, and with every other cell C;
+   x.(C-B)/|C-B| is the sine of the angle of x to that border, and the partner lies within
+   acos(threshold) of x. B is left out where one of the ``NEAREST`` cells C is further than that from
+   its border with B, so every pair is found whatever the data. ``reach`` scales the bound; less than
+   the default of 1 loses pairs.
 4. Cells and their visitors are cut into packs of at most about ``pack_rows`` classes; a row of the pair table is one
    product of two packs. It returns link counts and one link to its local root per class, never pairs. Each pair of
    classes meets in one product only.
@@ -34,6 +35,8 @@ from plumeframe.llm.components import components
 from plumeframe.llm.vectors import finite, matrix
 
 KEY = ["label", "dim"]
+#: Cells whose borders are looked at for each row; more leave out more visits and cost more comparisons.
+NEAREST = 8
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -58,13 +61,16 @@ def spherical_kmeans(units: np.ndarray, cells: int, rounds: int, seed: int) -> n
 
 
 def _visits(units: np.ndarray, centres: np.ndarray, sine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Home cell of each row, and the later cells whose border is within the sine."""
+    """Home cell of each row, and the later cells that are within the sine of the borders of its nearest cells."""
     near = units @ centres.T
     home = near.argmax(axis=1)
     apart = np.linalg.norm(centres[:, None, :] - centres[None, :, :], axis=2)
-    gap = near[np.arange(len(units)), home][:, None] - near
-    close = gap <= sine * apart[home]
-    return home, close & (np.arange(len(centres))[None, :] > home[:, None])
+    close = np.arange(len(centres))[None, :] > home[:, None]
+    rows = np.arange(len(units))
+    some = min(NEAREST, len(centres))
+    for c in np.vstack([home, np.argpartition(-near, some - 1, axis=1)[:, :some].T]):
+        close &= near[rows, c][:, None] - near <= sine * apart[c] + 1e-9  # rounding
+    return home, close
 
 
 def fit_cells(classes: DataFrame, cell_rows: int, max_cells: int, sample_rows: int, rounds: int, seed: int) -> DataFrame:
@@ -85,7 +91,7 @@ def fit_cells(classes: DataFrame, cell_rows: int, max_cells: int, sample_rows: i
     return drawn.select(*KEY, "rep", "vector", "cells").groupBy(*KEY).applyInArrow(fit, f"label {kind}, dim int, cell int, centre array<double>")
 
 
-def _assign(classes: DataFrame, centres: DataFrame, threshold: float, reach: float | None, chunk_rows: int) -> DataFrame:
+def _assign(classes: DataFrame, centres: DataFrame, threshold: float, reach: float, chunk_rows: int) -> DataFrame:
     """Classes with their home ``cell`` and the cells they ``visit``; a label is dealt over chunks that each get its centroids."""
     sizes = classes.groupBy(*KEY).agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
     rows = classes.join(sizes, KEY).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int")).drop("chunks")
@@ -99,8 +105,7 @@ def _assign(classes: DataFrame, centres: DataFrame, threshold: float, reach: flo
         else:
             centres = centres.sort_by("cell")
             points = matrix(centres["centre"].combine_chunks())
-            wide = min(1.0, 4.0 / np.sqrt(points.shape[1])) if reach is None else reach
-            home, close = _visits(unit_rows(matrix(rows["vector"].combine_chunks())), points, wide * np.sqrt(1 - threshold**2))
+            home, close = _visits(unit_rows(matrix(rows["vector"].combine_chunks())), points, reach * np.sqrt(1 - max(threshold, 0.0) ** 2))
             visits = [np.flatnonzero(c).astype(np.int32) for c in close]
         return rows.append_column("cell", pa.array(home.astype(np.int32))).append_column("visits", pa.array(visits, pa.list_(pa.int32())))
 
@@ -160,7 +165,7 @@ def _products(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[p
 def near_duplicates(
     vectors: DataFrame,
     threshold: float = 0.93,
-    reach: float | None = None,
+    reach: float = 1.0,
     cell_rows: int = 2_000,
     max_cells: int = 256,
     sample_rows: int = 20_000,

@@ -261,3 +261,14 @@ def test_vector_groups_equal_brute_force(spark):
             root = {k: low if v == high else v for k, v in root.items()}
     assert rows_of(found, "vec_id", "n_links", "component_id", "kept") == sorted(((i, links[i], root[i], root[i] == i) for i, _, _ in rows), key=str)
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
+
+
+def test_vectors_of_low_dimension_lose_no_link_between_cells(spark):
+    rng = np.random.default_rng(3)
+    units = np.float32(rng.normal(size=(1500, 4)) @ np.linalg.qr(rng.normal(size=(64, 4)))[0].T)
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(units)]
+    found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS), cell_rows=30, pack_rows=100)
+    units = embedding_dedup.unit_rows(units.astype(np.float64))
+    want = (units @ units.T >= 0.93).sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in found.collect()}
+    assert sum(got.values()) == want.sum() and [got[i] for i in range(1500)] == want.tolist()
