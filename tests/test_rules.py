@@ -315,6 +315,39 @@ def test_copies_link_one_to_one(spark):
     assert {r["overlap_ratio"] for r in rows} == {1.0}
 
 
+def test_common_area_of_boxes_diamonds_and_holes():
+    def edges(*rings):
+        return np.array([(*p, *q) for ring in rings for p, q in zip(ring, ring[1:] + ring[:1])], dtype=float).reshape(-1, 4)
+
+    box = lambda x, y, h: [(x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h)]
+    diamond = lambda x, y, h: [(x, y - h), (x + h, y), (x, y + h), (x - h, y)]
+    assert linkage.common_area(edges(box(0, 0, 1)), edges(box(0.5, 1, 1))) == pytest.approx(1.5)
+    assert linkage.common_area(edges(diamond(0, 0, 1)), edges(box(0, 0, 1))) == pytest.approx(2.0)
+    assert linkage.common_area(edges(diamond(0, 0, 1)), edges(diamond(1, 0, 1))) == pytest.approx(0.5)
+    assert linkage.common_area(edges(diamond(-100, 40, 1.5)), edges(box(-100, 40, 1))) == pytest.approx(4 - 4 * 0.125)
+    assert linkage.common_area(edges(box(0, 0, 2), box(0, 0, 1)), edges(box(0, 0, 2))) == pytest.approx(12.0)
+    assert linkage.common_area(edges(box(0, 0, 1)), edges(box(5, 0, 1))) == linkage.common_area(edges(), edges(box(0, 0, 1))) == 0.0
+
+
+def test_shapes_below_a_lattice_cell_are_linked(spark):
+    def shape(x, y, h):
+        return [[(x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h), (x - h, y - h)]]
+
+    kind = "incident_id string, key string, irwin_id string, name string, start_date date, size_acres double, rings array<array<struct<x: double, y: double>>>"
+    day = dt.date(2024, 6, 1)
+    # Squares of 0.02 degrees, far apart, anywhere in their cells; the last two lie in a large one and half beside each other.
+    places = [(-120 + 0.37 * i, 40 + 0.113 * i, 0.01) for i in range(20)]
+    a = [(f"a{i}", f"a{i}", None if i % 2 else f"i{i}", f"f{i}", day, 9.0, shape(*p)) for i, p in enumerate([*places, (-100.0, 35.0, 1.0), (-90.005, 35.0, 0.01)])]
+    b = [(f"b{i}", f"b{i}", None if i % 2 else f"i{i}", f"f{i}", day, 9.0, shape(*p)) for i, p in enumerate([*places, (-100.02, 35.0, 0.01), (-89.995, 35.0, 0.01)])]
+    left, right = (spark.createDataFrame(rows, kind) for rows in (a, b))
+    got = {(r["left_key"], r["right_key"]): r["overlap_ratio"] for r in linkage.overlap_ratios(left, right, 10).collect()}
+    want = {(f"a{i}", f"b{i}"): 0.5 if i == 21 else 1.0 for i in range(22)}
+    assert got == pytest.approx(want)
+    linked = linkage.link_incidents(left, right).collect()
+    assert {(r["left_id"], r["right_id"]): r["overlap_ratio"] for r in linked} == pytest.approx(want)
+    assert sum(r["match_method"] == "irwin_exact" for r in linked) == 11
+
+
 # ---- models ----------------------------------------------------------------------------------
 
 
