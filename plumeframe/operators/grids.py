@@ -193,16 +193,13 @@ def resample_patch(windows: DataFrame, shape: tuple[int, int], name: str = "patc
     return windows.withColumn(name, F.transform(lattice, value)).drop("window", "ix0", "ix1", "iy0", "iy1")
 
 
-def fixed_grid(df: DataFrame, pixel_m: float, max_dim: int, box: Sequence[str] = ("xmin", "ymin", "xmax", "ymax")) -> DataFrame:
-    """Cells of fixed size over a box: ``nx, ny``; smaller than 2 or larger than ``max_dim`` drops the row."""
+def fixed_grid(df: DataFrame, pixel_m: float, max_dim: int | None = None, box: Sequence[str] = ("xmin", "ymin", "xmax", "ymax")) -> DataFrame:
+    """Cells of fixed size over a box: ``nx, ny``; smaller than 2, or larger than a given ``max_dim``, drops the row."""
     xmin, ymin, xmax, ymax = (F.col(c) for c in box)
     nx = F.ceil(F.greatest(xmax - xmin, F.lit(pixel_m)) / pixel_m).cast("int")
     ny = F.ceil(F.greatest(ymax - ymin, F.lit(pixel_m)) / pixel_m).cast("int")
-    return (
-        df.withColumn("nx", nx)
-        .withColumn("ny", ny)
-        .filter(F.col("nx").between(2, max_dim) & F.col("ny").between(2, max_dim))
-    )
+    kept = df.withColumn("nx", nx).withColumn("ny", ny).filter((F.col("nx") >= 2) & (F.col("ny") >= 2))
+    return kept if max_dim is None else kept.filter((F.col("nx") <= max_dim) & (F.col("ny") <= max_dim))
 
 
 def resample_fixed(windows: DataFrame, grid: GridSpec, pixel_m: float, name: str = "patch") -> DataFrame:

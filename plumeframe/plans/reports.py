@@ -392,7 +392,7 @@ def projected(detections: DataFrame) -> DataFrame:
     return detections.withColumn("x", x).withColumn("y", y)
 
 
-def incident_grids(fires: DataFrame, buffer_km: float, pixel_m: float, max_dim: int) -> DataFrame:
+def incident_grids(fires: DataFrame, buffer_km: float, pixel_m: float, max_dim: int | None = None) -> DataFrame:
     """Incidents with their buffered projected box and fixed grid."""
     xmin, ymin, xmax, ymax = geo.projected_box("min_lon", "min_lat", "max_lon", "max_lat", buffer_km)
     boxed = fires.withColumn("xmin", xmin).withColumn("ymin", ymin).withColumn("xmax", xmax).withColumn("ymax", ymax)
@@ -481,7 +481,7 @@ def cumulative_and_recent(pairs: DataFrame, boxes: DataFrame, examples: DataFram
 
 
 def late_stage_report(
-    detections: DataFrame, fires: DataFrame, pixel_m: float = 375.0, max_dim: int = 768, buffer_km: float = 30.0, window_days: int = 5,
+    detections: DataFrame, fires: DataFrame, pixel_m: float = 375.0, max_dim: int | None = None, buffer_km: float = 30.0, window_days: int = 5,
     min_acres: float = 50_000.0, min_days: int = 18, **search,
 ) -> dict[str, DataFrame]:
     eligible = incidents.eligible_incidents(fires, min_acres=min_acres, min_days=min_days)
@@ -513,7 +513,7 @@ def smoothing_scores(
 
 def smoothing_case_report(
     detections: DataFrame, fires: DataFrame, wind: DataFrame | None = None, sample_hours: Sequence[int] = (0, 6, 12, 18),
-    pixel_m: float = 375.0, max_dim: int = 768, buffer_km: float = 30.0, min_daily: int = 25, max_growth: float = 0.35, **scoring,
+    pixel_m: float = 375.0, max_dim: int | None = None, buffer_km: float = 30.0, min_daily: int = 25, max_growth: float = 0.35, **scoring,
 ) -> dict[str, DataFrame]:
     """Find the day pair, then score the baseline; without ``wind`` (incident_id, u, v) the air is still."""
     boxes = incident_grids(incidents.eligible_incidents(fires), buffer_km, pixel_m, max_dim)

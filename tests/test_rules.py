@@ -13,7 +13,7 @@ from plumeframe.config import Channel, GridSpec, ReductionRules
 from plumeframe.functions import geo
 from plumeframe.functions import scalars as s
 from plumeframe.operators import grids, incidents, linkage, metrics, models, observations, overpass, spatial, stability, temporal
-from plumeframe.plans import samples
+from plumeframe.plans import reports, samples
 
 
 def value(spark, column):
@@ -244,6 +244,19 @@ def test_reduction_order(spark):
     assert tight.cap_samples == 10 and tight.samples == 50 and len(tight.actions) == 3
 
 
+def test_reports_keep_the_widest_incidents(spark):
+    ring = [[(-110.0, 40.0), (-104.0, 40.0), (-104.0, 41.0), (-110.0, 41.0), (-110.0, 40.0)]]
+    fires = fire(spark, [(1, ring, DAY, DAY + dt.timedelta(19), 90_000.0)])
+    hits = [(1, 0, -109.9, 100.0), (2, 16, -104.1, 5.0)]
+    rows = [(i, x, 40.5, frp, dt.datetime(2024, 1, 5, 6) + dt.timedelta(day), DAY + dt.timedelta(day)) for i, day, x, frp in hits]
+    found = spark.createDataFrame(rows, "det_id bigint, lon double, lat double, frp double, hour_utc timestamp, acq_day date")
+    out = reports.late_stage_report(found, fires, min_daily=1)
+    totals = [(r["incident_id"], r["cumulative_total_frp"], r["recent_window_total_frp"]) for r in out["totals"].collect()]
+    assert totals == [(1, 105.0, 5.0)]
+    (a, b) = sorted(r["ix"] for r in out["cumulative"].collect())
+    assert b - a > 768 and reports.incident_grids(fires, 30.0, 375.0, 768).count() == 0
+
+
 # ---- linkage ---------------------------------------------------------------------------------
 
 
