@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumeframe.llm import bag_minhash, embedding_dedup, language_id, mixing, piece_lattice, pivot_search, sharding, token_counts, url_filter, warc_fixity
+from plumeframe.llm import (
+    bag_minhash, embedding_dedup, filter_audit, language_id, mixing, multiset_fingerprint, piece_lattice, pivot_search, sharding, token_counts, url_filter,
+    warc_fixity, whitening,
+)
 from plumeframe.llm.common import staged, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +162,42 @@ from embeddings left join counts on counts.a = vec_id left join roots on roots.a
 @query
 def op10_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_multiset_fingerprint(spark, sf_dir):
+    return multiset_fingerprint.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), scale=256.0, components=4)
+
+
+SQL["op13_filter_audit"] = r"""
+with texts as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+marks as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+masks as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+    case when len(words) < 100 then 'A' else '' end || case when 100 * len(list_distinct(words)) < 80 * len(words) then 'B' else '' end
+    || case when 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 10 * length(t) then 'C' else '' end
+    || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end
+    || case when texts.doc_id > min(texts.doc_id) over (partition by t) then 'E' else '' end as fails
+  from texts left join marks using (doc_id)),
+counted as (select part, fails, count(*) as c, sum(good) as g, sum(toxic) as x from masks group by all),
+letter(l) as (values ('A'), ('B'), ('C'), ('D'), ('E')),
+orders as (select a.l || b.l || c.l || d.l || e.l as o from letter a join letter b on b.l <> a.l join letter c on c.l not in (a.l, b.l)
+  join letter d on d.l not in (a.l, b.l, c.l) join letter e on e.l not in (a.l, b.l, c.l, d.l)),
+steps as (select o, s.step, substr(o, s.step, 1) as own, substr(o, 1, s.step - 1) as earlier from orders cross join (select unnest([1, 2, 3, 4, 5]) as step) s),
+judged as (select part, o, step, own, strpos(fails, own) > 0 as failing, earlier <> '' and regexp_matches(fails, '[' || earlier || ']') as gone, fails = own as alone, c, g, x
+  from (select o, step, own, case when earlier = '' then '-' else earlier end as earlier from steps) cross join counted),
+summed as (select part, o, step, own, sum(case when not failing and not gone then c else 0 end) as kept, sum(case when failing and not gone then c else 0 end) as removed,
+  sum(case when failing and gone then c else 0 end) as redundant, sum(case when alone then c else 0 end) as unique_fails,
+  sum(case when failing and not gone then g else 0 end) as good_lost, sum(case when failing and not gone then x else 0 end) as toxic_lost from judged group by all)
+select part, o as filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+  cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+  cast(sum(removed) over (partition by part, own) as bigint) as shapley from summed"""
+
+
+@query
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.interaction_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
