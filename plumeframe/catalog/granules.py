@@ -351,8 +351,10 @@ def two_sensor_timeline(spark, sf):
 
 t.define(
     "panel_targets",
-    f"select incident_id, slot, {_ROUNDED} as t from targets",
-    ["targets"],
+    f"""select incident_id, day, slot, {_ROUNDED} as t from (select incident_id, day, slot, make_timestamp(cast(epoch_us(cast(day as timestamp)) + round_even(h*3600000000,0) as bigint)) as t
+  from (select incident_id, day, unnest(['day','night']) as slot, unnest([(13.5e0-cx/15+240)%24, (1.5e0-cx/15+240)%24]) as h
+  from (select incident_id, cx, start_date+cast(unnest(range(end_date-start_date+1)) as integer) as day from incidents)))""",
+    ["incidents"],
 )
 
 
@@ -367,8 +369,8 @@ t.define(
         fr as (select r.granule_key, r.incident_id, avg(cloud::int) as frac from (select distinct granule_key, incident_id from m where granule_key is not null) r join incidents i using (incident_id)
           left join cpixels p on p.granule_key=r.granule_key and lon between min_lon and max_lon and lat between min_lat and max_lat
           and ((is_diamond and abs(lon-cx)+abs(lat-cy) < hs) or (not is_diamond and abs(lon-cx) < hs and abs(lat-cy) < hs)) group by 1,2),
-        w as (select incident_id, max(frac) filter (slot='day') as d, max(frac) filter (slot='night') as n from m left join fr using (granule_key, incident_id) group by 1)
-        select incident_id, round(d,6) as cloud_day_frac, round(n,6) as cloud_night_frac, round(case when d is not null and n is not null then (d+n)/2 else coalesce(d,n) end,6) as cloud_mean_frac,
+        w as (select incident_id, day, max(frac) filter (slot='day') as d, max(frac) filter (slot='night') as n from m left join fr using (granule_key, incident_id) group by 1,2)
+        select incident_id, day, round(d,6) as cloud_day_frac, round(n,6) as cloud_night_frac, round(case when d is not null and n is not null then (d+n)/2 else coalesce(d,n) end,6) as cloud_mean_frac,
         round(greatest(d,n),6) as cloud_max_frac, cast(coalesce(d>=0.5 and n>=0.5,false) as integer) as both_overpasses_cloudy_50pct from w""".replace(", near as", "NN as", 1),
     ).replace("\nNN as", ", near as"),
 )
@@ -377,19 +379,33 @@ def panel_cloud_fractions(spark, sf):
 
     incidents = t.incidents(spark, sf)
     panel = incidents.select(
-        "incident_id", ((F.col("min_lon") + F.col("max_lon")) / 2).alias("centroid_lon"), F.col("start_date").alias("day")
+        "incident_id", ((F.col("min_lon") + F.col("max_lon")) / 2).alias("centroid_lon"), F.explode(F.sequence("start_date", "end_date")).alias("day")
     )
     out = panel_clouds(panel, incidents, cloud_granules(spark, sf), cloud_pixels(spark, sf), 300.0, round_minutes=15)
     names = ["cloud_day_frac", "cloud_night_frac", "cloud_mean_frac", "cloud_max_frac", "both_overpasses_cloudy_50pct"]
-    return t.rounded(out.select("incident_id", *names))
+    return t.rounded(out.select("incident_id", "day", *names))
+
+
+POINTS, POINT_CELL, LINES = 12, 0.0237, 64
 
 
 @query(
     "points_in_perimeter_cells",
     "H15 D13",
+    t.with_tables(
+        "incidents",
+        f""", line as (select *, cy-hs+(k+0.5e0)*(2*hs/{LINES}) as y, 2*hs/{LINES} as step from incidents cross join (select unnest(range({LINES})) as k)),
+        span as (select *, case when is_diamond then hs-abs(y-cy) else hs end as half from line),
+        sums as (select incident_id, k, y, cx-half as x0, cx+half as x1, 2*half*step as share, sum(2*half*step) over (partition by incident_id order by k) as upto, sum(2*half*step) over (partition by incident_id) as total from span),
+        held as (select *, coalesce(lag(upto) over w, 0) as begin_, case when lead(upto) over w is null then 'infinity'::double else upto end as end_ from sums window w as (partition by incident_id order by k)),
+        pick as (select incident_id, i, cast(('0x' || substr(md5(concat(incident_id, '|', i)), 1, 8)) as bigint)/4294967296e0 as u from incidents cross join (select unnest(range(1, {POINTS})) as i)),
+        pts as (select incident_id, cx as lon, cy as lat from incidents union all select h.incident_id, x0+least(greatest((u*total-begin_)/share, 1e-6), 1-1e-6)*(x1-x0), y
+          from held h join pick p on p.incident_id=h.incident_id and u*total>=begin_ and u*total<end_)
+        select distinct incident_id, cast(floor(lon/{POINT_CELL}) as integer) as ix, cast(floor(lat/{POINT_CELL}) as integer) as iy from pts""",
+    ).replace("\n, line as", ", line as"),
 )
 def points_in_perimeter_cells(spark, sf):
-    return spatial.random_points_in_polygons(t.incidents(spark, sf), 12, 0.02)
+    return spatial.cells_of_points_inside(t.incidents(spark, sf), POINTS, POINT_CELL, LINES)
 
 
 @query(

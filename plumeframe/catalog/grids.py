@@ -13,10 +13,18 @@ from plumeframe.catalog.scalars import project_sql
 from plumeframe.config import Channel, ReductionRules, SampleSettings, SplitDates
 from plumeframe.operators import grids, temporal
 from plumeframe.plans import reports, samples
+from plumeframe.sources import readers, sinks
 
 BUFFER = 300.0
 
 
+def written_catalog(spark, sf):
+    """The catalog of the fields once they are written."""
+    path = t.scratch(spark, "fields")
+    sinks.write_fields(fields(spark, sf), path)
+    return readers.field_catalog(spark, path)
+
+
 def timed_incidents(spark, sf):
     """Incidents with times of day."""
     return t.incidents(spark, sf).withColumn(
@@ -43,11 +51,11 @@ t.define(
     t.with_tables(
         "window_hours",
         """select incident_id, i as hour_index, h0 + to_hours(i) as run_time from (select *, row_number() over (partition by incident_id order by i) as rn from window_hours
-        where (i<=72 or i%2=0) and hour(h0 + to_hours(i)) in (0,3,6,9,12,15,18,21) and i<150) where rn<=20""",
+        where (i<=72 or i%2=0) and hour(h0 + to_hours(i)) in (0,3,6,9,12,15,18,21))""",
     ),
 )
 def incident_hour_axis(spark, sf):
-    out = temporal.incident_hours(timed_incidents(spark, sf), 2, 20, (0, 3, 6, 9, 12, 15, 18, 21), 150)
+    out = temporal.incident_hours(timed_incidents(spark, sf), 2, sample_hours=(0, 3, 6, 9, 12, 15, 18, 21))
     return t.plain_times(out.select("incident_id", "hour_index", "run_time"))
 
 
@@ -57,11 +65,11 @@ def incident_hour_axis(spark, sf):
     t.with_tables(
         "incidents",
         """select incident_id, day from (select *, row_number() over (partition by incident_id order by day) as rn from (select incident_id, start_date+cast(unnest(range(end_date-start_date+1)) as integer) as day from incidents)
-        where day between date '2024-01-05' and date '2024-01-27') where rn<=6""",
+        where day between date '2024-01-05' and date '2024-01-27')""",
     ),
 )
 def incident_day_axis(spark, sf):
-    out = temporal.incident_days(t.incidents(spark, sf), dt.date(2024, 1, 5), dt.date(2024, 1, 28), True, 6, 8)
+    out = temporal.incident_days(t.incidents(spark, sf), dt.date(2024, 1, 5), dt.date(2024, 1, 28), True)
     return out.select("incident_id", "day")
 
 
@@ -154,7 +162,7 @@ def field_patches(spark, sf):
     return t.rounded(grids.patch_cells(patches, 6).select("incident_id", "iy", "ix", "value"), 5)
 
 
-PIXEL = 60_000.0
+PIXEL, TILE = 60_000.0, 8
 
 
 @query(
@@ -166,14 +174,18 @@ PIXEL = 60_000.0
             f"""(select * from (select incident_id, cast(start_date as timestamp) as run_time, ix0, ix1, iy0, iy1, cast(gx as integer) as gx, cast(gy as integer) as gy,
               (xmin+(gx+0.5e0)*{PIXEL}-({G.x0}))/{G.dx}-ix0 as px, (ymin+(gy+0.5e0)*{PIXEL}-({G.y0}))/{G.dy}-iy0 as py
               from (select *, cast(ceil(greatest(xmax-xmin,{PIXEL})/{PIXEL}) as bigint) as nx, cast(ceil(greatest(ymax-ymin,{PIXEL})/{PIXEL}) as bigint) as ny from subsets),
-              lateral (select unnest(range(nx)) as gx), lateral (select unnest(range(ny)) as gy) where nx between 2 and 13 and ny between 2 and 13)
+              lateral (select unnest(range(nx)) as gx), lateral (select unnest(range(ny)) as gy) where nx>=2 and ny>=2)
               where px between 0 and ix1-ix0 and py between 0 and iy1-iy0)"""
         ),
     ),
 )
 def fixed_pixel_patches(spark, sf):
-    rows = grids.fixed_grid(windows(spark, sf), PIXEL, 13)
-    cells = grids.patch_cells(grids.resample_fixed(rows, G, PIXEL), "nx").filter("value is not null")
+    keep = ["incident_id", "run_time", "xmin", "ymin", "xmax", "ymax"]
+    wanted = grids.fixed_grid(grids.subset_window(boxed(spark, sf), G).select(*keep, "ix0", "ix1", "iy0", "iy1"), PIXEL)
+    tiles = grids.fixed_tiles(wanted, G, PIXEL, TILE)
+    field = grids.read_field(fields(spark, sf), None, "COLMD", "entire_atmosphere")
+    held = grids.gather_windows(tiles, field, [c for c in tiles.columns if c not in ("ix0", "ix1", "iy0", "iy1")], ["run_time"])
+    cells = grids.resample_tiles(held, G, PIXEL, TILE).filter("value is not null")
     return t.rounded(cells.select("incident_id", "iy", "ix", "value"), 5)
 
 
@@ -209,11 +221,11 @@ def hotspot_rasters(spark, sf):
 
 PX = 20_000.0
 _FIXED = f"cast(least(floor((y-by0)/{PX}), ceil((by1-by0)/{PX})-1) as integer) as iy, cast(least(floor((x-bx0)/{PX}), ceil((bx1-bx0)/{PX})-1) as integer) as ix"
-_FIXED_IN = f"x < bx0+ceil((bx1-bx0)/{PX})*{PX} and y < by0+ceil((by1-by0)/{PX})*{PX} and ceil((bx1-bx0)/{PX}) between 2 and 13 and ceil((by1-by0)/{PX}) between 2 and 13"
+_FIXED_IN = f"x < bx0+ceil((bx1-bx0)/{PX})*{PX} and y < by0+ceil((by1-by0)/{PX})*{PX} and ceil((bx1-bx0)/{PX})>=2 and ceil((by1-by0)/{PX})>=2"
 
 
 def fixed_pairs(spark, sf, extra=0):
-    return grids.fixed_grid(box_points(spark, sf, extra), PX, 13)
+    return grids.fixed_grid(box_points(spark, sf, extra), PX)
 
 
 @query(
@@ -450,14 +462,13 @@ def residual_scores(spark, sf):
     "H13",
     t.with_tables(
         "fields",
-        """select a.run_time, l as lead_hours, round(avg(power(a.value-b.value,2)),6) as mse, count(*) as cells from fields a, (select cast(unnest([12,24]) as integer) as l) join fields b
-        on b.variable=a.variable and b.iy=a.iy and b.ix=a.ix and b.run_time=a.run_time+to_hours(l) where a.variable='COLMD' group by 1,2""",
+        """select a.variable, a.run_time, l as lead_hours, round(avg(power(a.value-b.value,2)),6) as mse, count(*) as cells from fields a, (select cast(unnest([12,24]) as integer) as l) join fields b
+        on b.variable=a.variable and b.iy=a.iy and b.ix=a.ix and b.run_time=a.run_time+to_hours(l) group by 1,2,3""",
     ),
 )
 def label_alignment(spark, sf):
-    field = grids.read_field(fields(spark, sf), None, "COLMD", "entire_atmosphere")
-    pairs = samples.label_alignment(field, (12, 24))
-    out = pairs.groupBy("run_time", "lead_hours").agg(
+    pairs = samples.label_alignment(fields(spark, sf), (12, 24))
+    out = pairs.groupBy("variable", "run_time", "lead_hours").agg(
         F.avg(F.pow(F.col("value") - F.col("label"), F.lit(2.0))).alias("mse"), F.count("*").alias("cells")
     )
     return t.rounded(out)
@@ -514,7 +525,7 @@ def settings(hours) -> SampleSettings:
 
 @query("hourly_samples", "J5 D24 D25 F15 B39 B20 E29 H1 H13")
 def hourly_samples(spark, sf):
-    out = samples.build_samples(timed_incidents(spark, sf), model_fields(spark, sf), t.detections(spark, sf), settings((0,)))
+    out = samples.build_samples(timed_incidents(spark, sf), model_fields(spark, sf), t.detections(spark, sf), settings(tuple(range(24))))
     return out.index.drop("incident_name", "state")
 
 
@@ -563,7 +574,7 @@ def complete_tasks(spark, sf):
         "sample_key", F.timestamp_seconds(F.unix_date("day").cast("bigint") * 86400 + F.col("_h") * 3600).alias("run_time"),
         F.lit("COLMD").alias("variable"), F.lit("entire_atmosphere").alias("level"),
     )
-    return samples.complete_tasks(rows, needed, fields(spark, sf)).select("sample_key")
+    return samples.complete_tasks(rows, needed, written_catalog(spark, sf)).select("sample_key")
 
 
 # ---- case searches ---------------------------------------------------------------------------
@@ -610,6 +621,6 @@ def late_stage_examples(spark, sf):
 def smoothing_case_scores(spark, sf):
     hours = tuple(range(24))
     out = reports.smoothing_case_report(
-        t.detections(spark, sf), t.incidents(spark, sf), sample_hours=hours, pixel_m=5000.0, max_dim=100, min_daily=1, max_growth=5.0
+        t.detections(spark, sf), t.incidents(spark, sf), sample_hours=hours, pixel_m=5000.0, min_daily=1, max_growth=5.0
     )
     return out["scores"]

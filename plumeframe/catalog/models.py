@@ -370,7 +370,7 @@ def cloud_panel(spark, sf):
 @query("missing_cause_shares", "J11 I2 I3 I4")
 def missing_cause_shares(spark, sf):
     out = reports.missing_cause_report(
-        t.detections(spark, sf), t.incidents(spark, sf), cloud_granules(spark, sf), cloud_pixels(spark, sf), max_days=9, max_minutes=300.0
+        t.detections(spark, sf), t.incidents(spark, sf), cloud_granules(spark, sf), cloud_pixels(spark, sf), max_minutes=300.0
     )
     return out["cause_shares"]
 

@@ -7,12 +7,13 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from plumeframe.catalog import tables as t
-from plumeframe.catalog.registry import query
+from plumeframe.catalog.registry import ENTRIES, query
 from plumeframe.catalog.scalars import haversine_sql, project_sql
 from plumeframe.functions import geo
 from plumeframe.operators import grids, metrics, spatial
 from plumeframe.operators import observations as obs
 from plumeframe.scale import stage
+from plumeframe.sources import readers, sinks
 
 RAW = """l_suppkey as station_id, n_name as nation,
   case s_suppkey%5 when 0 then 'Oregon' when 1 then 'Texas' when 2 then 'Ohio' when 3 then 'California' else 'Nowhere' end as state_name,
@@ -90,6 +91,42 @@ def ingest_observations(spark, sf):
     from plumeframe.plans.station import ingest_observations as ingest
 
     raw = raw_rows(spark, sf)
+    frames = []
+    for source, code in ((0, "88101"), (1, "88502")):
+        named = [c.alias(n) for n, c in monitor_columns().items()]
+        frames.append(
+            raw.filter(F.col("source") == source).select(*named, F.lit(code).alias("pm_source_code"), F.struct(*TIE).alias("seq"))
+        )
+    out, _ = ingest(frames[0], frames[1], dt.date(2024, 1, 1), dt.date(2024, 1, 31))
+    return out.select("station_id", "date_local", "pm25_value", "pm_source_code", "pm_source_poc", "observation_percent")
+
+
+@query("ingest_archives", "J1 A1 A2 B1 B6 B7 C10", ENTRIES["ingest_observations"].sql)
+def ingest_archives(spark, sf):
+    """The same rows from zip archives per thousand orders: the first member in the usual column order, the second turned round, the third no table."""
+    from plumeframe.plans.station import ingest_observations as ingest
+
+    # The method code carries the order of rows that are equal in all that counts.
+    tie = F.concat_ws("-", *[F.lpad(F.col(c).cast("string"), 12, "0") for c in ("l_orderkey", "l_linenumber", "l_partkey")], F.lpad(F.format_string("%.2f", F.col("l_extendedprice").cast("double")), 14, "0"))
+    raw = raw_rows(spark, sf).select(
+        *[c.alias(n) for n, c in (monitor_columns() | {"Method Code": tie}).items()], F.when(F.col("source") == 0, "88101").otherwise("88502").alias("Parameter Code"),
+        "source", "l_orderkey", F.floor(F.col("l_orderkey") / 4000).alias("archive"),
+    )
+    names = [*monitor_columns(), "Parameter Code"]
+    frames = []
+    for source, code in ((0, "88101"), (1, "88502")):
+        rows = raw.filter(F.col("source") == source)
+        path = F.concat_ws("_", F.lit(code), F.col("archive"))
+        # Every archive has a first member that holds the table, if only its header and rows of one half of the orders.
+        members = t.csv_lines(rows.filter("l_orderkey % 2 = 0"), path, "a.csv", names).unionByName(t.csv_lines(rows.filter("l_orderkey % 2 = 1"), path, "b.csv", names[::-1]))
+        other = rows.select(path.alias("path")).distinct().select("path", F.lit("c.csv").alias("member"), F.lit("x").alias("header"), F.lit("1").alias("line"))
+        frames.append(readers.observations_of(t.zipped(members.unionByName(other)), code))
+    out, _ = ingest(frames[0], frames[1], dt.date(2024, 1, 1), dt.date(2024, 1, 31))
+    return out.select("station_id", "date_local", "pm25_value", "pm_source_code", "pm_source_poc", "observation_percent")
+
+
+def monitor_columns() -> dict:
+    """Columns of the monitor files, by header name."""
     sid = F.col("station_id")
     quoted = lambda c: F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
     day = F.when(F.col("l_partkey") % 2 == 0, F.col("date_local").cast("string")).otherwise(F.date_format("date_local", "M/d/yyyy"))
@@ -104,14 +141,7 @@ def ingest_observations(spark, sf):
         "AQI": blank, "Method Code": F.lit("1"), "Method Name": F.lit("M"), "State Name": F.col("state_name"),
         "County Name": blank, "City Name": blank, "CBSA Name": blank, "Date of Last Change": F.lit("2024-01-01"),
     }
-    frames = []
-    for source, code in ((0, "88101"), (1, "88502")):
-        named = [c.alias(n) for n, c in columns.items()]
-        frames.append(
-            raw.filter(F.col("source") == source).select(*named, F.lit(code).alias("pm_source_code"), F.struct(*TIE).alias("seq"))
-        )
-    out, _ = ingest(frames[0], frames[1], dt.date(2024, 1, 1), dt.date(2024, 1, 31))
-    return out.select("station_id", "date_local", "pm25_value", "pm_source_code", "pm_source_poc", "observation_percent")
+    return columns
 
 
 @query(
@@ -226,7 +256,9 @@ def field_with_grid_coords(spark, sf):
     ),
 )
 def missing_field_runs(spark, sf):
-    source = fields(spark, sf)
+    path = t.scratch(spark, "fields")
+    sinks.write_fields(fields(spark, sf), path)
+    source = readers.field_catalog(spark, path)
     wanted = source.select("run_time").distinct().selectExpr(
         "run_time",
         "inline(array(named_struct('variable','MASSDEN','level','8m_above_ground'), named_struct('variable','COLMD','level','entire_atmosphere')))",
@@ -294,21 +326,37 @@ def station_daily_query(spark, sf):
 
 # ---- accuracy --------------------------------------------------------------------------------
 
-_DIST = haversine_sql("s.latitude", "s.longitude", "(i.min_lat+i.max_lat)/2", "(i.min_lon+i.max_lon)/2")
+_DIST = haversine_sql("s.latitude", "s.longitude", "i.clat", "i.clon")
 _RADIUS = haversine_sql("i.min_lat", "i.min_lon", "i.max_lat", "i.max_lon")
 t.define(
     "active",
     """select i.*, start_date + cast(unnest(range(end_date-start_date+1)) as integer) as day from incidents i""",
     ["incidents"],
+    once=True,
+)
+t.define("day_lat", "select day, cos(radians(avg((min_lat+max_lat)/2))) as scale from active group by 1", ["active"], once=True)
+t.define("station_days", "select distinct station_id, date_local, latitude, longitude from observations", ["observations"], once=True)
+t.define(
+    "centres",
+    f"select incident_id, day, (min_lon+max_lon)/2 as clon, (min_lat+max_lat)/2 as clat, {_RADIUS}/2 as r, scale from active i join day_lat using (day)",
+    ["active", "day_lat"],
+    once=True,
+)
+t.define(
+    "near_pairs",
+    f"""select s.station_id, s.date_local, i.incident_id, greatest({_DIST}-r,0) as km, power((s.longitude-clon)*scale,2)+power(s.latitude-clat,2) as planar
+  from station_days s join centres i on i.day=s.date_local""",
+    ["station_days", "centres"],
+    once=True,
 )
 t.define(
     "proximity",
-    f"""select station_id, date_local, min(greatest(d-r,0)) as km, min(greatest(d-r,0)) filter (rn<=8) as km8 from (
-  select s.station_id, s.date_local, {_DIST} as d, {_RADIUS}/2 as r,
-    row_number() over (partition by s.station_id, s.date_local order by power((s.longitude-(i.min_lon+i.max_lon)/2)*cos(radians(m.lat)),2)+power(s.latitude-(i.min_lat+i.max_lat)/2,2), i.incident_id) as rn
-  from observations s join active i on i.day=s.date_local join (select day, avg((min_lat+max_lat)/2) as lat from active group by 1) m on m.day=i.day) group by 1,2""",
-    ["observations", "active"],
+    """select station_id, date_local, min(km) as km, min(km) filter (rn<=8) as km8 from (
+  select *, row_number() over (partition by station_id, date_local order by planar, incident_id) as rn from near_pairs) group by 1,2""",
+    ["near_pairs"],
+    once=True,
 )
+t.define("proximity_exact", "select station_id, date_local, min(km) as km from near_pairs group by 1,2", ["near_pairs"])
 _BIN = "case when {c}<=30 then '<=30' when {c}<=100 then '30-100' else '>100' end"
 
 
@@ -329,8 +377,8 @@ def proximity_bins(spark, sf):
     "proximity_bins_exact",
     "D8",
     t.with_tables(
-        "proximity",
-        f"select station_id, date_local, {_BIN.format(c='km')} as fire_proximity_bin from observations left join proximity using (station_id, date_local)",
+        "proximity_exact observations",
+        f"select station_id, date_local, {_BIN.format(c='km')} as fire_proximity_bin from observations left join proximity_exact using (station_id, date_local)",
     ),
 )
 def proximity_bins_exact(spark, sf):

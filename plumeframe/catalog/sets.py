@@ -107,6 +107,29 @@ def hotspot_csv(spark, sf):
     return t.plain_times(readers.read_detections(spark, path, name_part="part"))
 
 
+@query(
+    "hotspot_archives",
+    "A3 B21 C10",
+    t.with_tables(
+        "detections",
+        """select date_trunc('minute', acq_ts) as acq_ts, acq_day, cast(hour_utc as timestamp) as hour_utc, frp, lon, lat, confidence, daynight from detections where det_id%13<>0""",
+    ),
+)
+def hotspot_archives(spark, sf):
+    """Zip archives of some thousand detections: two archive members in different column order, and one of another name with copies that do not count."""
+    text = t.detections(spark, sf).select(
+        F.floor(F.col("det_id") / 4000).alias("archive"), "det_id", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.col("acq_day").alias("acq_date"),
+        F.when(F.col("det_id") % 13 == 0, "2561").otherwise((F.hour("acq_ts") * 100 + F.minute("acq_ts")).cast("string")).alias("acq_time"), "frp", "confidence", "daynight",
+    )
+    names = readers.DETECTION_SCHEMA.fieldNames()
+    members = (
+        t.csv_lines(text.filter("det_id % 2 = 0"), F.col("archive"), "fire_archive_a.csv", names)
+        .unionByName(t.csv_lines(text.filter("det_id % 2 = 1"), F.col("archive"), "fire_archive_b.CSV", [*names[::-1], "det_id"]))
+        .unionByName(t.csv_lines(text.filter("det_id % 2 = 1"), F.col("archive"), "fire_nrt_b.csv", names))
+    )
+    return t.plain_times(readers.detections_of(t.zipped(members), name_part="archive"))
+
+
 @query(
     "cached_points",
     "A4 A11",
@@ -129,7 +152,7 @@ def cached_points(spark, sf):
     ),
 )
 def perimeter_features(spark, sf):
-    """Features written one per line, odd ones as multi-polygons, read back and filtered."""
+    """Features written as one collection, odd ones as multi-polygons, read back in pieces and filtered."""
     path = t.scratch(spark, "features")
     rows = features(spark, sf)
     names = [c for c in readers.PROPERTIES if c in rows.columns]
@@ -140,8 +163,13 @@ def perimeter_features(spark, sf):
         F.lit('{"type":"Feature","properties":'), F.to_json(F.struct(*names)), F.lit(',"geometry":{"type":"'),
         F.when(multi, "MultiPolygon").otherwise("Polygon"), F.lit('","coordinates":'), text, F.lit("}}"),
     )
-    rows.select(line.alias("value")).write.text(path)
-    out = inc.analytic_incidents(readers.read_perimeters(spark, path, lines=True), 2024, 2024, 5000.0)
+    # The collection's head and end are rows of their own; one task writes one file.
+    ends = spark.createDataFrame([(0, '{"type":"FeatureCollection","crs":{"type":"name","properties":{"name":"x"}},"features":['), (2, "]}")], "at int, value string")
+    first = rows.agg(F.min("seq")).scalar()
+    body = rows.select(F.lit(1).alias("at"), F.concat(F.when(F.col("seq") == first, "").otherwise(","), line).alias("value"), "seq")
+    ordered = ends.withColumn("seq", F.lit(None).cast("bigint")).unionByName(body).coalesce(1).sortWithinPartitions("at", "seq")
+    ordered.select("value").write.text(path)
+    out = inc.analytic_incidents(readers.read_perimeters(spark, path), 2024, 2024, 5000.0)
     return t.rounded(out.select("incident_id", "start_date", "size_acres", "min_lon", "max_lat"), 9)
 
 

@@ -78,7 +78,7 @@ def drops(spark, sf):
     t.with_tables(
         "detections incidents",
         """select i.incident_id, cast(end_date-start_date+1 as integer) as active_window_days, count(det_id) as n, round(coalesce(sum(frp),0),6) as frp
-        from incidents i left join (select *, cast((det_id*31)%2000 as bigint) as incident_id from detections where det_id%9<>0 and frp>=2) d using (incident_id)
+        from incidents i left join (select *, cast((det_id*31)%(select max(incident_id)+1 from incidents) as bigint) as incident_id from detections where det_id%9<>0 and frp>=2) d using (incident_id)
         where incident_id%11<>0 group by all""",
     ),
 )
@@ -87,8 +87,9 @@ def stability_inputs(spark, sf):
         "end_date", F.expr("case when incident_id%11=0 then 'never' else cast(end_date as string) end")
     ).withColumn("start_date", F.col("start_date").cast("string")).withColumn("active_window_days", F.lit(""))
     doubled = rows.unionByName(rows)
-    pixels = t.detections(spark, sf).selectExpr(
-        "(det_id*31)%2000 as incident_id", "acq_day",
+    ids = t.incidents(spark, sf).agg(F.max("incident_id") + 1).scalar()
+    pixels = t.detections(spark, sf).withColumn("incident_id", F.col("det_id") * 31 % ids).selectExpr(
+        "incident_id", "acq_day",
         "case when det_id%9=0 then 'x' when frp<2 then cast(-frp as string) else cast(frp as string) end as frp",
     )
     incidents, good = stability.stability_inputs(doubled, pixels)

@@ -50,6 +50,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
+def zipped(members: DataFrame) -> DataFrame:
+    """``path, content`` of zip archives: ``members`` has ``path, member, header, line``; a member is its header and its lines."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        body = io.BytesIO()
+        with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr("readme.txt", "no table")
+            for name, part in rows.groupby("member"):
+                archive.writestr(name, "\n".join([part["header"].iloc[0], *part["line"]]) + "\n")
+        return pd.DataFrame({"path": [rows["path"].iloc[0]], "content": [body.getvalue()]})
+
+    return members.groupBy("path").applyInPandas(pack, "path string, content binary")
+
+
+def csv_lines(df: DataFrame, path, member: str, columns: list[str]) -> DataFrame:
+    """Rows as CSV lines of a member, columns in the given order, all quoted."""
+    cells = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in columns]
+    header = ",".join(f'"{c}"' for c in columns)
+    return df.select(path.cast("string").alias("path"), F.lit(member).alias("member"), F.lit(header).alias("header"), F.concat_ws(",", *cells).alias("line"))
+
+
 # ---- detections ------------------------------------------------------------------------------
 
 CONFIDENCE = (
@@ -141,7 +166,13 @@ DEPENDS = {
 }
 
 
-def define(name: str, sql: str, depends: list[str] | None = None) -> None:
+#: Tables that an engine should compute once, also where it would rather repeat them.
+ONCE: set[str] = set()
+
+
+def define(name: str, sql: str, depends: list[str] | None = None, once: bool = False) -> None:
+    if once:
+        ONCE.add(name)
     SQL[name] = sql
     DEPENDS[name] = depends or []
 
@@ -158,4 +189,4 @@ def with_tables(names: str, body: str) -> str:
 
     for name in names.split():
         visit(name)
-    return "with " + ",\n".join(f"{n} as ({SQL[n]})" for n in order) + "\n" + body
+    return "with " + ",\n".join(f"{n} as {'materialized ' if n in ONCE else ''}({SQL[n]})" for n in order) + "\n" + body

@@ -30,6 +30,7 @@ def read_field(fields: DataFrame, grid_coords: DataFrame | None, variable: str,
 
 
 def available_runs(fields: DataFrame) -> DataFrame:
+    """Distinct (run_time, variable, level). Give the catalog of written fields, which has one row each, where there is one."""
     return fields.select("run_time", "variable", "level").distinct()
 
 
@@ -219,6 +220,41 @@ def resample_fixed(windows: DataFrame, grid: GridSpec, pixel_m: float, name: str
     return windows.withColumn(name, F.transform(lattice, value)).drop("window", "ix0", "ix1", "iy0", "iy1")
 
 
+def fixed_tiles(boxes: DataFrame, grid: GridSpec, pixel_m: float, tile: int = 256) -> DataFrame:
+    """Boxes of fixed-size cells (``xmin, ymin, nx, ny`` and their index window) cut into tiles of at most ``tile`` cells a side.
+
+    A tile asks only for the field cells that its own cells lie between: its window is its part of the box's
+    window and one cell more on each side, so a box of any width is resampled in pieces of bounded size. ``wx0..wy1`` keep the
+    window of the whole box, which decides what is outside. Tiles outside the window have no values and are left out.
+    """
+    whole = boxes.withColumnsRenamed({"ix0": "wx0", "ix1": "wx1", "iy0": "wy0", "iy1": "wy1"})
+    count = lambda n: F.sequence(F.lit(0), F.floor((F.col(n) - 1) / tile).cast("int"))
+    out = whole.withColumn("ty", F.explode(count("ny"))).withColumn("tx", F.explode(count("nx")))
+
+    def part(axis: str, n: str, low: str, origin: float, step: float) -> tuple[Column, Column]:
+        first = F.col(f"t{axis}") * tile
+        last = F.least(F.col(n), first + tile) - 1
+        at = lambda g: F.floor((F.col(low) + (g + 0.5) * pixel_m - origin) / step)
+        begin, end = F.col(f"w{axis}0"), F.col(f"w{axis}1")
+        start = F.least(F.greatest(at(first), begin), end - 1)
+        return start.cast("int"), F.least(F.greatest(at(last) + 1, start + 1), end).cast("int")
+
+    (x0, x1), (y0, y1) = part("x", "nx", "xmin", grid.x0, grid.dx), part("y", "ny", "ymin", grid.y0, grid.dy)
+    return out.withColumns({"ix0": x0, "ix1": x1, "iy0": y0, "iy1": y1})
+
+
+def resample_tiles(tiles: DataFrame, grid: GridSpec, pixel_m: float, tile: int = 256) -> DataFrame:
+    """Bilinear values of the tiles' cells as long rows ``iy, ix, value`` (numbered in the whole box); NULL outside its window."""
+    width, height = F.col("ix1") - F.col("ix0") + 1, F.col("iy1") - F.col("iy0") + 1
+    span = lambda axis: F.sequence(F.col(f"t{axis}") * tile, F.least(F.col(f"n{axis}"), (F.col(f"t{axis}") + 1) * tile) - 1)
+    cells = tiles.withColumn("iy", F.explode(span("y"))).withColumn("ix", F.explode(span("x")))
+    px = (F.col("xmin") + (F.col("ix") + 0.5) * pixel_m - grid.x0) / grid.dx
+    py = (F.col("ymin") + (F.col("iy") + 0.5) * pixel_m - grid.y0) / grid.dy
+    inside = px.between(F.col("wx0"), F.col("wx1")) & py.between(F.col("wy0"), F.col("wy1"))
+    value = F.when(inside, _interpolate(F.col("window"), px - F.col("ix0"), py - F.col("iy0"), width, height))
+    return cells.withColumn("value", value).drop("window", "ix0", "ix1", "iy0", "iy1", "wx0", "wx1", "wy0", "wy1", "tx", "ty")
+
+
 def patch_cells(patches: DataFrame, width: int | str, patch: str = "patch") -> DataFrame:
     """Dense patches as long cells (iy, ix, value)."""
     w = F.col(width) if isinstance(width, str) else F.lit(width)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeframe.functions import geo
+from plumeframe.operators import overlays
 from plumeframe.scale import ROWS_PER_TASK, skew_join, top_rows
 
 CELL_DEGREES = 0.25
@@ -159,9 +160,10 @@ def proximity_bins(
 
     The distance is haversine to the centre less the half diagonal, not below zero. Every incident is
     looked at, or with ``k`` only the k centres nearest on a plane scaled by the cosine of the day's
-    mean centre latitude. Only pairs within the planar reach that can
-    still give a distance of ``far_km`` are formed: incidents are spread over coarse cells of
-    that reach and joined on (day, cell).
+    mean centre latitude. Only pairs within the planar reach that can still give a distance of ``far_km`` are
+    formed. Incidents fall into classes by their reach, each doubling the one before, and are spread over cells of their
+    class; stations look at a cell of every class of the day. With ``k`` any centre may push another out, so all
+    incidents of a day share the reach of its largest one.
     """
     centre_lon, centre_lat = (F.col("min_lon") + F.col("max_lon")) / 2, (F.col("min_lat") + F.col("max_lat")) / 2
     daily = (
@@ -170,53 +172,39 @@ def proximity_bins(
         .withColumn("_clat", centre_lat)
         .withColumn("_radius", geo.bbox_radius_km("min_lon", "min_lat", "max_lon", "max_lat"))
     )
-    stations = observations.select("station_id", "date_local", "latitude", "longitude")
-    reach = daily.groupBy("day").agg(
-        F.cos(F.radians(F.avg("_clat"))).alias("_scale"), F.max("_radius").alias("_max_radius")
-    )
+    stations = observations.select("station_id", "date_local", "latitude", "longitude").distinct()
+    scales = daily.groupBy("day").agg(F.cos(F.radians(F.avg("_clat"))).alias("_scale"), F.max("_radius").alias("_max_radius"))
     # A relevant centre is within far_km + radius of the station. A great circle of that length spans
     # no more than that in latitude and, at the highest latitude in play, its ratio in longitude; the
     # day's plane stretches longitude by at most the ratio of the two cosines.
-    degrees = (F.lit(far_km) + F.col("_max_radius")) / KM_PER_DEGREE
+    radius = F.col("_radius") if k is None else F.col("_max_radius")
+    degrees = (F.lit(far_km) + radius) / KM_PER_DEGREE
     highest = stations.agg(F.max(F.abs("latitude"))).scalar()
     narrow = F.cos(F.radians(F.least(highest + degrees, F.lit(85.0))))
-    reach = reach.withColumn("_reach", degrees * F.greatest(F.col("_scale") / narrow, F.lit(1.0)) * 1.05)
-    cell = 1.0
-    spread = daily.join(reach, "day")
+    spread = daily.join(scales, "day").withColumn("_reach", degrees * F.greatest(F.col("_scale") / narrow, F.lit(1.0)) * 1.05)
+    # Cells double with the reach, so an incident covers few of them however large it is, and leaves the others alone.
+    level = F.greatest(F.ceil(F.log2("_reach")), F.lit(0)).cast("int")
+    spread = spread.withColumn("_level", level).withColumn("_cell", F.pow(F.lit(2.0), F.col("_level")))
     lon_reach = F.col("_reach") / F.col("_scale")
+    cells = lambda c, r: F.explode(F.sequence(F.floor((F.col(c) - r) / F.col("_cell")).cast("int"), F.floor((F.col(c) + r) / F.col("_cell")).cast("int")))
     spread = (
-        spread.withColumn(
-            "_gx",
-            F.explode(
-                F.sequence(
-                    F.floor((F.col("_clon") - lon_reach) / cell).cast("int"),
-                    F.floor((F.col("_clon") + lon_reach) / cell).cast("int"),
-                )
-            ),
-        )
-        .withColumn(
-            "_gy",
-            F.explode(
-                F.sequence(
-                    F.floor((F.col("_clat") - F.col("_reach")) / cell).cast("int"),
-                    F.floor((F.col("_clat") + F.col("_reach")) / cell).cast("int"),
-                )
-            ),
-        )
-        .select("day", "_gx", "_gy", "incident_id", "_clon", "_clat", "_radius", "_scale", "_reach")
+        spread.withColumn("_gx", cells("_clon", lon_reach))
+        .withColumn("_gy", cells("_clat", F.col("_reach")))
+        .select("day", "_level", "_gx", "_gy", "incident_id", "_clon", "_clat", "_radius", "_scale", "_reach")
     )
-    placed = stations.select(
-        "station_id",
-        F.col("date_local").alias("day"),
-        "latitude",
-        "longitude",
-        F.floor(F.col("longitude") / cell).cast("int").alias("_gx"),
-        F.floor(F.col("latitude") / cell).cast("int").alias("_gy"),
+    levels = spread.groupBy("day").agg(F.collect_set("_level").alias("_levels"))
+    place = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_level"))).cast("int")
+    placed = (
+        stations.withColumnRenamed("date_local", "day")
+        .join(levels, "day")
+        .select("station_id", "day", "latitude", "longitude", F.explode("_levels").alias("_level"))
+        .withColumn("_gx", place("longitude"))
+        .withColumn("_gy", place("latitude"))
     )
     dx = (F.col("longitude") - F.col("_clon")) * F.col("_scale")
     dy = F.col("latitude") - F.col("_clat")
     pairs = (
-        skew_join(placed, spread, ["day", "_gx", "_gy"], ["station_id"])
+        skew_join(placed, spread, ["day", "_level", "_gx", "_gy"], ["station_id"])
         .withColumn("_planar", dx * dx + dy * dy)
         .filter(F.col("_planar") <= F.col("_reach") * F.col("_reach"))
     )
@@ -301,33 +289,101 @@ def select_points(points: DataFrame, west: float, south: float, east: float, nor
     )
 
 
-def random_points_in_polygons(incidents: DataFrame, n: int, cell: float, tries_per_point: int = 40) -> DataFrame:
-    """Distinct grid cells of up to ``n`` points per incident: box centre first, then hash-seeded points.
+def scan_spans(shapes: DataFrame, key: str, lines: int = 64) -> DataFrame:
+    """``key, ring, k, y, x0, x1, share``: inside spans of ``lines`` level lines through every ring of a shape.
 
-    The stream of points is a hash of (incident, i), so it repeats, but differs from a library
-    generator. Bounded by ``n * tries_per_point`` draws per incident.
+    A span belongs to the ring that bounds it on the left, and only that ring's lines give it. So every part of a shape,
+    however small or thin, has spans, and ``share`` (length times the distance of the ring's lines) adds up to the area.
     """
+    named = lambda **fields: F.named_struct(*[v for name, c in fields.items() for v in (F.lit(name), c)])
+    edge = lambda e, i: named(x1=e["x1"], y1=e["y1"], x2=e["x2"], y2=e["y2"], ring=i)
+    edges = F.flatten(F.transform("rings", lambda r, i: F.transform(geo.ring_edges(F.array(r)), lambda e: edge(e, i))))
+
+    def levels(ring: Column, i: Column) -> Column:
+        ys = F.transform(ring, lambda p: p["y"])
+        low, step = F.array_min(ys), (F.array_max(ys) - F.array_min(ys)) / lines
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(lines - 1)), lambda k: named(ring=i, k=k, y=low + (k + 0.5) * step, step=step)
+        )
 
-    def unit(seed: int) -> Column:
-        return F.pmod(F.xxhash64("incident_id", "_i", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-
-    edges = geo.ring_edges("rings")
-    drawn = (
-        incidents.withColumn("_edges", edges)
-        .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(n * tries_per_point))))
-        .withColumn("_u", F.when(F.col("_i") == 0, 0.5).otherwise(unit(1)))
-        .withColumn("_v", F.when(F.col("_i") == 0, 0.5).otherwise(unit(2)))
-        .withColumn("lon", F.col("min_lon") + F.col("_u") * (F.col("max_lon") - F.col("min_lon")))
-        .withColumn("lat", F.col("min_lat") + F.col("_v") * (F.col("max_lat") - F.col("min_lat")))
-        .filter(geo.strictly_inside("lon", "lat", "_edges"))
-        .select("incident_id", "_i", "lon", "lat")
+    at = shapes.select(key, edges.alias("_edges"), F.explode(F.flatten(F.transform("rings", levels))).alias("_line")).filter("_line.step > 0")
+    y = F.col("_line.y")
+    crossed = F.filter("_edges", lambda e: (F.least(e["y1"], e["y2"]) <= y) & (y < F.greatest(e["y1"], e["y2"])))
+    place = lambda e: e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"])
+    cuts = F.array_sort(F.transform(crossed, lambda e: F.struct(place(e).alias("x"), e["ring"].alias("ring"))))
+    crossings = at.select(key, "_line", cuts.alias("_cuts")).filter(F.size("_cuts") >= 2)
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.floor(F.size("_cuts") / 2).cast("int") - 1),
+        lambda j: F.struct(F.get("_cuts", 2 * j)["x"].alias("x0"), F.get("_cuts", 2 * j + 1)["x"].alias("x1"), F.get("_cuts", 2 * j)["ring"].alias("owner")),
     )
-    return (
-        top_rows(drawn, ["incident_id"], [F.col("_i")], n)
-        .select(
-            "incident_id",
-            F.floor(F.col("lon") / cell).cast("int").alias("ix"),
-            F.floor(F.col("lat") / cell).cast("int").alias("iy"),
-        )
-        .distinct()
+    spans = crossings.select(key, "_line", F.inline(pairs)).filter((F.col("owner") == F.col("_line.ring")) & (F.col("x0") < F.col("x1")))
+    return spans.select(key, F.col("_line.ring").alias("ring"), F.col("_line.k").alias("k"), y.alias("y"), "x0", "x1", ((F.col("x1") - F.col("x0")) * F.col("_line.step")).alias("share"))
+
+
+def _centre(rings: str) -> tuple[Column, Column]:
+    """Centre of mass of a shape's oriented rings."""
+    x0, y0 = F.col(rings)[0][0]["x"], F.col(rings)[0][0]["y"]
+    edges = geo.ring_edges(rings)
+    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def add(acc: Column, e: Column) -> Column:
+        ax, ay, bx, by = e["x1"] - x0, e["y1"] - y0, e["x2"] - x0, e["y2"] - y0
+        cross = ax * by - bx * ay
+        return F.struct((acc["a"] + cross).alias("a"), (acc["x"] + (ax + bx) * cross).alias("x"), (acc["y"] + (ay + by) * cross).alias("y"))
+
+    total = F.aggregate(edges, zero, add)
+    return x0 + total["x"] / F.nullif(total["a"] * 3, F.lit(0.0)), y0 + total["y"] / F.nullif(total["a"] * 3, F.lit(0.0))
+
+
+def hashed_unit(key: Column | str, i: Column | str) -> Column:
+    """Number in [0, 1) from a key and a counter; the same wherever MD5 is."""
+    text = F.concat_ws("|", F.col(key).cast("string") if isinstance(key, str) else key.cast("string"), F.col(i).cast("string") if isinstance(i, str) else i)
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def points_inside(incidents: DataFrame, n: int, lines: int = 64) -> DataFrame:
+    """``incident_id, i, lon, lat``: exactly ``n`` points strictly inside every perimeter that has an area.
+
+    Point 0 is the centre of mass, or the middle of the longest span where the centre lies outside. The others are
+    spread evenly: a hash of (incident, i) picks a place in the running total of the spans' shares. So a perimeter that fills
+    little of its box loses no point, and the work does not depend on the shape of the box.
+    """
+    shapes = incidents.select("incident_id", overlays.oriented("rings").alias("rings")).filter(F.size("rings") > 0)
+    spans = scan_spans(shapes, "incident_id", lines)
+    along = Window.partitionBy("incident_id").orderBy("ring", "k", "x0")
+    whole = Window.partitionBy("incident_id")
+    running = spans.select(
+        "incident_id", "ring", "k", "y", "x0", "x1", "share",
+        F.sum("share").over(along.rowsBetween(Window.unboundedPreceding, 0)).alias("_to"),
+        F.sum("share").over(whole).alias("_total"),
+        F.row_number().over(whole.orderBy(F.desc("share"), "ring", "k", "x0")).alias("_rank"),
+    )
+    # Neighbours share their bound; a place beyond the last rounding of the total falls into the last span.
+    running = running.withColumn("_from", F.coalesce(F.lag("_to").over(along), F.lit(0.0)))
+    running = running.withColumn("_to", F.when(F.lead("_to").over(along).isNull(), F.lit(float("inf"))).otherwise(F.col("_to")))
+    centre = shapes.select("incident_id", *[c.alias(a) for c, a in zip(_centre("rings"), ("_lon", "_lat"))], geo.ring_edges("rings").alias("_edges"))
+    centre = centre.withColumn("_in", F.coalesce(geo.strictly_inside("_lon", "_lat", "_edges"), F.lit(False))).drop("_edges")
+    first = running.filter("_rank = 1").join(centre, "incident_id").select(
+        "incident_id",
+        F.lit(0).alias("i"),
+        F.when(F.col("_in"), F.col("_lon")).otherwise((F.col("x0") + F.col("x1")) / 2).alias("lon"),
+        F.when(F.col("_in"), F.col("_lat")).otherwise(F.col("y")).alias("lat"),
     )
+    if n <= 1:
+        return first
+    # Every span looks which of the n - 1 places are its own.
+    picks = F.filter(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: (_place(i) >= F.col("_from")) & (_place(i) < F.col("_to")))
+    rest = running.withColumn("i", F.explode(picks))
+    inside = (_place(F.col("i")) - F.col("_from")) / F.col("share")
+    x = F.col("x0") + F.least(F.greatest(inside, F.lit(1e-6)), F.lit(1 - 1e-6)) * (F.col("x1") - F.col("x0"))
+    return first.unionByName(rest.select("incident_id", "i", x.alias("lon"), F.col("y").alias("lat")))
+
+
+def _place(i: Column) -> Column:
+    return hashed_unit("incident_id", i.cast("string")) * F.col("_total")
+
+
+def cells_of_points_inside(incidents: DataFrame, n: int, cell: float, lines: int = 64) -> DataFrame:
+    """Distinct grid cells ``incident_id, ix, iy`` of ``n`` points inside every perimeter, its centre among them."""
+    points = points_inside(incidents, n, lines)
+    return points.select("incident_id", F.floor(F.col("lon") / cell).cast("int").alias("ix"), F.floor(F.col("lat") / cell).cast("int").alias("iy")).distinct()

@@ -290,6 +290,7 @@ def build_samples(
     max_samples: int | None = None,
     next_day_only: bool = True,
     domain=geo.GRID_DOMAIN,
+    catalog: DataFrame | None = None,
 ) -> SampleSet:
     """Samples of incident windows: field and hotspot patches, labels, split, baselines, index.
 
@@ -297,6 +298,7 @@ def build_samples(
     sample per hour with labels at the configured leads. Samples with any missing field are left out;
     samples in ``done`` are skipped. All channels, hours and days are built, whatever their size; ``plan`` (such as that
     of ``plan_reduction``) leaves some out, ``max_samples`` builds the first ones of a set that ``done`` continues.
+    ``catalog`` (see ``readers.field_catalog``) says which fields exist; without it the cells are looked through.
     """
     if daily and not next_day_only:
         raise ValueError("daily samples need next-day labels")
@@ -312,7 +314,7 @@ def build_samples(
     tasks = (daily_tasks if daily else hourly_tasks)(kept, settings, plan)
     tasks = skip_done(tasks, done)
     needed = source_times(tasks, settings, channels, leads, hours if daily else None)
-    tasks = complete_tasks(tasks, needed, fields)
+    tasks = complete_tasks(tasks, needed, fields if catalog is None else catalog)
     if max_samples is not None:
         tasks = tasks.orderBy("run_time", "incident_id").limit(max_samples)
     tasks = stage(tasks)

@@ -4,7 +4,8 @@
 * ``top_rows``    first k rows per key; Spark trims each partition to k rows per key before it
                   shuffles (WindowGroupLimit), so a hot key never moves as a whole.
 * ``value_steps`` running counts over the ordered distinct values of a group without ever putting
-                  the group into one task; ranks and exact quantiles are read off it.
+                  the group into one task; ranks and exact quantiles are read off it. Its ranges are cut at
+                  quantiles of the group's own values, so they are balanced however the values lie.
 * ``stage``       reliable checkpoint in the shared folder of the cluster.
 """
 
@@ -18,7 +19,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 2_000_000
-STEPS_PER_OCTAVE = 4096
+#: Ranges of a group are RANGE_STEPS squared; their bounds come from one in SAMPLED of its distinct values.
+RANGE_STEPS = 16
+SAMPLED = 8
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -83,12 +86,36 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
     return out.withColumnRenamed("_rn", rank) if rank else out.drop("_rn")
 
 
-def _step(value: Column) -> Column:
-    """Order-preserving integer of a number, as fine for very small numbers as for large ones."""
-    number = value.cast("double")
-    # Doubles reach down to 2^-1074; the shift keeps the logarithm positive.
-    size = F.floor((F.log2(F.abs(number)) + 1100) * STEPS_PER_OCTAVE)
-    return F.when(number == 0, F.lit(0)).otherwise(F.signum(number) * size).cast("int")
+def _range_of(value: Column, bounds: Column) -> Column:
+    """Number of the range of a value: how many of the sorted bounds do not exceed it, found in two looks."""
+    n = RANGE_STEPS
+    upto = lambda part: F.size(F.filter(part, lambda b: b <= value))
+    heads = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.element_at(bounds, i * n))
+    coarse = upto(heads)
+    return F.when(bounds.isNull(), 0).otherwise(coarse * n + upto(F.slice(bounds, coarse * n + 1, n)))
+
+
+def value_ranges(counts: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+    """Adds ``_step``: ranges of the values of a group that hold about equally many of its distinct values.
+
+    ``counts`` has one row per (group, value). The bounds of a group are quantiles of a hash sample of its values, from
+    mergeable sketches; a group of few values stays in one range. Equal values share a range, and ranges follow the
+    order of the values, whatever the bounds are: they only set the balance.
+    """
+    number = F.col(value).cast("double")
+    # Never a constant key: the optimizer would turn the join into a product.
+    place = F.struct(*groups) if groups else F.pmod(F.xxhash64(value), F.lit(1))
+    keyed = counts.withColumn("_group", place)
+    n = RANGE_STEPS * RANGE_STEPS
+    shares = [i / n for i in range(1, n)]
+    sample = keyed.filter(F.pmod(F.xxhash64(value, F.lit(7)), F.lit(SAMPLED)) == 0)
+    bounds = (
+        sample.groupBy("_group")
+        .agg(F.percentile_approx(number, shares).alias("_bounds"), F.count("*").alias("_n"))
+        .filter(F.col("_n") >= n)
+        .drop("_n")
+    )
+    return keyed.join(bounds, "_group", "left").withColumn("_step", _range_of(number, F.col("_bounds"))).drop("_group", "_bounds")
 
 
 def value_steps(
@@ -101,8 +128,8 @@ def value_steps(
     """One row per (group, distinct value): ``cnt`` rows hold it, ``before`` rows lie below it.
 
     ``n`` is the group size. ``extra`` adds more sums per distinct value. Rows are pre-aggregated to
-    distinct values; these are spread by (group, step) and the running total over steps is a
-    window over the steps of a group (4096 per doubling of the value), never over its rows.
+    distinct values; these are spread by (group, range) and the running total over ranges is a
+    window over the few ranges of a group, never over its rows.
     """
     groups = list(groups)
     weight = F.lit(1) if weight is None else weight
@@ -110,12 +137,7 @@ def value_steps(
     sums += [F.sum(column).alias(name) for name, column in (extra or {}).items()]
     # One struct as key: NULL group values stay comparable, and join and window share one shuffle.
     place = F.struct(*groups, "_step").alias("_place")
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*groups, value)
-        .agg(*sums)
-        .withColumn("_step", _step(F.col(value)))
-    )
+    counts = value_ranges(df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(*sums), groups, value)
     by_group = Window.partitionBy(*(groups or [F.lit(0)]))
     offsets = (
         counts.groupBy(*groups, "_step")

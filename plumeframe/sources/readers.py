@@ -6,10 +6,11 @@ import csv
 import datetime as dt
 import io
 import zipfile
+import zlib
 from functools import reduce
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,59 +84,114 @@ def read_observations(spark: SparkSession, paths: Sequence[str], code: str) -> D
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def read_observation_archives(spark: SparkSession, paths: Sequence[str], code: str) -> DataFrame:
-    """The same from zip archives: the first CSV member, which must hold the table, and all others that hold it.
+class _Inflated(io.RawIOBase):
+    """Reads a member's raw bytes as they are unpacked, a bounded piece at a time."""
+
+    def __init__(self, data: bytes, method: int):
+        if method not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+            raise ValueError(f"unsupported compression method {method}")
+        self._unpack = zlib.decompressobj(-15) if method == zipfile.ZIP_DEFLATED else None
+        self._left = memoryview(data)
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, target) -> int:
+        size = len(target)
+        if self._unpack is None:
+            piece, self._left = bytes(self._left[:size]), self._left[size:]
+        else:
+            piece = b""
+            while not piece and not self._unpack.eof and (self._left or self._unpack.unconsumed_tail):
+                more = self._unpack.unconsumed_tail
+                if not more:
+                    more, self._left = self._left[:1 << 16], self._left[1 << 16 :]
+                piece = self._unpack.decompress(more, size)
+        target[: len(piece)] = piece
+        return len(piece)
+
+
+def archives(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """``path, content`` of archive files."""
+    return spark.read.format("binaryFile").load(list(paths)).select("path", "content")
+
+
+def archive_members(archives: DataFrame, name_part: str | None = None) -> DataFrame:
+    """``path, place, member, method, data``: the CSV members of zip archives, still packed, one row each.
 
-    One task opens one archive and streams its rows in batches; archives are yearly files of some
-    megabytes. Larger sources should be extracted and read with ``read_observations``.
+    ``name_part`` keeps members whose name contains it; an archive without any is an error. An archive is opened where it
+    is read, but not unpacked there: its members are dealt over all tasks, which unpack and parse them on their own.
     """
-    names = [*RAW_COLUMNS, "Parameter Code"]
+    schema = "path string, place int, member string, method int, data binary"
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, content in zip(batch["path"].to_pylist(), batch["content"]):
+                body = content.as_buffer()
+                with zipfile.ZipFile(pa.BufferReader(body)) as archive:
+                    wanted = lambda n: n.lower().endswith(".csv") and (name_part or "").lower() in n.lower()
+                    found = [m for m in archive.infolist() if wanted(m.filename)]
+                if not found:
+                    raise ValueError(f"No {name_part + ' ' if name_part else ''}CSV found in {path}")
+                for place, member in enumerate(found):
+                    # The local header repeats name and extra field, whose lengths lie at bytes 26 to 29.
+                    head = bytes(body[member.header_offset : member.header_offset + 30])
+                    start = member.header_offset + 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little")
+                    row = [[path], [place], [member.filename], [member.compress_type], [bytes(body[start : start + member.compress_size])]]
+                    kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], names=["path", "place", "member", "method", "data"])
+
+    return archives.select("path", "content").mapInArrow(split, schema).repartition("path", "member")
+
+
+def member_rows(members: DataFrame, required: Sequence[str], optional: Sequence[str] = (), skip_others: bool = False) -> DataFrame:
+    """Rows of packed CSV members as text columns, found by each member's own header; empty fields are NULL.
+
+    A member without a ``required`` column is an error, unless ``skip_others`` and it is not the first of its archive.
+    """
+    names = [*required, *optional]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    archives = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
 
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names=names)
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    found = [m for m in archive.namelist() if m.lower().endswith(".csv")]
-                    if not found:
-                        raise ValueError(f"No CSV found in {path}")
-                    for place, member in enumerate(found):
-                        with archive.open(member) as raw:
-                            reader = csv.DictReader(io.TextIOWrapper(raw, encoding="utf-8", newline=""))
-                            absent = [n for n in RAW_COLUMNS if n not in (reader.fieldnames or [])]
-                            if absent and place:
-                                continue
-                            if absent:
-                                raise ValueError(f"Missing expected columns: {absent}")
-                            rows: list[list[str | None]] = []
-                            for row in reader:
-                                rows.append([row.get(n) or None for n in names])
-                                if len(rows) >= ROWS_PER_BATCH:
-                                    yield pd.DataFrame(rows, columns=names, dtype=object)
-                                    rows = []
-                            if rows:
-                                yield pd.DataFrame(rows, columns=names, dtype=object)
-
-    return _keep_code(archives.mapInPandas(members, schema), code)
+            for member in batch.to_pylist():
+                text = io.TextIOWrapper(io.BufferedReader(_Inflated(member["data"], member["method"]), 1 << 18), encoding="utf-8-sig", newline="")
+                reader = csv.reader(text)
+                header = {name: i for i, name in reversed(list(enumerate(next(reader, []))))}
+                absent = [n for n in required if n not in header]
+                if absent and skip_others and member["place"]:
+                    continue
+                if absent:
+                    raise ValueError(f"Missing expected columns: {absent}")
+                places = [header.get(n) for n in names]
+                rows: list[list[str | None]] = []
+                for line in reader:
+                    if line:
+                        rows.append([(line[i] or None) if i is not None and i < len(line) else None for i in places])
+                    if len(rows) >= ROWS_PER_BATCH:
+                        yield made(rows)
+                        rows = []
+                if rows:
+                    yield made(rows)
+
+    return members.mapInArrow(parse, schema)
 
 
-# ---- detections ------------------------------------------------------------------------------
+def read_observation_archives(spark: SparkSession, paths: Sequence[str], code: str) -> DataFrame:
+    """The same from zip archives: the first CSV member, which must hold the table, and all others that hold it."""
+    return observations_of(archives(spark, paths), code)
 
 
-def read_detections(
-    spark: SparkSession, path: str | Sequence[str], name_part: str | None = None, columns: Sequence[str] | None = None
-) -> DataFrame:
-    """Hotspot CSV files with typed columns and times; rows without place, time or power go.
+def observations_of(contents: DataFrame, code: str) -> DataFrame:
+    """Monitor rows of archives that are given as ``path, content``."""
+    return _keep_code(member_rows(archive_members(contents), RAW_COLUMNS, ["Parameter Code"], skip_others=True), code)
 
-    ``name_part`` keeps files whose name contains it. Only the needed columns are parsed.
-    """
-    parts = []
-    for part in _csv_by_header(spark, path):
-        if name_part is not None:
-            part = part.filter(F.lower(F.col("_metadata.file_name")).contains(name_part.lower()))
-        parts.append(part.select(*DETECTION_SCHEMA.fieldNames()))
-    rows = reduce(lambda a, b: a.unionByName(b), parts)
+
+# ---- detections ------------------------------------------------------------------------------
+
+
+def _typed_detections(rows: DataFrame, columns: Sequence[str] | None) -> DataFrame:
     number = lambda c: missing_to_null(F.trim(c).try_cast("double"))
     out = rows.select(
         number("longitude").alias("lon"),
@@ -150,6 +206,33 @@ def read_detections(
     return out.select(*columns) if columns else out
 
 
+def read_detections(
+    spark: SparkSession, path: str | Sequence[str], name_part: str | None = None, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """Hotspot CSV files with typed columns and times; rows without place, time or power go.
+
+    ``name_part`` keeps files whose name contains it. Only the needed columns are parsed.
+    """
+    parts = []
+    for part in _csv_by_header(spark, path):
+        if name_part is not None:
+            part = part.filter(F.lower(F.col("_metadata.file_name")).contains(name_part.lower()))
+        parts.append(part.select(*DETECTION_SCHEMA.fieldNames()))
+    return _typed_detections(reduce(lambda a, b: a.unionByName(b), parts), columns)
+
+
+def read_detection_archives(
+    spark: SparkSession, paths: Sequence[str], name_part: str | None = None, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """The same from zip archives: all CSV members whose name contains ``name_part``, each by its own header."""
+    return detections_of(archives(spark, paths), name_part, columns)
+
+
+def detections_of(contents: DataFrame, name_part: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
+    """Detections of archives that are given as ``path, content``."""
+    return _typed_detections(member_rows(archive_members(contents, name_part), DETECTION_SCHEMA.fieldNames()), columns)
+
+
 def add_detection_id(detections: DataFrame) -> DataFrame:
     """Numbers the detections (equal rows stay separate rows) and stages them, so that the numbers hold."""
     return stage(detections.withColumn("det_id", F.monotonically_increasing_id()))
@@ -179,18 +262,44 @@ PROPERTIES = (
 FEATURE = "properties struct<{}>, geometry struct<type:string, coordinates:string>"
 
 
+# The two keys of a feature that hold its content.
+_CONTENT = ('"properties"', '"geometry"')
+
+
+def _first_key(spark: SparkSession, path: str) -> str:
+    """Which of a feature's two content keys comes first in a collection; only the start of the file is read."""
+    head = spark.read.option("lineSep", _CONTENT[1]).text(path).first()
+    start = (head["value"] if head else "").partition('"features"')[2]
+    return _CONTENT[0] if _CONTENT[0] in start else _CONTENT[1]
+
+
+def _collection_features(spark: SparkSession, path: str, feature: str) -> DataFrame:
+    """Features of collections, read in pieces: the key that a feature begins its content with separates the records.
+
+    A file is split over tasks like any text. A record runs from one separator to the next; put behind its key it is an
+    object that ends where the feature does, and what follows is left unread. Other members that carry the separator (such as
+    a reference system) lack the second key and are dropped.
+    """
+    first = _first_key(spark, path)
+    second = _CONTENT[1 - _CONTENT.index(first)]
+    records = spark.read.option("lineSep", first).text(path).filter(F.col("value").contains(second))
+    # What precedes the first separator of a file is no record; it never holds the second key after "features".
+    records = records.filter(F.ltrim("value").startswith(":"))
+    return records.select(F.from_json(F.concat(F.lit("{" + first), "value"), feature).alias("f")).select("f.*")
+
+
 def read_perimeters(spark: SparkSession, path: str | Sequence[str], properties: Sequence[str] = PROPERTIES, lines: bool = False) -> DataFrame:
     """Perimeter features as text properties plus ``rings``.
 
-    A feature collection is one JSON document per file and so one task per file; ``lines`` reads one
-    feature per line, which splits. Coordinates stay text until their depth is known from the type.
+    A feature collection is split over tasks at its features; ``lines`` reads one feature per line. Coordinates stay
+    text until their depth is known from the type.
     """
     feature = FEATURE.format(", ".join(f"{p}:string" for p in properties))
     if lines:
         rows = spark.read.schema(feature).json(path)
     else:
-        collection = spark.read.schema(f"features array<struct<{feature.replace('properties struct', 'properties:struct').replace('geometry struct', 'geometry:struct')}>>")
-        rows = collection.json(path, multiLine=True).select(F.inline("features"))
+        parts = [_collection_features(spark, p, feature) for p in ([path] if isinstance(path, str) else path)]
+        rows = reduce(lambda a, b: a.unionByName(b), parts)
     return rows.select("properties.*", parse_rings("geometry.type", "geometry.coordinates").alias("rings"))
 
 
@@ -229,3 +338,13 @@ def read_index(spark: SparkSession, table: str, log: str) -> DataFrame:
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
     return latest_index(read_sample_log(spark, log))
+
+
+def read_fields(spark: SparkSession, path: str) -> DataFrame:
+    """Field cells as ``write_fields`` left them; filters on variable, level and run pick folders."""
+    return spark.read.parquet(f"{path}/cells")
+
+
+def field_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """``run_time, variable, level, cells``: which fields are there, without reading them."""
+    return spark.read.parquet(f"{path}/catalog")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
@@ -15,6 +16,29 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+def write_fields(fields: DataFrame, path: str) -> None:
+    """Field cells by variable, level and run, and beside them a catalog with one row for each of these.
+
+    The catalog counts the rows of the files just written; only folder names and row counts are read for it, no cell. A
+    later write of the same runs replaces them and their catalog rows.
+    """
+    spark = fields.sparkSession
+    stamp = F.date_format("run_time", "yyyy-MM-dd'T'HH")
+    (
+        fields.withColumn("run", stamp)
+        .repartition("variable", "level", "run")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("variable", "level", "run")
+        .parquet(f"{path}/cells")
+    )
+    names = ["variable", "level", "run"]
+    schema = StructType([f for f in fields.schema.fields if f.name not in names] + [StructField(n, StringType()) for n in names])
+    counted = spark.read.schema(schema).parquet(f"{path}/cells").groupBy(*names).agg(F.count("*").alias("cells"))
+    catalog = counted.select("variable", "level", F.to_timestamp("run", "yyyy-MM-dd'T'HH").alias("run_time"), "cells")
+    write_table(catalog, f"{path}/catalog")
+
+
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumeframe.functions.scalars import local_day
+from plumeframe.functions.scalars import local_day, timestamp_from_minute
 from plumeframe.operators.incidents import latest_index
 from plumeframe.operators.observations import attach_day_means
+from plumeframe.scale import stage
 from plumeframe.sources.sinks import table_exists
 
 # ---- station sums ----------------------------------------------------------------------------
@@ -139,23 +140,97 @@ def sample_table(spark: SparkSession, path: str) -> DataFrame:
 # ---- overpasses ------------------------------------------------------------------------------
 
 
-def live_overpasses(assigned: DataFrame, gap_minutes: int = 45, late_minutes: int = 30) -> DataFrame:
-    """Overpass events of a stream of assigned detections (``incident_id, acq_ts``).
+SPANS = ("incident_id", "start_minute", "end_minute", "pixels", "weighted_minutes")
 
-    Sessions per incident that close when a gap longer than ``gap_minutes`` has passed; detections
-    later than the watermark are dropped. The lateness rule is this library's own.
+
+def _merged_spans(spans: DataFrame, gap_minutes: int) -> DataFrame:
+    """Spans of an incident that lie within the gap of each other become one; ``_old`` are the batches of those it replaces."""
+    by_start = Window.partitionBy("incident_id").orderBy("start_minute", "end_minute")
+    reached = F.max("end_minute").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = F.when(reached.isNull() | (F.col("start_minute") - reached > gap_minutes), 1).otherwise(0)
+    marked = spans.withColumn("_new", fresh).withColumn("_island", F.sum("_new").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    replaced = F.collect_list(F.when(F.col("_batch") >= 0, F.struct(F.col("_batch").alias("batch"), "start_minute")))
+    return marked.groupBy("incident_id", "_island").agg(
+        F.min("start_minute").alias("start_minute"),
+        F.max("end_minute").alias("end_minute"),
+        F.sum("pixels").alias("pixels"),
+        F.sum("weighted_minutes").alias("weighted_minutes"),
+        replaced.alias("_old"),
+    )
+
+
+def _standing(spark: SparkSession, state: str, before: int | None = None) -> DataFrame | None:
+    """Sessions that no later batch has replaced, each with the batch that wrote it; only batches below ``before`` count."""
+    if not table_exists(spark, f"{state}/sessions"):
+        return None
+    rows, gone = spark.read.parquet(f"{state}/sessions"), spark.read.parquet(f"{state}/replaced")
+    if before is not None:
+        rows, gone = rows.filter(F.col("batch") < before), gone.filter(F.col("batch") < before)
+    gone = gone.select("incident_id", "start_minute", F.col("old_batch").alias("batch"))
+    return rows.join(gone, ["incident_id", "start_minute", "batch"], "left_anti")
+
+
+def add_detections(detections: DataFrame, batch_id: int, state: str, gap_minutes: int = 45) -> None:
+    """Merge one batch of assigned detections (``incident_id, acq_ts``) into the session table.
+
+    The batch is counted by minute first. Its minutes extend sessions, start new ones or, when they are late, join
+    sessions of earlier batches; a joined session is written anew and the old rows are listed as replaced. Only sessions
+    within reach of the batch's minutes are read: the bounds are pushed into the scan. Sessions of one incident are at
+    most its minutes. Written by batch, so a repeated batch overwrites itself.
     """
-    minute = F.date_trunc("minute", "acq_ts")
-    return (
-        assigned.withColumn("acq_minute", minute)
-        .withWatermark("acq_minute", f"{late_minutes} minutes")
-        .groupBy("incident_id", F.session_window("acq_minute", f"{gap_minutes} minutes").alias("_w"))
-        .agg(
-            F.count("*").alias("event_pixel_count"),
-            F.min("acq_minute").alias("event_start"),
-            F.max("acq_minute").alias("event_end"),
-            F.avg(F.unix_seconds("acq_minute")).alias("_middle"),
+    spark = detections.sparkSession
+    minute = F.floor(F.unix_seconds("acq_ts") / 60).cast("bigint")
+    counted = detections.filter("incident_id is not null and acq_ts is not null").groupBy("incident_id", minute.alias("start_minute")).agg(F.count("*").alias("pixels"))
+    spans = stage(
+        counted.select(
+            "incident_id", "start_minute", F.col("start_minute").alias("end_minute"), "pixels", (F.col("start_minute") * F.col("pixels")).alias("weighted_minutes")
         )
-        .withColumn("event_mid_minute", F.rint(F.col("_middle") / 60).cast("bigint"))
-        .drop("_w", "_middle")
+    )
+    first, last = spans.agg(F.min("start_minute"), F.max("end_minute")).first()
+    new = spans.withColumn("_batch", F.lit(-1).cast("bigint"))
+    standing = None if first is None else _standing(spark, state, batch_id)
+    if standing is not None:
+        near = standing.filter((F.col("end_minute") >= first - gap_minutes) & (F.col("start_minute") <= last + gap_minutes))
+        touched = spans.select("incident_id").distinct()
+        near = near.join(touched, "incident_id", "left_semi").select(*SPANS, F.col("batch").cast("bigint").alias("_batch"))
+        new = new.unionByName(near)
+    merged = stage(_merged_spans(new, gap_minutes))
+    old = merged.select("incident_id", F.explode("_old").alias("o")).select("incident_id", F.col("o.start_minute").alias("start_minute"), F.col("o.batch").alias("old_batch"))
+    old.write.mode("overwrite").parquet(f"{state}/replaced/batch={batch_id}")
+    # Sessions last: without them a batch that failed half-way is done again.
+    merged.select(*SPANS).write.mode("overwrite").parquet(f"{state}/sessions/batch={batch_id}")
+
+
+def run_detections(stream: DataFrame, state: str, gap_minutes: int = 45) -> None:
+    """Process everything that has arrived, then stop; call again for what comes later."""
+    query = (
+        stream.writeStream.foreachBatch(lambda df, batch_id: add_detections(df, batch_id, state, gap_minutes))
+        .option("checkpointLocation", f"{state}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def live_overpasses(spark: SparkSession, state: str, gap_minutes: int = 45, late_minutes: int = 30, ended: bool = False) -> DataFrame:
+    """Overpass events of the feed so far, as ``overpass_events`` gives them, and whether each is still ``open``.
+
+    A session is open while a detection that is at most ``late_minutes`` behind the newest one could join it; later
+    ones still reopen it when they come. ``ended`` says that the feed is over: all sessions are closed.
+    """
+    sessions = _standing(spark, state)
+    newest = sessions.agg(F.max("end_minute")).first()[0]
+    # The minutes of a late detection start at the bound; at the end of a feed there is none.
+    bound = newest - late_minutes if newest is not None else 0
+    middle = F.rint(F.col("weighted_minutes") / F.col("pixels")).cast("bigint")
+    in_order = Window.partitionBy("incident_id").orderBy("start_minute")
+    return sessions.select(
+        "incident_id",
+        (F.row_number().over(in_order) - 1).cast("int").alias("event_idx"),
+        F.col("start_minute").alias("event_start_minute"),
+        F.col("end_minute").alias("event_end_minute"),
+        middle.alias("event_mid_minute"),
+        F.col("pixels").alias("event_pixel_count"),
+        timestamp_from_minute(middle).alias("event_time_utc"),
+        (F.lit(not ended) & (F.col("end_minute") + gap_minutes >= bound)).alias("open"),
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from plumeframe.config import Channel, GridSpec, SampleSettings, SplitDates
 from plumeframe.functions import geo
+from plumeframe.operators import detections, grids, overpass
 from plumeframe.operators.observations import RAW_COLUMNS
 from plumeframe.plans import samples, station
 from plumeframe.sources import readers, sinks
@@ -218,3 +219,92 @@ def test_station_hours_of_a_later_batch_count(spark, tmp_path):
     for batch, station in enumerate("ab"):
         live.add_hours(spark.createDataFrame([(station, hour, 1.0, 2.0)], "station_id string, hour_utc timestamp, value0 double, value1 double"), batch, places, str(tmp_path))
     assert {r["station_id"]: r["n"] for r in live.current_sums(spark, str(tmp_path)).collect()} == {"a": 1, "b": 1}
+
+
+def test_late_detections_reopen_their_overpass(spark, tmp_path):
+    minute = lambda m: dt.datetime(2024, 6, 1, tzinfo=dt.timezone.utc) + dt.timedelta(minutes=m)
+    arrivals = [
+        [(1, 0), (1, 10), (1, 10), (1, 200), (2, 5)],
+        [(1, 300), (1, 230), (2, 400), (None, 3)],
+        # Late: one joins two sessions of both arrivals, one lies before all, one is a session of its own, one extends an end.
+        [(1, 50), (1, 265), (2, -40), (2, 200), (1, 340), (3, 7)],
+    ]
+    source, state = str(tmp_path / "feed"), str(tmp_path / "state")
+    schema = "incident_id bigint, acq_ts timestamp"
+    seen = []
+    for batch in arrivals:
+        seen += batch
+        spark.createDataFrame([(i, minute(m)) for i, m in batch], schema).write.mode("append").parquet(source)
+        live.run_detections(spark.readStream.schema(schema).parquet(source), state)
+        points = spark.createDataFrame([(i, minute(m)) for i, m in seen if i is not None], schema)
+        want = overpass.overpass_events(detections.minute_counts(points))
+        got = live.live_overpasses(spark, state)
+        assert sorted(map(tuple, got.drop("open").select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    # The newest minute is 400: what ended before 400 - 30 - 45 is closed, at the end of the feed all is.
+    assert {(r["incident_id"], r["event_idx"]) for r in got.filter("open").collect()} == {(1, 1), (2, 2)}
+    assert live.live_overpasses(spark, state, ended=True).filter("open").count() == 0
+    # A batch that is repeated overwrites itself.
+    before = sorted(map(tuple, got.collect()))
+    live.add_detections(spark.createDataFrame([(i, minute(m)) for i, m in arrivals[2]], schema), 2, state)
+    assert sorted(map(tuple, live.live_overpasses(spark, state).collect())) == before
+
+
+def test_detections_from_archives(spark, tmp_path):
+    head = "latitude,longitude,acq_date,acq_time,frp,confidence,daynight"
+    for i in range(2):
+        with zipfile.ZipFile(tmp_path / f"hot_{i}.zip", "w", zipfile.ZIP_DEFLATED if i else zipfile.ZIP_STORED) as z:
+            z.writestr("notes.txt", "no table")
+            z.writestr(f"fire_archive_{i}a.csv", f"{head}\n" + "".join(f"1,{i},2024-01-01,5,{k},n,D\n" for k in range(3000)))
+            z.writestr(f"FIRE_ARCHIVE_{i}b.CSV", "﻿extra," + ",".join(head.split(",")[::-1]) + f'\n"x, ""y""",N,h,7.5,0130,2024-01-02,{i},2\n,D,n,,5,2024-01-01,0,1\n')
+            z.writestr(f"fire_nrt_{i}.csv", f"{head}\n1,2,2024-01-01,5,3.5,n,D\n")
+    paths = sorted(str(p) for p in tmp_path.iterdir())
+    rows = readers.read_detection_archives(spark, paths, "archive")
+    assert rows.count() == 6002 and rows.filter("frp = 7.5 and confidence = 'h' and daynight = 'N' and lat = 2").count() == 2
+    assert readers.archive_members(readers.archives(spark, paths)).count() == 6
+    with pytest.raises(Exception, match="No other CSV found"):
+        readers.read_detection_archives(spark, paths, "other").count()
+    with pytest.raises(Exception, match="Missing expected columns"):
+        readers.read_observation_archives(spark, paths, "88101").count()
+
+
+@pytest.mark.parametrize("order", [("properties", "geometry"), ("geometry", "properties")])
+def test_a_collection_is_read_by_many_tasks(spark, tmp_path, order):
+    names = ["plain", 'with "quotes" and }], {', '"properties', "geometry", "é漢"]
+    features = []
+    for i in range(500):
+        ring = [[i, 0], [i + 2, 0], [i + 2, 1], [i, 0]]
+        content = {"properties": {"attr_IncidentName": names[i % 5] + str(i), "other": {"deep": [1, 2]}}, "geometry": {"type": "Polygon", "coordinates": [ring]} if i % 50 else None}
+        features.append({"type": "Feature", "id": i, **{k: content[k] for k in order}})
+    doc = {"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "x"}}, "features": features}
+    path = tmp_path / "p.geojson"
+    path.write_text(json.dumps(doc, ensure_ascii=False, indent=1 if order[0] == "geometry" else None))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        rows = readers.read_perimeters(spark, str(path))
+        assert rows.rdd.getNumPartitions() > 4
+        got = {r["attr_IncidentName"]: r["rings"] for r in rows.collect()}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert set(got) == {names[i % 5] + str(i) for i in range(500)}
+    assert sum(r is None for r in got.values()) == 10 and got["plain10"][0][0]["x"] == 10.0
+
+
+def test_availability_reads_the_catalog(spark, tmp_path):
+    hour = lambda h: dt.datetime(2024, 1, 1, h, tzinfo=dt.timezone.utc)
+    rows = [(hour(h), v, "8m", i, 0, float(i)) for h in range(3) for v in ("A", "B") for i in range(50) if not (h == 1 and v == "B")]
+    schema = "run_time timestamp, variable string, level string, iy int, ix int, value double"
+    path = str(tmp_path / "fields")
+    sinks.write_fields(spark.createDataFrame(rows, schema), path)
+    catalog = readers.field_catalog(spark, path)
+    assert {(r["run_time"].hour, r["variable"], r["cells"]) for r in catalog.collect()} == {(h, v, 50) for h in range(3) for v in "AB" if (h, v) != (1, "B")}
+    wanted = spark.createDataFrame([(hour(h), v, "8m") for h in range(4) for v in "AB"], "run_time timestamp, variable string, level string")
+    have, missing = grids.split_by_availability(wanted, catalog)
+    assert have.count() == 5 and {(r["run_time"].hour, r["variable"]) for r in missing.collect()} == {(1, "B"), (3, "A"), (3, "B")}
+    # Runs that are written again replace themselves; others stay.
+    sinks.write_fields(spark.createDataFrame([(hour(1), "B", "8m", 0, 0, 1.0), (hour(0), "A", "8m", 0, 0, 1.0)], schema), path)
+    cells = {(r["run_time"].hour, r["variable"]): r["cells"] for r in readers.field_catalog(spark, path).collect()}
+    assert cells == {(0, "A"): 1, (0, "B"): 50, (1, "A"): 50, (1, "B"): 1, (2, "A"): 50, (2, "B"): 50}
+    assert readers.read_fields(spark, path).filter("variable = 'A'").count() == 101

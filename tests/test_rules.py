@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from plumeframe.config import Channel, GridSpec, ReductionRules
 from plumeframe.functions import geo
 from plumeframe.functions import scalars as s
-from plumeframe.operators import grids, incidents, linkage, metrics, models, observations, overpass, spatial, stability, temporal
+from plumeframe.operators import graph, grids, incidents, linkage, metrics, models, observations, overlays, overpass, spatial, stability, temporal
 from plumeframe.plans import reports, samples
 
 
@@ -298,8 +298,37 @@ def test_greedy_matching_against_the_sequential_rule(spark):
             right[b] -= m
     sizes = [spark.createDataFrame(list(n.items()), "key string, n bigint") for n in (n_left, n_right)]
     df = spark.createDataFrame(rows, "left_key string, right_key string, match_score double, overlap_ratio double, start_diff int")
-    got = {(r["left_key"], r["right_key"]): r["m"] for r in linkage.match_greedy(df, *sizes).collect()}
-    assert got == want
+    for fold_rows in (40, 1000):
+        found = linkage.match_greedy(df, *sizes, fold_rows=fold_rows).collect()
+        assert {(r["left_key"], r["right_key"]): r["m"] for r in found} == want
+        for side in ("left", "right"):
+            spans = sorted((r[f"{side}_key"], r[f"{side}_from"], r["m"]) for r in found)
+            assert all(k != a or f + m <= b for (k, f, m), (a, b, _) in zip(spans, spans[1:]))
+
+
+def test_a_chain_of_falling_scores_needs_no_more_jobs(spark):
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(n):
+        rows = [(f"n{i // 2}", f"n{(i + 1) // 2}", 1.0 - i / 10_000, 0.5, 0) for i in range(n)]
+        df = spark.createDataFrame(rows, "left_key string, right_key string, match_score double, overlap_ratio double, start_diff int")
+        sizes = [df.select(F.col(f"{s}_key").alias("key")).distinct().withColumn("n", F.lit(1).cast("bigint")) for s in ("left", "right")]
+        spark.sparkContext.setJobGroup(f"chain{n}", "")
+        got = linkage.match_greedy(df, *sizes).collect()
+        spark.sparkContext.setJobGroup("", "")
+        assert {(r["left_key"], r["right_key"]) for r in got} == {(a, b) for a, b, *_ in rows[::2]}
+        return len(tracker.getJobIdsForGroup(f"chain{n}"))
+
+    assert jobs(1000) <= jobs(10)
+
+
+def test_components_of_chains_stars_and_odd_links(spark):
+    links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7), (None, 3), (500, 499), (499, 500)]
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 140)} | {499: 499, 500: 499}
+    star = spark.range(1, 50).selectExpr("0 as a", "id as b")
+    assert graph.components(star, rows_per_task=5).filter("root = 0").count() == 50
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
 def slow_subsequence(a, b):
@@ -328,18 +357,80 @@ def test_copies_link_one_to_one(spark):
     assert {r["overlap_ratio"] for r in rows} == {1.0}
 
 
-def test_common_area_of_boxes_diamonds_and_holes():
-    def edges(*rings):
-        return np.array([(*p, *q) for ring in rings for p, q in zip(ring, ring[1:] + ring[:1])], dtype=float).reshape(-1, 4)
+RINGS = "key string, rings array<array<struct<x: double, y: double>>>"
+
+
+def closed(*rings):
+    return [[(float(x), float(y)) for x, y in [*ring, ring[0]]] for ring in rings]
+
+
+def common_by_slabs(a, b) -> float:
+    """Area inside both of two shapes by slabs between all corners and crossings (even-odd)."""
 
+    def edges(rings):
+        return [(*p, *q) for ring in rings for p, q in zip(ring, ring[1:]) if p[1] != q[1]]
+
+    both = [edges(a), edges(b)]
+    heights = {y for side in both for e in side for y in (e[1], e[3])}
+    lines = [*both[0], *both[1]]
+    for i, (x1, y1, x2, y2) in enumerate(lines):
+        for x3, y3, x4, y4 in lines[i + 1 :]:
+            s, t = (x2 - x1) / (y2 - y1), (x4 - x3) / (y4 - y3)
+            if s != t:
+                heights.add(((x3 - t * y3) - (x1 - s * y1)) / (s - t))
+    heights = sorted(heights)
+    area = 0.0
+    for low, high in zip(heights, heights[1:]):
+        y = (low + high) / 2
+        cuts = sorted((x1 + (y - y1) * (x2 - x1) / (y2 - y1), side) for side in (0, 1) for x1, y1, x2, y2 in both[side] if min(y1, y2) < y < max(y1, y2))
+        inside = [0, 0]
+        for (x, side), (after, _) in zip(cuts, cuts[1:]):
+            inside[side] ^= 1
+            area += (high - low) * (after - x) * (inside[0] & inside[1])
+    return area
+
+
+def overlay_pairs(spark, shapes_a, shapes_b, cell):
+    left, right = (spark.createDataFrame(list(s.items()), RINGS) for s in (shapes_a, shapes_b))
+    strips = [overlays.shape_strips(df, "key", cell).withColumnRenamed("key", f"{side}_key") for df, side in ((left, "left"), (right, "right"))]
+    out = overlays.common_areas(*strips, ["cx", "cy"], ["left_key", "right_key"], ["left_key"], cell)
+    areas = {r["key"]: r["area"] for df in (left, right) for r in overlays.shape_areas(df, "key").collect()}
+    return {(r["left_key"], r["right_key"]): r["common"] for r in out.collect()}, areas
+
+
+def test_common_area_whatever_the_cell_and_the_direction_of_rings(spark):
+    rng = random.Random(11)
     box = lambda x, y, h: [(x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h)]
     diamond = lambda x, y, h: [(x, y - h), (x + h, y), (x, y + h), (x - h, y)]
-    assert linkage.common_area(edges(box(0, 0, 1)), edges(box(0.5, 1, 1))) == pytest.approx(1.5)
-    assert linkage.common_area(edges(diamond(0, 0, 1)), edges(box(0, 0, 1))) == pytest.approx(2.0)
-    assert linkage.common_area(edges(diamond(0, 0, 1)), edges(diamond(1, 0, 1))) == pytest.approx(0.5)
-    assert linkage.common_area(edges(diamond(-100, 40, 1.5)), edges(box(-100, 40, 1))) == pytest.approx(4 - 4 * 0.125)
-    assert linkage.common_area(edges(box(0, 0, 2), box(0, 0, 1)), edges(box(0, 0, 2))) == pytest.approx(12.0)
-    assert linkage.common_area(edges(box(0, 0, 1)), edges(box(5, 0, 1))) == linkage.common_area(edges(), edges(box(0, 0, 1))) == 0.0
+
+    def star(x, y, r, n):
+        turns = [(2 * math.pi * i / n, r * rng.uniform(0.3, 1)) for i in range(n)]
+        ring = [(x + d * math.cos(t), y + d * math.sin(t)) for t, d in turns]
+        return ring if rng.random() < 0.5 else ring[::-1]
+
+    a = {
+        "box": closed(box(-120, 40, 1)), "holed": closed(box(-120, 40, 2), box(-120, 40, 1)), "island": closed(box(-120, 40, 2), box(-120, 40, 1)[::-1], diamond(-120, 40, 0.5)),
+        "tiny": closed(box(-119.99, 40.013, 0.01)), "two": closed(box(-121, 40, 0.3), diamond(-119, 40.5, 0.4)[::-1]),
+        **{f"s{i}": closed(star(-120 + rng.uniform(-1, 1), 40 + rng.uniform(-1, 1), rng.uniform(0.02, 1.5), 17)) for i in range(6)},
+    }
+    b = {
+        "box": closed(box(-119.5, 41, 1)[::-1]), "same": closed(box(-120, 40, 1)), "diamond": closed(diamond(-120, 40, 1.5)), "far": closed(box(-100, 40, 1)),
+        "touch": closed(box(-118, 40, 1)), "flat": [[(-120.0, 40.0), (-119.0, 40.0), (-120.0, 40.0)]],
+        **{f"t{i}": closed(star(-120 + rng.uniform(-1, 1), 40 + rng.uniform(-1, 1), rng.uniform(0.02, 1.5), 23)) for i in range(6)},
+    }
+    want = {(i, j): common_by_slabs(p, q) for i, p in a.items() for j, q in b.items() if j != "flat"}
+    for cell in (0.05, 0.3, 7.0):
+        got, areas = overlay_pairs(spark, a, b, cell)
+        assert {k: got.get(k, 0.0) for k in want} == pytest.approx(want, abs=1e-9)
+        assert not any(k[1] == "flat" for k in got)
+    assert areas == pytest.approx({k: common_by_slabs(r, r) for k, r in {**a, **b}.items()}, abs=1e-9)
+
+
+def test_a_cell_inside_a_shape_is_one_strip(spark):
+    shape = {"k": closed([(0.05, 0.05), (9.95, 0.05), (9.95, 9.95), (0.05, 9.95)])}
+    strips = overlays.shape_strips(spark.createDataFrame(list(shape.items()), RINGS), "key", 1.0)
+    counts = {(r["cx"], r["cy"]): r["count"] for r in strips.groupBy("cx", "cy").count().collect()}
+    assert len(counts) == 100 and all(counts[x, y] == 1 for x in range(1, 9) for y in range(1, 9))
 
 
 def test_shapes_below_a_lattice_cell_are_linked(spark):
@@ -361,6 +452,61 @@ def test_shapes_below_a_lattice_cell_are_linked(spark):
     assert sum(r["match_method"] == "irwin_exact" for r in linked) == 11
 
 
+def test_points_inside_thin_and_scattered_perimeters(spark):
+    box = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    shapes = {
+        **{i: closed([(-120, 40), (-119, 41), (-119 - 1e-4 * (i + 1), 41 + 1e-4)]) for i in range(20)},
+        20: closed(box(-120, 40, 1e-4, 1e-4), box(-110, 44.9, 1e-4, 1e-4)[::-1], box(-100, 50, 1e-5, 1e-5)),
+        21: closed(box(-120, 40, 4, 4), box(-119.99, 40.01, 3.98, 3.98)),
+        22: closed([(0, 0), (2, 0), (2, 2), (1.9, 2), (1.9, 0.1), (0, 0.1)]),
+        23: [[(0.0, 0.0), (1.0, 1.0), (0.0, 0.0), (0.0, 0.0)]],
+    }
+    rows = [(i, [[(float(x), float(y)) for x, y in r] for r in rings]) for i, rings in shapes.items()]
+    fires = spark.createDataFrame(rows, "incident_id long, rings array<array<struct<x: double, y: double>>>")
+    for n in (1, 12):
+        points = spatial.points_inside(fires, n)
+        assert {r["incident_id"]: r["count"] for r in points.groupBy("incident_id").count().collect()} == {i: n for i in range(23)}
+        placed = points.join(fires, "incident_id").withColumn("_e", geo.ring_edges("rings"))
+        assert placed.filter(~geo.strictly_inside("lon", "lat", "_e")).count() == 0
+    firsts = {r["incident_id"]: (r["lon"], r["lat"]) for r in points.filter("i = 0").collect()}
+    assert firsts[0] == pytest.approx(((-120 - 119 - 119.0001) / 3, (40 + 41 + 41.0001) / 3))
+    # Points follow the area: two of the scattered parts hold nearly all of them.
+    many = spatial.points_inside(fires.filter("incident_id = 20"), 400).groupBy((F.col("lon") < -115).alias("west")).count().collect()
+    assert all(150 < r["count"] < 250 for r in many) and sum(r["count"] for r in many) == 400
+
+
+def test_scan_spans_add_up_to_the_area(spark):
+    rings = closed([(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (1, 3), (3, 3), (3, 1)], [(10, 10), (10.5, 10), (10, 10.5)])
+    rows = [(1, [[(float(x), float(y)) for x, y in r] for r in rings])]
+    shape = spark.createDataFrame(rows, "incident_id long, rings array<array<struct<x: double, y: double>>>")
+    spans = spatial.scan_spans(shape, "incident_id", 200)
+    # Each ring's lines see their own parts: the frame of 12 and the triangle of 0.125.
+    assert spans.agg(F.sum("share")).first()[0] == pytest.approx(12.125, rel=1e-9)
+
+
+def test_proximity_with_incidents_of_all_sizes(spark):
+    rng = random.Random(3)
+    day = dt.date(2024, 7, 1)
+    fires = [(i, day, day, x - h, y - h, x + h, y + h) for i in range(60) for x, y, h in [(rng.uniform(-124, -104), rng.uniform(32, 48), rng.choice([0.01, 0.01, 0.2, 1.5]))]]
+    fires.append((99, day, day, -116.0, 36.0, -108.0, 42.0))
+    stations = [(f"s{i}", day, rng.uniform(30, 50), rng.uniform(-126, -100)) for i in range(300)]
+    boxes = spark.createDataFrame(fires, "incident_id long, start_date date, end_date date, min_lon double, min_lat double, max_lon double, max_lat double")
+    observations = spark.createDataFrame(stations, "station_id string, date_local date, latitude double, longitude double")
+
+    def km(lat1, lon1, lat2, lon2):
+        a, b = math.radians(lat1), math.radians(lat2)
+        h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+        return 2 * geo.EARTH_RADIUS_KM * math.asin(math.sqrt(h))
+
+    for chosen in (fires, fires[:-1]):
+        got = spatial.proximity_bins(observations, boxes.filter(F.col("incident_id").isin([f[0] for f in chosen])))
+        want = {}
+        for name, _, lat, lon in stations:
+            nearest = min(max(km(lat, lon, (s + n) / 2, (w + e) / 2) - km(s, w, n, e) / 2, 0) for _, _, _, w, s, e, n in chosen)
+            want[name] = "<=30" if nearest <= 30 else "30-100" if nearest <= 100 else ">100"
+        assert {r["station_id"]: r["fire_proximity_bin"] for r in got.collect()} == want
+
+
 # ---- models ----------------------------------------------------------------------------------
 
 

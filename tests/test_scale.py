@@ -6,9 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumeframe import scale
 from plumeframe.operators import metrics
-from plumeframe.scale import average_ranks, exact_quantiles, positions, prefix_sums, skew_join, top_rows, value_steps
+from plumeframe.scale import average_ranks, exact_quantiles, positions, prefix_sums, skew_join, top_rows, value_ranges
 
 
 @pytest.fixture(scope="module")
@@ -75,10 +74,34 @@ def test_top_rows_trims_before_the_shuffle(skewed):
     assert out.filter("k = 'hot'").count() == 2
 
 
-def test_steps_are_fine_for_very_small_numbers(spark):
-    rows = spark.range(200_000).select((F.col("id") * 5e-13).alias("v"))
-    per_step = value_steps(rows, [], "v").select((scale._step(F.col("v"))).alias("s")).groupBy("s").count()
-    assert per_step.agg(F.max("count")).first()[0] < 1_000
+VALUES = {
+    "small": "id * 5e-13",
+    "narrow": "1.7e9 + id * 1e-4",
+    "times": "1.7e9 + pmod(xxhash64(id), 31536000)",
+    "wide": "pow(10.0, (id % 6000) / 10.0 - 300) * (1 + id)",
+    "outlier": "if(id = 7, 1e300, if(id = 9, -1e300, id / 7.0))",
+    "bursts": "floor(id / 1000) * 86400 + (id % 1000) * 1e-6",
+}
+
+
+@pytest.mark.parametrize("values", VALUES)
+def test_ranges_are_balanced_whatever_the_values(spark, values):
+    n = 100_000
+    counts = spark.range(n).selectExpr("id % 2 as g", f"cast({VALUES[values]} as double) as v").distinct()
+    for groups, size in ((["g"], counts.count() / 2), ([], counts.count())):
+        placed = value_ranges(counts.select("v").distinct() if not groups else counts, groups, "v")
+        spans = placed.groupBy(*groups, "_step").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        rows = sorted((tuple(r[c] for c in groups), r["_step"], r["low"], r["high"], r["n"]) for r in spans.collect())
+        assert max(r[4] for r in rows) <= 2 * size / 256
+        assert all(a[3] < b[2] for a, b in zip(rows, rows[1:]) if a[0] == b[0])
+
+
+def test_ranks_over_many_ranges_equal_plain_ranks(spark):
+    rows = spark.range(20_000).selectExpr("id", "cast(id % 3 as string) as g", "1.7e9 + pmod(xxhash64(id), 9000) * 1e-3 as v")
+    got = {(r["g"], r["v"]): r["avg_rank"] for r in average_ranks(rows, ["g"], "v").collect()}
+    plain = rows.toPandas()
+    plain["r"] = plain.groupby("g")["v"].rank()
+    assert all(got[r.g, r.v] == r.r for r in plain.itertuples())
 
 
 def test_rank_correlation_of_a_null_group(spark):
