@@ -95,12 +95,13 @@ def _range_of(value: Column, bounds: Column) -> Column:
     return F.when(bounds.isNull(), 0).otherwise(coarse * n + upto(F.slice(bounds, coarse * n + 1, n)))
 
 
-def value_ranges(counts: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
+def value_ranges(counts: DataFrame, groups: Sequence[str], value: str, counted: str | None = None) -> DataFrame:
     """Adds ``_step``: ranges of the values of a group that hold about equally many of its distinct values.
 
     ``counts`` has one row per (group, value). The bounds of a group are quantiles of a hash sample of its values, from
     mergeable sketches; a group of few values stays in one range. Equal values share a range, and ranges follow the
-    order of the values, whatever the bounds are: they only set the balance.
+    order of the values, whatever the bounds are: they only set the balance. ``counted`` names a column that was aggregated
+    for the value: with it in its hash the sample is taken behind the aggregate, whose exchange then serves both uses.
     """
     number = F.col(value).cast("double")
     # Never a constant key: the optimizer would turn the join into a product.
@@ -108,7 +109,7 @@ def value_ranges(counts: DataFrame, groups: Sequence[str], value: str) -> DataFr
     keyed = counts.withColumn("_group", place)
     n = RANGE_STEPS * RANGE_STEPS
     shares = [i / n for i in range(1, n)]
-    sample = keyed.filter(F.pmod(F.xxhash64(value, F.lit(7)), F.lit(SAMPLED)) == 0)
+    sample = keyed.filter(F.pmod(F.xxhash64(value, F.lit(7), *([counted] if counted else [])), F.lit(SAMPLED)) == 0)
     bounds = (
         sample.groupBy("_group")
         .agg(F.percentile_approx(number, shares).alias("_bounds"), F.count("*").alias("_n"))
@@ -137,7 +138,7 @@ def value_steps(
     sums += [F.sum(column).alias(name) for name, column in (extra or {}).items()]
     # One struct as key: NULL group values stay comparable, and join and window share one shuffle.
     place = F.struct(*groups, "_step").alias("_place")
-    counts = value_ranges(df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(*sums), groups, value)
+    counts = value_ranges(df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(*sums), groups, value, "cnt")
     by_group = Window.partitionBy(*(groups or [F.lit(0)]))
     offsets = (
         counts.groupBy(*groups, "_step")
