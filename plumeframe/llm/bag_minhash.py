@@ -35,7 +35,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeframe.llm.common import staged
@@ -321,7 +321,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents that stay: one of each group, all with a NULL id; a repeated doc_id stays once."""
+    """The documents that stay: one of each group, all with a NULL id.
+
+    Rows that repeat id and text stay once, in an order that their other columns fix; other texts under the same id stay.
+    """
     gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id")
-    ids = docs.filter(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return ids.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    ids = docs.filter(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti")
+    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.xxhash64(*[f"`{c}`" for c in docs.columns if c not in ("doc_id", "text")] or ["doc_id"]))
+    once = ids.withColumn("_again", F.row_number().over(again)).filter(F.col("_again") == 1)
+    return once.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))

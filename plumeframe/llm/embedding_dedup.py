@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from plumeframe.llm.common import schema_with, staged
 from plumeframe.llm.components import components
 from plumeframe.llm.vectors import finite, matrix
+from plumeframe.scale import skew_join
 
 KEY = ["label", "dim"]
 #: Cells whose borders are looked at for each row; more leave out more visits and cost more comparisons.
@@ -172,13 +173,17 @@ def near_duplicates(
     pack_rows: int = 2_000,
     rounds: int = 8,
     seed: int = 11,
+    rows_per_task: int = 50_000,
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row of ``vectors`` (``vec_id, embedding, label``)."""
     rows = vectors.select("vec_id", "label", F.col("embedding").alias("vector"))
     part = finite("vector") & F.exists("vector", lambda x: x != 0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     part = F.coalesce(part, F.lit(False))
     valid = rows.filter(part).withColumn("dim", F.size("vector"))
-    classes = staged(valid.groupBy(*KEY, "vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
+    # A number of its own for each class, so that an id under two labels is no bridge between them.
+    counted = valid.groupBy(*KEY, "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    every = staged(counted.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    classes = every.drop("least")
     centres = staged(fit_cells(classes, cell_rows, max_cells, sample_rows, rounds, seed), "centres")
     placed = staged(_assign(classes, centres, threshold, reach, chunk_rows=4_000), "placed")
     packs = staged(_packs(placed, pack_rows), "packs")
@@ -194,13 +199,13 @@ def near_duplicates(
     met = met.select("rows", "others", (F.col("resident_") & (F.col("pack") == F.col("pack_"))).alias("same"))
     found = staged(met.mapInArrow(lambda batches: _products(batches, threshold), "rep long, links long, root long"), "links")
 
-    roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    outcome = (
-        classes.join(links, "rep", "left")
-        .join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("label", "vector", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    grouped = every.join(links, "rep", "left").join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    outcome = skew_join(grouped, smallest, ["root"], ["rep"], rows_per_task=rows_per_task).select(
+        "label", "vector", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"
     )
-    linked = valid.join(outcome, ["label", "vector"]).select("vec_id", "n_links", "component_id")
+    linked = skew_join(valid, outcome, ["label", "vector"], ["vec_id"], rows_per_task=rows_per_task).select("vec_id", "n_links", "component_id")
     alone = rows.filter(~part).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -5,7 +5,8 @@ into words at places that no piece crosses, so the best segmentation of the text
 word is segmented once: its substrings up to the longest piece are exploded and equi-joined with the piece table; the
 matching edges are grouped by word, and a Viterbi fold over the word's positions (``aggregate``) keeps the best edge
 into each position and walks back to where its pieces start. Characters without a piece become their UTF-8 byte
-pieces. Words and their cuts go back to the documents by chunk: documents are dealt over chunks of bounded size and each chunk meets the words it holds.
+pieces. Documents are dealt over chunks of bounded size, one a task. A chunk numbers its words as they first occur, and gets
+back the cuts of each number: the words themselves move once, towards the lattice.
 
 Weights. The vocabulary at hand is a merge list, whose scores are minus the merge rank. As log probabilities they
 would favour many short pieces, so an edge weighs -ln(256 + rank), the Zipf law of the rank, in fixed point. The ids are
@@ -36,6 +37,7 @@ import sentencepiece
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumeframe.llm.common import schema_with, without
 
@@ -50,9 +52,8 @@ ID_BITS, COST_BITS = 20, 31
 STEP_BITS = 6 + ID_BITS
 ALPHABET = 256
 MAX_PIECES = (1 << ID_BITS) - 2
-CHUNK_BYTES = 64 << 20
+CHUNK_BYTES = 32 << 20
 SLICE_CHARS = 2 << 20
-MEMO = 800_000
 # Letters and digits part from other signs; the underscore and the raised two are joined with both in some pieces.
 FINE = rf"{MARK}*(?:(?:[^\W_²]+|[^\w{MARK}]+)(?:[_²]+(?:[^\W_²]+|[^\w{MARK}]+)?)*|(?:[_²]+(?:[^\W_²]+|[^\w{MARK}]+)?)+)|{MARK}+"
 COARSE = rf"{MARK}*[^{MARK}]+|{MARK}+"
@@ -209,113 +210,119 @@ def text_of(ids: list[int], content: list[bytes]) -> str:
     return b"".join(map(content.__getitem__, ids)).removeprefix(b" ").decode("utf-8", "replace")
 
 
+def _texts(docs: pa.Table) -> Iterator[str | None]:
+    """Texts of a chunk in an order that does not depend on how its rows arrived."""
+    open_ = zstandard.ZstdDecompressor()
+    for i in pc.sort_indices(docs, sort_keys=[("_key", "ascending"), ("_packed", "ascending")]):
+        packed = docs["_packed"][i.as_py()]
+        yield open_.decompress(packed.as_py()).decode() if packed.is_valid else None
+
+
+def _numbered(chunk: pa.Table, pattern: re.Pattern) -> pa.Table:
+    """The words of a chunk that the lattice segments, numbered as they first occur."""
+    numbers: dict[str, int] = {}
+    for text in _texts(chunk):
+        for part in _parts(text or ""):
+            for words in _words(part, pattern):
+                for word in words:
+                    if word not in numbers:
+                        numbers[word] = len(numbers)
+    short = [(i, w) for w, i in numbers.items() if len(w) <= FOLD_CHARS]
+    at, words = zip(*short) if short else ((), ())
+    return pa.table({"_chunk": pa.array([chunk["_chunk"][0].as_py()] * len(at), pa.int32()), "_at": pa.array(at, pa.int32()), "word": pa.array(words, pa.string())})
+
+
+class _ChunkIds:
+    """Ids of the words of a chunk, found as the words occur and laid one after the other; place 0 is the mark character."""
+
+    def __init__(self, lists: pa.Table, pieces: Pieces):
+        self.pieces, self.pattern = pieces, re.compile(pieces.pattern)
+        at = lists["_at"].to_numpy()
+        self.cuts = np.zeros(int(at.max(initial=-1)) + 1, np.int64)
+        self.cuts[at] = lists["cuts"].to_numpy()
+        mark = [pieces.first_byte + b for b in MARK.encode()]
+        self.numbers: dict[str, int] = {}
+        self.flat, self.sizes = array("i", mark), array("q", [len(mark)])
+
+    def _places(self, words: list[str], out: array) -> None:
+        numbers = self.numbers
+        for word in words:
+            place = numbers.get(word)
+            if place is None:
+                at = len(numbers)
+                ids = ids_at(word, int(self.cuts[at]), self.pieces) if len(word) <= FOLD_CHARS else viterbi(word, self.pieces)
+                self.flat.extend(ids)
+                self.sizes.append(len(ids))
+                place = numbers[word] = at + 1
+            out.append(place)
+
+    def encoded(self, texts: list[str | None]) -> tuple[pa.ListArray, pa.BooleanArray]:
+        """Ids of the texts, and whether decoding gives each back."""
+        places, ends = array("q"), []
+        for text in texts:
+            for i, part in enumerate(_parts(text or "")):
+                if i:
+                    places.append(0)
+                for words in _words(part, self.pattern):
+                    self._places(words, places)
+            ends.append(len(places))
+        at, sizes, flat = np.array(places, np.int64), np.array(self.sizes, np.int64), np.array(self.flat, np.int32)
+        begins, count = (np.cumsum(sizes) - sizes)[at], sizes[at]
+        values = flat[np.repeat(begins - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        offsets = np.concatenate([[0], np.concatenate([[0], np.cumsum(count)])[ends]]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([t is None for t in texts], pa.bool_()))
+        same = [t is None or text_of(values[a:b].tolist(), self.pieces.content) == t for t, a, b in zip(texts, offsets, offsets[1:])]
+        return lists, pa.array(same, pa.bool_())
+
+
 def encode(docs: DataFrame, pieces: Pieces, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """The columns of ``docs`` but the text, ``ids``: array<int>, and ``round_trip``: whether decoding the ids gives the text back."""
     spark = docs.sparkSession
-    columns = without(docs, ("ids", "round_trip", "_chunk", "_packed"))
+    columns = without(docs, ("ids", "round_trip", "_chunk", "_key", "_packed"))
     others = [c for c in columns.columns if c != "text"]
     volume = columns.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, math.ceil(volume / chunk_bytes))
     keys = [c for c in ("doc_id",) if c in others]
-    placed = columns.withColumn("_chunk", F.pmod(F.xxhash64(*keys, "text"), F.lit(chunks)).cast("int"))
+    placed = columns.withColumn("_key", F.xxhash64(*keys, "text")).withColumn("_chunk", F.pmod("_key", F.lit(chunks)).cast("int"))
     shared = spark.sparkContext.broadcast(pieces)
+    names = [*others, "_chunk", "_key"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             packed = [None if t is None else press.compress(t.encode()) for t in batch["text"].to_pylist()]
-            names = [*others, "_chunk"]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(packed, pa.binary())], names=[*names, "_packed"])
 
-    slim = placed.select(*others, "_chunk")
-    # No fewer partitions than other shuffles have, or Spark would deal the texts out a second time.
+    # One chunk a task. No fewer partitions than other shuffles have, or Spark would deal the texts out a second time.
     partitions = max(chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    packed = placed.mapInArrow(pack, schema_with(slim, _packed="binary")).repartition(partitions, "_chunk")
-
-    def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, open_ = re.compile(shared.value.pattern), zstandard.ZstdDecompressor()
-        seen: dict[int, set] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for chunk, words in seen.items():
-                short = [w for w in words if len(w) <= FOLD_CHARS]
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(short), pa.int32()), pa.array(short, pa.string())], names=["_chunk", "word"])
-            seen.clear()
-
-        for batch in batches:
-            for chunk, text in zip(batch["_chunk"].to_pylist(), batch["_packed"].to_pylist()):
-                for part in _parts(open_.decompress(text).decode()) if text is not None else []:
-                    for words in _words(part, pattern):
-                        seen.setdefault(chunk, set()).update(words)
-            if sum(map(len, seen.values())) > MEMO:
-                yield from flush()
-        yield from flush()
+    packed = placed.mapInArrow(pack, schema_with(placed.select(*names), _packed="binary")).repartitionById(partitions, "_chunk")
 
     # Both uses of the packed texts, and both of the words, read all columns of one exchange, so Spark runs it once.
-    words = packed.mapInArrow(distinct_words, "_chunk int, word string").filter(F.col("word").isNotNull()).repartition("word")
-    table = encode_words(words.groupBy("word").agg(F.min("_chunk").alias("first")), pieces)
-    # A word that was flushed twice by its chunk comes twice, which does no harm.
-    lists = words.join(table.filter(F.col("first") >= 0).select("word", "cuts").hint("shuffle_hash"), "word")
+    numbered = lambda chunk: _numbered(chunk, re.compile(shared.value.pattern))
+    words = packed.groupBy("_chunk").applyInArrow(numbered, "_chunk int, _at int, word string").repartition("word")
+    table = encode_words(words.groupBy("word").agg((F.min("_chunk").cast("long") + F.min("_at")).alias("first")), pieces)
+    lists = words.join(table.filter(F.col("first") >= 0).select("word", "cuts").hint("shuffle_hash"), "word").select("_chunk", "_at", "cuts")
 
     def assemble(docs: pa.Table, lists: pa.Table) -> pa.Table:
-        vocabulary, open_ = shared.value, zstandard.ZstdDecompressor()
-        pattern = re.compile(vocabulary.pattern)
-        mark = [vocabulary.first_byte + b for b in MARK.encode()]
-        known = lists["word"].combine_chunks() if lists.num_rows else pa.array([], pa.string())
-        flat, lengths = array("i"), array("q")
-        for batch in lists.to_batches(10_000):
-            for word, cuts in zip(batch["word"].to_pylist(), batch["cuts"].to_pylist()):
-                ids = ids_at(word, cuts, vocabulary)
-                flat.extend(ids)
-                lengths.append(len(ids))
-        flat, sizes = np.array(flat, np.int32), np.array(lengths, np.int64)
-        starts = np.cumsum(sizes) - sizes
-
-        def ids_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            """Ids of the words one after the other, and how many each has. NULL stands for a mark character."""
-            at = pc.index_in(pa.array(words, pa.string()), value_set=known).to_numpy(zero_copy_only=False)
-            new = np.flatnonzero(np.isnan(at)) if at.dtype.kind == "f" else np.empty(0, np.int64)
-            at = np.nan_to_num(at, nan=-1).astype(np.int64)
-            extra = [np.array(mark if words[i] is None else viterbi(words[i], vocabulary), np.int32) for i in new]
-            at[new] = len(sizes) + np.arange(len(new))
-            lengths = np.concatenate([sizes, np.array([len(x) for x in extra], np.int64)])
-            begins = np.concatenate([starts, len(flat) + np.cumsum(lengths[len(sizes) :]) - lengths[len(sizes) :]])
-            every = np.concatenate([flat, *extra]) if extra else flat
-            count = lengths[at]
-            place = np.repeat(begins[at] - np.cumsum(count) + count, count) + np.arange(count.sum())
-            return every[place].astype(np.int32, copy=False), count
-
-        def encoded(texts: list[str | None]) -> tuple[pa.ListArray, pa.BooleanArray]:
-            words, ends = [], []
-            for text in texts:
-                for i, part in enumerate(_parts(text or "")):
-                    if i:
-                        words.append(None)
-                    for some in _words(part, pattern):
-                        words.extend(some)
-                ends.append(len(words))
-            values, count = ids_of(words)
-            offsets = np.concatenate([[0], np.concatenate([[0], np.cumsum(count)])[ends]]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([t is None for t in texts], pa.bool_()))
-            same = [t is None or text_of(values[a:b].tolist(), vocabulary.content) == t for t, a, b in zip(texts, offsets, offsets[1:])]
-            return lists, pa.array(same, pa.bool_())
-
+        if not docs.num_rows:
+            return pa.Table.from_pylist([], to_arrow_schema(out))
+        chunk = _ChunkIds(lists, shared.value)
         slices, waiting, chars = [], [], 0
-        for packed_text in docs["_packed"]:
-            text = open_.decompress(packed_text.as_py()).decode() if packed_text.is_valid else None
+        for text in _texts(docs):
             waiting.append(text)
             chars += len(text or "")
             if chars >= SLICE_CHARS:
-                slices.append(encoded(waiting))
+                slices.append(chunk.encoded(waiting))
                 waiting, chars = [], 0
-        slices.append(encoded(waiting))
-        out = docs.drop_columns(["_chunk", "_packed"])
+        slices.append(chunk.encoded(waiting))
+        order = pc.sort_indices(docs, sort_keys=[("_key", "ascending"), ("_packed", "ascending")])
+        found = docs.select(others).take(order)
         for name, kind, parts in zip(("ids", "round_trip"), (pa.list_(pa.int32()), pa.bool_()), zip(*slices)):
-            out = out.append_column(name, pa.chunked_array(parts, kind))
-        return out
+            found = found.append_column(name, pa.chunked_array(parts, kind))
+        return found
 
     out = schema_with(columns.select(*others), ids="array<int>", round_trip="boolean")
-    return packed.groupBy("_chunk").cogroup(lists.groupBy("_chunk")).applyInArrow(assemble, out)
+    return packed.groupBy("_chunk").cogroup(lists.repartitionById(partitions, "_chunk").groupBy("_chunk")).applyInArrow(assemble, out)
 
 
 def decode(encoded: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
