@@ -299,7 +299,7 @@ def encode(docs: DataFrame, pieces: Pieces, chunk_bytes: int = CHUNK_BYTES) -> D
 
     # Both uses of the packed texts, and both of the words, read all columns of one exchange, so Spark runs it once.
     numbered = lambda chunk: _numbered(chunk, re.compile(shared.value.pattern))
-    words = packed.groupBy("_chunk").applyInArrow(numbered, "_chunk int, _at int, word string").repartition("word")
+    words = packed.groupBy("_chunk").applyInArrow(numbered, "_chunk int, _at int, word string").filter(F.col("word").isNotNull()).repartition("word")
     table = encode_words(words.groupBy("word").agg((F.min("_chunk").cast("long") + F.min("_at")).alias("first")), pieces)
     lists = words.join(table.filter(F.col("first") >= 0).select("word", "cuts").hint("shuffle_hash"), "word").select("_chunk", "_at", "cuts")
 
