@@ -28,7 +28,6 @@ import re
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +56,7 @@ SLICE_CHARS = 2 << 20
 # Letters and digits part from other signs; the underscore and the raised two are joined with both in some pieces.
 FINE = rf"{MARK}*(?:(?:[^\W_²]+|[^\w{MARK}]+)(?:[_²]+(?:[^\W_²]+|[^\w{MARK}]+)?)*|(?:[_²]+(?:[^\W_²]+|[^\w{MARK}]+)?)+)|{MARK}+"
 COARSE = rf"{MARK}*[^{MARK}]+|{MARK}+"
+RUN = re.compile(COARSE)
 
 
 @dataclass
@@ -118,16 +118,6 @@ def _parts(text: str) -> list[str]:
     return [part.replace(" ", MARK) for part in f" {text}".split(MARK)] if text else []
 
 
-def _words(text: str, pattern: re.Pattern) -> Iterator[list[str]]:
-    """Words of a part, a bounded number at a time."""
-    if len(text) <= 1_000_000:
-        yield pattern.findall(text)
-        return
-    found = (m.group() for m in pattern.finditer(text))
-    while some := list(islice(found, 100_000)):
-        yield some
-
-
 def _best_edges(edges: str, word: str, pieces: Pieces) -> Column:
     """The best way into each position of the word, position 0 first: a fold over the edges in the order of their ends."""
     step = (1 << STEP_BITS) - 1
@@ -219,21 +209,31 @@ def _texts(docs: pa.Table) -> Iterator[str | None]:
 
 
 def _numbered(chunk: pa.Table, pattern: re.Pattern) -> pa.Table:
-    """The words of a chunk that the lattice segments, numbered as they first occur."""
-    numbers: dict[str, int] = {}
+    """The words of a chunk that the lattice segments, numbered as they first occur.
+
+    Runs between spaces are collected first, as a word never crosses a space; only distinct ones are cut into words.
+    """
+    runs: dict[str, None] = {}
     for text in _texts(chunk):
         for part in _parts(text or ""):
-            for words in _words(part, pattern):
-                for word in words:
-                    if word not in numbers:
-                        numbers[word] = len(numbers)
+            runs.update(dict.fromkeys(RUN.findall(part)))
+    numbers: dict[str, int] = {}
+    for run in runs:
+        for word in pattern.findall(run):
+            if word not in numbers:
+                numbers[word] = len(numbers)
     short = [(i, w) for w, i in numbers.items() if len(w) <= FOLD_CHARS]
     at, words = zip(*short) if short else ((), ())
     return pa.table({"_chunk": pa.array([chunk["_chunk"][0].as_py()] * len(at), pa.int32()), "_at": pa.array(at, pa.int32()), "word": pa.array(words, pa.string())})
 
 
+def _gathered(flat: np.ndarray, begins: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Stretches of ``flat`` one after the other."""
+    return flat[np.repeat(begins - np.cumsum(count) + count, count) + np.arange(count.sum())]
+
+
 class _ChunkIds:
-    """Ids of the words of a chunk, found as the words occur and laid one after the other; place 0 is the mark character."""
+    """Ids of the runs of a chunk, found as the runs first occur and laid one after the other; place 0 is the mark character."""
 
     def __init__(self, lists: pa.Table, pieces: Pieces):
         self.pieces, self.pattern = pieces, re.compile(pieces.pattern)
@@ -241,20 +241,37 @@ class _ChunkIds:
         self.cuts = np.zeros(int(at.max(initial=-1)) + 1, np.int64)
         self.cuts[at] = lists["cuts"].to_numpy()
         mark = [pieces.first_byte + b for b in MARK.encode()]
-        self.numbers: dict[str, int] = {}
+        self.words: dict[str, list[int]] = {}
+        self.runs: dict[str, int] = {}
         self.flat, self.sizes = array("i", mark), array("q", [len(mark)])
-
-    def _places(self, words: list[str], out: array) -> None:
-        numbers = self.numbers
-        for word in words:
-            place = numbers.get(word)
-            if place is None:
-                at = len(numbers)
-                ids = ids_at(word, int(self.cuts[at]), self.pieces) if len(word) <= FOLD_CHARS else viterbi(word, self.pieces)
-                self.flat.extend(ids)
-                self.sizes.append(len(ids))
-                place = numbers[word] = at + 1
-            out.append(place)
+        self.content = np.frombuffer(b"".join(pieces.content), np.uint8)
+        self.lengths = np.array([len(c) for c in pieces.content], np.int64)
+        self.begins = np.cumsum(self.lengths) - self.lengths
+
+    def _word(self, word: str) -> list[int]:
+        ids = self.words.get(word)
+        if ids is None:
+            # Words are numbered in the order in which the chunk's words were.
+            at = len(self.words)
+            ids = ids_at(word, int(self.cuts[at]), self.pieces) if len(word) <= FOLD_CHARS else viterbi(word, self.pieces)
+            self.words[word] = ids
+        return ids
+
+    def _places(self, runs: list[str], out: array) -> None:
+        for run in dict.fromkeys(runs):
+            if run not in self.runs:
+                before = len(self.flat)
+                for word in self.pattern.findall(run):
+                    self.flat.extend(self._word(word))
+                self.runs[run] = len(self.sizes)
+                self.sizes.append(len(self.flat) - before)
+        out.extend(map(self.runs.__getitem__, runs))
+
+    def decoded(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The bytes that each stretch of ids stands for."""
+        ends = np.concatenate([[0], np.cumsum(self.lengths[ids])])[offsets]
+        joined = _gathered(self.content, self.begins[ids], self.lengths[ids]).tobytes()
+        return [joined[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
 
     def encoded(self, texts: list[str | None]) -> tuple[pa.ListArray, pa.BooleanArray]:
         """Ids of the texts, and whether decoding gives each back."""
@@ -263,15 +280,14 @@ class _ChunkIds:
             for i, part in enumerate(_parts(text or "")):
                 if i:
                     places.append(0)
-                for words in _words(part, self.pattern):
-                    self._places(words, places)
+                self._places(RUN.findall(part), places)
             ends.append(len(places))
         at, sizes, flat = np.array(places, np.int64), np.array(self.sizes, np.int64), np.array(self.flat, np.int32)
-        begins, count = (np.cumsum(sizes) - sizes)[at], sizes[at]
-        values = flat[np.repeat(begins - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        count = sizes[at]
+        values = _gathered(flat, (np.cumsum(sizes) - sizes)[at], count)
         offsets = np.concatenate([[0], np.concatenate([[0], np.cumsum(count)])[ends]]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([t is None for t in texts], pa.bool_()))
-        same = [t is None or text_of(values[a:b].tolist(), self.pieces.content) == t for t, a, b in zip(texts, offsets, offsets[1:])]
+        same = [t is None or raw.removeprefix(b" ") == t.encode() for t, raw in zip(texts, self.decoded(values, offsets))]
         return lists, pa.array(same, pa.bool_())
 
 
