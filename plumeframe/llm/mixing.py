@@ -101,8 +101,8 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
 
 
 def _order(seed: int) -> Column:
-    """31 random bits of a document."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 33)
+    """31 random bits of a document; its size parts documents without an id."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size"), 33)
 
 
 def _block(order: Column, blocks: Column) -> Column:
@@ -188,15 +188,26 @@ def planned_documents(
     return whole.unionByName(cut).withColumn("taken", F.col("size") * (F.col("_epochs") + F.col("_extra")))
 
 
+def _shard(copy: Column) -> Column:
+    """The shard whose run of the source's block quotas, as the tree dealt them, holds the block of a copy."""
+    number = F.col("_base") + copy * F.col("_blocks") + F.col("_block")
+    return F.size(F.filter("_starts", lambda start: start <= number)) - 1
+
+
+def with_shards(planned: DataFrame) -> DataFrame:
+    """``planned`` with ``mix_shards``: the shard of every copy that the mix takes of a document, none if it takes none."""
+    copies = F.when(F.col("taken") > 0, F.col("_epochs") + F.col("_extra")).otherwise(0)
+    shards = F.transform(F.sequence(F.lit(0), copies - 1), _shard)
+    return planned.withColumn("mix_shards", F.when(copies > 0, shards).otherwise(F.array().cast("array<int>")))
+
+
 def mixture(planned: DataFrame, seed: int = 7) -> DataFrame:
     """The mix itself: a row per copy taken, with its ``mix_shard`` and the ``mix_order`` that shuffles the shard."""
     copies = planned.filter(F.col("taken") > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("_epochs") + F.col("_extra") - 1)))
-    number = F.col("_base") + F.col("mix_copy") * F.col("_blocks") + F.col("_block")
     return (
-        copies.withColumn("_number", number)
-        .withColumn("mix_shard", F.size(F.filter("_starts", lambda start: start <= F.col("_number"))) - 1)
+        copies.withColumn("mix_shard", _shard(F.col("mix_copy")))
         .withColumn("mix_order", F.xxhash64(F.lit(seed), "mix_shard", "doc_id", "mix_copy"))
-        .drop(*_INNER, "_number")
+        .drop(*_INNER)
     )
 
 

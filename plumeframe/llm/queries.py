@@ -144,7 +144,7 @@ def op8_external_shuffle(spark, sf_dir):
 @query
 def op9_mixing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size"))
-    return mixing.planned_documents(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.with_shards(mixing.planned_documents(docs)).select("doc_id", "size", "source_size", "target", "taken", "mix_shards")
 
 
 SQL["op10_embedding_dedup"] = f"""

@@ -113,6 +113,9 @@ def test_near_duplicates_equal_brute_force(spark):
     assert bag_minhash.near_duplicates(none.limit(0)).count() == 0
     kept = bag_minhash.keep_one(spark.createDataFrame([*rows, (0, texts[0]), (None, "z")], "doc_id long, text string"))
     assert kept.count() == len(set(brute_groups(rows).values())) + 1
+    twice = [(1, base[0], "a"), (1, base[0], "b"), (1, base[1], "c"), (2, base[2], "d")]
+    left = [rows_of(bag_minhash.keep_one(spark.createDataFrame(r, "doc_id long, text string, source string")), "doc_id", "text") for r in (twice, twice[::-1])]
+    assert left[0] == left[1] == sorted([(1, base[0]), (1, base[1]), (2, base[2])], key=str)
 
 
 def test_overlaps_count_common_elements():
@@ -229,6 +232,10 @@ def test_mix_meets_targets_and_quotas(spark):
         taken[r["source"]] += r["taken"]
     assert all(abs(taken[s] - want[s]) <= 10 for s in order)
     mixed = mixing.mixture(planned).collect()
+    dealt = {r["doc_id"]: r["mix_shards"] for r in mixing.with_shards(planned).collect()}
+    assert {i: sorted(s) for i, s in dealt.items() if s} == {i: sorted(r["mix_shard"] for r in mixed if r["doc_id"] == i) for i in {r["doc_id"] for r in mixed}}
+    nameless = spark.createDataFrame([(None, " ".join(["w"] * (i % 40 + 1)), "s") for i in range(400)], "doc_id long, text string, source string")
+    assert mixing.planned_documents(nameless, shards=5, block_words=200).select("_block").distinct().count() > 10
     assert Counter(r["doc_id"] for r in mixed) == Counter({r["doc_id"]: r["taken"] // r["size"] for r in got if r["taken"]})
     assert {r["mix_shard"] for r in mixed} == set(range(5))
     assert mixing.planned_documents(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
@@ -272,3 +279,47 @@ def test_vectors_of_low_dimension_lose_no_link_between_cells(spark):
     want = (units @ units.T >= 0.93).sum(axis=1) - 1
     got = {r["vec_id"]: r["n_links"] for r in found.collect()}
     assert sum(got.values()) == want.sum() and [got[i] for i in range(1500)] == want.tolist()
+
+
+def test_an_id_under_two_labels_is_no_bridge(spark):
+    near, far = [1.0, 0.1], [0.1, 1.0]
+    rows = [(1, near, "A"), (2, near, "A"), (1, far, "B"), (3, far, "B"), (4, near, None), (4, near, "C"), (4, near, "C")]
+    found = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), rows_per_task=2)
+    got = rows_of(found, "vec_id", "n_links", "component_id", "kept")
+    assert got == sorted([(1, 1, 1, True), (2, 1, 1, False), (1, 1, 1, True), (3, 1, 1, False), (4, 0, 4, True), (4, 1, 4, True), (4, 1, 4, True)], key=str)
+
+
+def test_best_path_equals_an_enumeration(spark):
+    """Every segmentation of short words, by their weights."""
+    pieces = piece_lattice.load_pieces()
+
+    def paths(word):
+        if not word:
+            yield 0, ()
+        for n in range(1, len(word) + 1):
+            edge = pieces.edges.get(word[:n])
+            if edge or n == 1:
+                for cost, rest in paths(word[n:]):
+                    here = (edge[0], (edge[1],)) if edge else (piece_lattice.FALLBACK, tuple(pieces.first_byte + b for b in word[:1].encode()))
+                    yield here[0] + cost, here[1] + rest
+
+    words = ["the", "thing", "ab cd", "x漢y", "aaaaaa", "Zürich", "q_q", "no 12", "é"]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in piece_lattice.encode(docs, pieces).collect()}
+    for i, text in enumerate(words):
+        best = max(cost for cost, _ in paths((" " + text).replace(" ", piece_lattice.MARK)))
+        assert best == next(c for c, p in paths((" " + text).replace(" ", piece_lattice.MARK)) if list(p) == got[i])
+
+
+def test_hard_rows_are_encoded_in_any_chunks(spark):
+    texts = [None, "", "a", "a", "word " * 40_000, "x" * 300_000, "漢字" * 2_000, "mark \u2581 inside", " two  spaces "]
+    rows = [(i % 4 if i % 3 else None, t, "kept", [9], 1) for i, t in enumerate(texts)] + [(None, "a", "kept", [9], 1)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, Ids array<int>, _chunk int")
+    pieces = piece_lattice.load_pieces()
+    seen = []
+    for size in (1 << 30, 100_000):
+        found = piece_lattice.decode(piece_lattice.encode(docs, pieces, chunk_bytes=size), pieces).collect()
+        assert all(r["round_trip"] and r["source"] == "kept" for r in found)
+        assert sorted(((r["doc_id"], r["text"]) for r in found), key=str) == sorted(((r[0], r[1]) for r in rows), key=str)
+        seen.append(sorted((str(r["doc_id"]), str(r["text"])[:50], str(r["ids"])[:200]) for r in found))
+    assert seen[0] == seen[1]
