@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumeframe.llm.common import schema_with, without
+from plumeframe.llm.common import schema_with, staged, without
+from plumeframe.scale import top_rows
 
 UNDECIDED = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -125,28 +126,25 @@ def _log_frequencies(rows: list, order: dict[str, int], totals: np.ndarray) -> d
 def train(
     docs: DataFrame,
     use: Column,
-    languages: int = 256,
     rows_per_language: int = 1_500,
     words_per_language: int = 20_000,
     grams_per_language: int = 5_000,
 ) -> LanguageModel:
     """Fit on the rows of ``docs`` (``text``, ``lang``) where ``use`` holds and both are not NULL.
 
-    The classifier is fitted on a bounded sample: about ``rows_per_language`` rows for each of the
-    ``languages`` most frequent labels, drawn by a hash of the row. The model keeps the
+    The classifier is fitted on a bounded sample: of every label the ``rows_per_language`` distinct texts with the smallest
+    hashes, all of them where there are fewer; copies of a text count once. The model keeps the
     ``words_per_language`` most frequent words and, for each n-gram length, the
     ``grams_per_language`` most frequent n-grams of each language; only those reach the driver.
     """
     labelled = docs.filter(use & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
-    names = [r["lang"] for r in sizes]
+    hashed = labelled.withColumn("hash", F.xxhash64("text", "lang"))
+    first = staged(top_rows(hashed.select("lang", "hash").distinct(), ["lang"], [F.col("hash")], rows_per_language), "drawn")
+    names = [r["lang"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
     if not names:
         return LanguageModel([], {}, [{} for _ in range(LONGEST_GRAM)])
     order = {lang: i for i, lang in enumerate(names)}
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, rows_per_language / r["count"]))])
-    drawn = labelled.filter(F.col("lang").isin(names)).filter(
-        F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 30)) < share[F.col("lang")] * (1 << 30)
-    )
+    drawn = hashed.join(first, ["lang", "hash"], "left_semi").dropDuplicates(["lang", "hash"]).select("lang", "text")
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -54,7 +54,7 @@ MAX_PIECES = (1 << ID_BITS) - 2
 CHUNK_BYTES = 32 << 20
 SLICE_CHARS = 2 << 20
 # Letters and digits part from other signs; the underscore and the raised two are joined with both in some pieces.
-FINE = rf"{MARK}*(?:(?:[^\W_²]+|[^\w{MARK}]+)(?:[_²]+(?:[^\W_²]+|[^\w{MARK}]+)?)*|(?:[_²]+(?:[^\W_²]+|[^\w{MARK}]+)?)+)|{MARK}+"
+FINE = rf"{MARK}*+(?:(?:[^\W_²]++|[^\w{MARK}]++)(?:[_²]++(?:[^\W_²]++|[^\w{MARK}]++)?+)*+|(?:[_²]++(?:[^\W_²]++|[^\w{MARK}]++)?+)++)|{MARK}++"
 COARSE = rf"{MARK}*[^{MARK}]+|{MARK}+"
 RUN = re.compile(COARSE)
 
@@ -232,40 +232,29 @@ def _gathered(flat: np.ndarray, begins: np.ndarray, count: np.ndarray) -> np.nda
     return flat[np.repeat(begins - np.cumsum(count) + count, count) + np.arange(count.sum())]
 
 
-class _ChunkIds:
-    """Ids of the runs of a chunk, found as the runs first occur and laid one after the other; place 0 is the mark character."""
+class _ChunkIds(dict):
+    """Place of each word of a chunk: its ids are found when it first occurs and laid one after the other; place 0 is the mark character."""
 
     def __init__(self, lists: pa.Table, pieces: Pieces):
+        super().__init__()
         self.pieces, self.pattern = pieces, re.compile(pieces.pattern)
         at = lists["_at"].to_numpy()
         self.cuts = np.zeros(int(at.max(initial=-1)) + 1, np.int64)
         self.cuts[at] = lists["cuts"].to_numpy()
         mark = [pieces.first_byte + b for b in MARK.encode()]
-        self.words: dict[str, list[int]] = {}
-        self.runs: dict[str, int] = {}
         self.flat, self.sizes = array("i", mark), array("q", [len(mark)])
         self.content = np.frombuffer(b"".join(pieces.content), np.uint8)
         self.lengths = np.array([len(c) for c in pieces.content], np.int64)
         self.begins = np.cumsum(self.lengths) - self.lengths
 
-    def _word(self, word: str) -> list[int]:
-        ids = self.words.get(word)
-        if ids is None:
-            # Words are numbered in the order in which the chunk's words were.
-            at = len(self.words)
-            ids = ids_at(word, int(self.cuts[at]), self.pieces) if len(word) <= FOLD_CHARS else viterbi(word, self.pieces)
-            self.words[word] = ids
-        return ids
-
-    def _places(self, runs: list[str], out: array) -> None:
-        for run in dict.fromkeys(runs):
-            if run not in self.runs:
-                before = len(self.flat)
-                for word in self.pattern.findall(run):
-                    self.flat.extend(self._word(word))
-                self.runs[run] = len(self.sizes)
-                self.sizes.append(len(self.flat) - before)
-        out.extend(map(self.runs.__getitem__, runs))
+    def __missing__(self, word: str) -> int:
+        # Words are numbered in the order in which they first occur, as they were when the lattice got them.
+        at = len(self)
+        ids = ids_at(word, int(self.cuts[at]), self.pieces) if len(word) <= FOLD_CHARS else viterbi(word, self.pieces)
+        self.flat.extend(ids)
+        self.sizes.append(len(ids))
+        self[word] = at + 1
+        return at + 1
 
     def decoded(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """The bytes that each stretch of ids stands for."""
@@ -280,7 +269,7 @@ class _ChunkIds:
             for i, part in enumerate(_parts(text or "")):
                 if i:
                     places.append(0)
-                self._places(RUN.findall(part), places)
+                places.extend(map(self.__getitem__, self.pattern.findall(part)))
             ends.append(len(places))
         at, sizes, flat = np.array(places, np.int64), np.array(self.sizes, np.int64), np.array(self.flat, np.int32)
         count = sizes[at]

@@ -43,6 +43,18 @@ def test_language_id(spark):
     assert language_id.identify(spark.createDataFrame(asked, "doc_id long, text string, score string"), none).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_every_label_is_learnt_from_distinct_texts(spark):
+    """A label of one repeated text, labels beyond any count, and a bound that copies do not use up."""
+    rows = [(i, "repeated words of one label", "once", "s", 1) for i in range(300)]
+    rows += [(1000 + i, f"w{chr(97 + i // 26)}{chr(97 + i % 26)}q common", f"l{i:03d}", "s", 1) for i in range(280)]
+    rows += [(2000 + i, "same text again" if i % 2 else f"many {chr(97 + i % 26)}x{chr(97 + i // 26)}", "many", "s", 1) for i in range(400)]
+    model = language_id.train(spark.createDataFrame(rows, DOCS), F.lit(True), rows_per_language=50)
+    assert len(model.languages) == 282
+    asked = [(1, "repeated words of one label", None), (2, "waaq common", None), (3, "wbbq", None)]
+    found = language_id.identify(spark.createDataFrame(asked, "doc_id long, text string, score string"), model).collect()
+    assert [r["lang_pred"] for r in found] == ["once", "l000", "l027"]
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     found = language_id.identify(docs, language_id.fit_documents(docs)).filter(language_id.held_out())
