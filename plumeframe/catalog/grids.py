@@ -424,9 +424,25 @@ def mean_wind(spark, sf):
     return t.rounded(grids.mean_wind(u, runs.filter("channel = 'VGRD'"), runs.select("sample").distinct(), "sample"))
 
 
-@query("smoothed_patches", "H8")
+def _blur_sql(source: str, axis: str, size: str) -> str:
+    """One pass of the blur: every cell and its two mirror images hand their weighted value to the cells around."""
+    other = "ix" if axis == "iy" else "iy"
+    return f"""select sample, cast(j+k as integer) as {axis}, {other}, sum(value*w) as value from (select *, unnest([{axis}, -1-{axis}, 2*n-1-{axis}]) as j from (select *, {size} as n from {source}))
+      cross join kernel where j+k between 0 and n-1 group by all"""
+
+
+@query(
+    "smoothed_patches",
+    "H8",
+    t.with_tables(
+        "cells shape",
+        f""", kernel as (select k, exp(-0.5e0*power(k/0.7e0,2))/(select sum(exp(-0.5e0*power(x/0.7e0,2))) from (select unnest(range(-3,4)) as x)) as w from (select unnest(range(-3,4)) as k)),
+        seed as (select sample, iy, ix, value from cells where channel='MASSDEN'), down as ({_blur_sql("seed", "iy", "(select h from shape)")}), across as ({_blur_sql("down", "ix", "8")})
+        select sample, iy, ix, round(value,6) as value from across""",
+    ).replace("\n, kernel as", ", kernel as"),
+)
 def smoothed_patches(spark, sf):
-    return grids.gaussian_blur(channel(spark, sf, "MASSDEN"), ["sample"], shape(spark, sf), 0.7)
+    return t.rounded(grids.gaussian_blur(channel(spark, sf, "MASSDEN"), ["sample"], shape(spark, sf), 0.7).select("sample", "iy", "ix", "value"))
 
 
 @query("spread_baselines", "H9")

@@ -235,12 +235,32 @@ def split_errors(spark, sf):
 # ---- samples of incidents --------------------------------------------------------------------
 
 
-@query("stratified_incident_sample", "I8")
+@query(
+    "stratified_incident_sample",
+    "I8",
+    t.with_tables(
+        "incidents",
+        """, f as (select *, case when size_acres<5000 then '1k-5k' when size_acres<20000 then '5k-20k' when size_acres<100000 then '20k-100k' else '100k+' end as size_bucket from incidents),
+        b as (select size_bucket, count(*) as n, 120.0e0*count(*)/sum(count(*)) over () as exact from f group by 1), c as (select *, cast(greatest(1, floor(exact)) as bigint) as base from b),
+        d as (select *, 120-sum(base) over () as left_ from c), r as (select *, row_number() over (order by n>base desc, exact-base desc, size_bucket) as by_rest, row_number() over (order by base desc, size_bucket) as by_size from d),
+        q as (select size_bucket, greatest(1, base+(n>base and by_rest<=left_)::int-case when by_size=1 then greatest(0,-left_) else 0 end) as quota from r),
+        k as (select *, row_number() over (partition by size_bucket order by md5(concat('42|', incident_id)), incident_id) as rn from f)
+        select incident_id, name, size_acres, k.size_bucket from k join q using (size_bucket) where rn<=quota""",
+    ).replace("\n, f as", ", f as"),
+)
 def stratified_incident_sample(spark, sf):
-    return models.stratified_sample(t.incidents(spark, sf).drop("rings"), 120)
+    return models.stratified_sample(t.incidents(spark, sf).drop("rings"), 120).select("incident_id", "name", "size_acres", "size_bucket")
 
 
-@query("incident_day_sample", "I9")
+@query(
+    "incident_day_sample",
+    "I9",
+    t.with_tables(
+        "incidents",
+        """select incident_id, day, cast(day-start_date as integer) as days_since_start from (select incident_id, start_date, start_date+cast(unnest(range(end_date-start_date+1)) as integer) as day from incidents)
+        where day between date '2024-01-03' and date '2024-01-25' order by md5(concat('42|', incident_id, '|', day-date '1970-01-01')), incident_id, day limit 500""",
+    ),
+)
 def incident_day_sample(spark, sf):
     days = models.sample_incident_days(t.incidents(spark, sf).drop("rings"), 500, dt.date(2024, 1, 3), dt.date(2024, 1, 25))
     return days.select("incident_id", "day", "days_since_start")

@@ -14,6 +14,9 @@ from plumeframe.scale import ROWS_PER_TASK, skew_join, top_rows
 CELL_DEGREES = 0.25
 DAYS_PER_BUCKET = 8
 KM_PER_DEGREE = 111.19
+#: Pairs of points and shapes that one task should test, and how often a cell is quartered at most.
+PAIRS_PER_TASK = 50_000_000
+MAX_QUARTERINGS = 8
 
 
 def _bucket(day_number: Column) -> Column:
@@ -55,6 +58,51 @@ def incident_cells(incidents: DataFrame, pad_days: int | None, cell: float = CEL
     return out.drop("rings")
 
 
+def quartered_join(
+    points: DataFrame,
+    shapes: DataFrame,
+    keys: Sequence[str],
+    spread_by: Sequence[str],
+    cell: float,
+    lon: str = "lon",
+    lat: str = "lat",
+    bounds: Sequence[str] = ("min_lon", "min_lat", "max_lon", "max_lat"),
+    rows_per_task: int = ROWS_PER_TASK,
+    pairs_per_task: int = PAIRS_PER_TASK,
+) -> DataFrame:
+    """Inner join of points and boxed shapes on ``keys``, the lon/lat cell ``_cx, _cy`` among them.
+
+    The work of a cell is its points times its shapes. Cells above ``pairs_per_task`` are quartered as often as it takes,
+    and both sides take the quarter's number into their key: points lie in one quarter, shapes in those that their
+    box touches. Points that are too many for a task wherever they lie are salted besides. Pairs whose
+    box does not touch the point's quarter are not formed; they could not hold the point.
+    """
+    keys = list(keys)
+    here = points.groupBy(*keys).agg(F.count("*").alias("_p"))
+    there = shapes.groupBy(*keys).agg(F.count("*").alias("_s"))
+    work = F.col("_p").cast("double") * F.col("_s")
+    depth = F.least(F.ceil(F.log(4.0, work / pairs_per_task)), F.lit(MAX_QUARTERINGS))
+    hot = (
+        here.join(there, keys)
+        .filter((work > pairs_per_task) | (F.col("_p") > rows_per_task))
+        .select(*keys, F.pow(F.lit(2), F.greatest(depth, F.lit(0))).cast("int").alias("_n"), F.ceil(F.col("_p") / rows_per_task).cast("int").alias("_salts"))
+    )
+    n, salts = F.coalesce("_n", F.lit(1)), F.coalesce("_salts", F.lit(1))
+    # Quarters count from the cell's corner; both sides use the same expression, which never falls along the axis.
+    quarter = lambda c, corner: F.least(F.greatest(F.floor((F.col(c) - F.col(corner) * cell) / cell * n), F.lit(0)), n - 1).cast("int")
+    west, south, east, north = bounds
+    left = points.join(hot, keys, "left").withColumns(
+        {"_qx": quarter(lon, "_cx"), "_qy": quarter(lat, "_cy"), "_salt": F.pmod(F.xxhash64(*spread_by), salts.cast("bigint")).cast("int")}
+    )
+    right = (
+        shapes.join(hot, keys, "left")
+        .withColumn("_qx", F.explode(F.sequence(quarter(west, "_cx"), quarter(east, "_cx"))))
+        .withColumn("_qy", F.explode(F.sequence(quarter(south, "_cy"), quarter(north, "_cy"))))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    )
+    return left.drop("_n", "_salts").join(right.drop("_n", "_salts"), [*keys, "_qx", "_qy", "_salt"]).drop("_qx", "_qy", "_salt")
+
+
 def points_in_polygons(
     points: DataFrame,
     incidents: DataFrame,
@@ -64,11 +112,13 @@ def points_in_polygons(
     lat: str = "lat",
     day: str = "acq_day",
     rows_per_task: int = ROWS_PER_TASK,
+    pairs_per_task: int = PAIRS_PER_TASK,
 ) -> DataFrame:
     """Every (point, incident) pair with the point strictly inside the perimeter.
 
     With ``pad_days`` the point's day must fall in [start - pad, end + pad]; None ignores time.
-    Equi join on (cell, day bucket), then box, then polygon. Cells with very many points are salted.
+    Equi join on (cell, day bucket), then box, then polygon. Cells with very many pairs are quartered, such with
+    very many points salted.
     """
     keys = ["_cx", "_cy"]
     located = points.withColumn("_cx", F.floor(F.col(lon) / CELL_DEGREES).cast("int")).withColumn(
@@ -77,7 +127,7 @@ def points_in_polygons(
     if pad_days is not None:
         keys.append("_bucket")
         located = located.withColumn("_bucket", _bucket(F.unix_date(day)))
-    pairs = skew_join(located, incident_cells(incidents, pad_days), keys, [point_id], rows_per_task=rows_per_task)
+    pairs = quartered_join(located, incident_cells(incidents, pad_days), keys, [point_id], CELL_DEGREES, lon, lat, rows_per_task=rows_per_task, pairs_per_task=pairs_per_task)
     keep = F.col(lon).between(F.col("min_lon"), F.col("max_lon")) & F.col(lat).between(F.col("min_lat"), F.col("max_lat"))
     if pad_days is not None:
         keep = keep & (F.col(day) >= F.date_sub("start_date", pad_days)) & (F.col(day) <= F.date_add("end_date", pad_days))
@@ -246,7 +296,7 @@ def points_in_boxes(
     days = F.explode(F.sequence(F.to_date(start), F.to_date(end)))
     spread = _box_cells(boxes, west, south, east, north, cell).withColumn("_day", days)
     placed = _with_cell(points, cell).withColumn("_day", F.to_date("hour_utc"))
-    pairs = skew_join(placed, spread, ["_cx", "_cy", "_day"], ["det_id"])
+    pairs = quartered_join(placed, spread, ["_cx", "_cy", "_day"], ["det_id"], cell, bounds=bounds)
     inside = (
         F.col("lon").between(F.col(west), F.col(east))
         & F.col("lat").between(F.col(south), F.col(north))
@@ -275,7 +325,7 @@ def points_in_sample_hours(
         .drop("_hour")
     )
     spread = _box_cells(wanted, west, south, east, north, cell)
-    pairs = skew_join(_with_cell(points, cell), spread, ["hour_utc", "_cx", "_cy"], ["det_id"])
+    pairs = quartered_join(_with_cell(points, cell), spread, ["hour_utc", "_cx", "_cy"], ["det_id"], cell, bounds=bounds)
     inside = F.col("lon").between(F.col(west), F.col(east)) & F.col("lat").between(F.col(south), F.col(north))
     return pairs.filter(inside).drop("_cx", "_cy")
 

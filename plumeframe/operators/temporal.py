@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumeframe.functions.scalars import hour_floor, progress_bin, relative_progress, size_bucket
-from plumeframe.scale import top_rows, value_steps
+from plumeframe.scale import skew_join, top_rows, value_steps
+
+#: Distinct times of one hour that meet its granules in one task.
+TIMES_PER_TASK = 100_000
 
 
 def hour_axis(spark, start: dt.date, end: dt.date) -> DataFrame:
@@ -209,7 +212,7 @@ def covering_granule(
             )
         ),
     )
-    pairs = times.withColumn("_h", hours(F.unix_micros("_t"))).join(spread, "_h")
+    pairs = skew_join(times.withColumn("_h", hours(F.unix_micros("_t"))), spread, ["_h"], ["_t"], rows_per_task=TIMES_PER_TASK)
     pairs = pairs.withColumn("_covers", F.col("_t").between(F.col("start_ts"), F.col("end_ts"))).withColumn(
         "_d", F.abs(F.col("_mid") - F.unix_micros("_t")) / 60_000_000
     )

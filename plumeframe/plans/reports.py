@@ -439,10 +439,10 @@ def small_growth_case(
 
 
 def late_stage_examples(
-    pairs: DataFrame, fires: DataFrame, min_daily: int = 20, target: float = 0.10, max_rel: float = 0.25, n: int = 3, window_days: int = 5,
+    pairs: DataFrame, fires: DataFrame, min_daily: int = 20, target: float = 0.10, max_rel: float = 0.25, n: int | None = 3, window_days: int = 5,
     late: tuple[float, float] = (0.70, 0.98),
 ) -> DataFrame:
-    """Days late in an incident's life with little power left, best one per incident, best incidents first."""
+    """Days late in an incident's life with little power left, best one per incident; the ``n`` best incidents, or all."""
     meta = fires.select("incident_id", "start_date", "end_date", "size_acres").withColumn("duration_days", F.datediff("end_date", "start_date") + 1)
     daily = pairs.groupBy("incident_id", "day").agg(F.sum("frp").alias("day_frp"), F.count("*").alias("day_count"))
     totals = daily.groupBy("incident_id").agg(F.max("day_frp").alias("peak_frp"))
@@ -459,7 +459,7 @@ def late_stage_examples(
     best = top_rows(kept.withColumn("score", score), ["incident_id"], [F.col("score"), F.col("day")])
     start = F.greatest(F.date_sub("anchor_day", max(0, window_days - 1)), F.col("start_date"))
     best = best.withColumnRenamed("day", "anchor_day").withColumn("window_start", start)
-    return best.orderBy("score", "incident_id").limit(n)
+    return best if n is None else best.orderBy("score", "incident_id").limit(n)
 
 
 def cumulative_and_recent(pairs: DataFrame, boxes: DataFrame, examples: DataFrame, pixel_m: float, window_days: int) -> dict[str, DataFrame]:

@@ -55,6 +55,9 @@ def station_daily(
         first_hour = F.date_sub(F.lit(run[0]), 1).cast("timestamp")
         last_hour = F.date_add(F.lit(run[1]), 2).cast("timestamp")
         fields = fields.filter((F.col("run_time") >= first_hour) & (F.col("run_time") < last_hour))
+        if "run_date" in fields.columns:
+            # The folders of a written table; the same days, so that others are not opened.
+            fields = fields.filter(F.col("run_date").between(F.date_sub(F.lit(run[0]), 1), F.date_add(F.lit(run[1]), 1)))
         if max_hours is not None:
             fields = fields.filter(F.unix_seconds("run_time") < F.unix_seconds(first_hour) + max_hours * 3600)
     samples = grids.sample_two_fields(stations.withColumn("x", x).withColumn("y", y), fields, grid, first, second)

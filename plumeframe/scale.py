@@ -156,6 +156,48 @@ def value_steps(
     )
 
 
+def ranked_rows(rows: DataFrame, groups: Sequence[str], ranks: dict[str, str], weight: str, salts: int = 64) -> DataFrame:
+    """``rows`` with the average rank of several of their values in the group, and the group's weight ``n``.
+
+    ``ranks`` maps a value column to its rank column; a row counts ``weight`` times. The rows keep their place in the
+    pipeline: per value they move once, to the range that their value lies in, and are ranked there by a window. Ranges
+    follow quantiles of the rows, sketched for all values in one pass. A value so frequent that quantiles repeat it is a
+    range of its own: its rank follows from counts, so its rows are spread by a hash. ``rows`` are read several times;
+    stage what is dear to compute.
+    """
+    groups, n = list(groups), RANGE_STEPS * RANGE_STEPS
+    place = F.struct(*groups) if groups else F.pmod(F.xxhash64(*ranks), F.lit(1))
+    keyed = rows.withColumn("_group", place)
+    shares = [i / n for i in range(1, n)]
+    sample = keyed.filter(F.pmod(F.xxhash64(*ranks, weight), F.lit(SAMPLED)) == 0)
+    sketches = [F.percentile_approx(F.col(c).cast("double"), shares).alias(f"_bounds_{i}") for i, c in enumerate(ranks)]
+    bounds = sample.groupBy("_group").agg(*sketches, F.count("*").alias("_n")).filter(F.col("_n") >= n).drop("_n")
+    out = keyed.join(bounds, "_group", "left")
+    for i, c in enumerate(ranks):
+        cuts, value = F.col(f"_bounds_{i}"), F.col(c).cast("double")
+        step = F.col(f"_step_{i}")
+        out = out.withColumn(f"_step_{i}", _range_of(value, cuts))
+        repeated = (step >= 2) & (F.try_element_at(cuts, step) == value) & (F.try_element_at(cuts, step - 1) == value)
+        out = out.withColumn(f"_own_{i}", F.coalesce(repeated, F.lit(False)))
+    out = out.drop(*[f"_bounds_{i}" for i in range(len(ranks))])
+    by_group, located = Window.partitionBy("_group"), out
+    for i, (c, name) in enumerate(ranks.items()):
+        at = ["_group", f"_step_{i}", f"_own_{i}"]
+        ahead = by_group.orderBy(f"_step_{i}", F.desc(f"_own_{i}")).rowsBetween(Window.unboundedPreceding, -1)
+        totals = located.groupBy(*at).agg(F.sum(weight).alias("_total"))
+        totals = totals.withColumn("_ahead", F.coalesce(F.sum("_total").over(ahead), F.lit(0)))
+        if i == 0:
+            totals = totals.withColumn("n", F.sum("_total").over(by_group))
+        salt = F.when(F.col(f"_own_{i}"), F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(0)
+        placed = out.join(totals, at).withColumn("_salt", salt.cast("int"))
+        here = Window.partitionBy(*at, "_salt")
+        upto = F.sum(weight).over(here.orderBy(c).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        same = F.sum(weight).over(Window.partitionBy(*at, "_salt", c))
+        rank = F.col("_ahead") + F.when(F.col(f"_own_{i}"), (F.col("_total") + 1) / 2).otherwise(upto - same + (same + 1) / 2)
+        out = placed.withColumn(name, rank.cast("double")).drop("_total", "_ahead", "_salt", f"_step_{i}", f"_own_{i}")
+    return out.drop("_group")
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi join in which a NULL key matches a NULL key."""
     right = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])

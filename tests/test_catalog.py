@@ -21,7 +21,8 @@ CHOSEN = (
     " prediction_distribution rank_auc drop_events drop_streaks incident_behaviour rolling_smooth overpass_events drop_rebound_triplets"
     " covering_granules nearest_granules_late_ties two_sensor_timeline exact_id_links pair_differences field_patches hotspot_rasters"
     " baseline_errors residual_scores pending_tasks complete_tasks temporal_geo_split sample_log_index hotspot_csv perimeter_features"
-    " tensor_table incremental_samples live_overpasses match_summary"
+    " tensor_table incremental_samples live_overpasses match_summary shape_overlaps shared_id_links greedy_matching points_in_perimeter_cells"
+    " hotspot_archives ingest_archives missing_field_runs fixed_pixel_patches"
 ).split()
 NAMES = list(ENTRIES) if os.environ.get("CATALOG") == "all" else CHOSEN
 

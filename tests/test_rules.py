@@ -484,6 +484,29 @@ def test_scan_spans_add_up_to_the_area(spark):
     assert spans.agg(F.sum("share")).first()[0] == pytest.approx(12.125, rel=1e-9)
 
 
+def test_a_hot_cell_is_quartered_and_gives_the_same_pairs(spark):
+    rng = random.Random(9)
+    day = dt.date(2024, 7, 1)
+    points = [(i, rng.uniform(-120.24, -120.01) if i % 3 else -120.1, rng.uniform(40.01, 40.24) if i % 3 else 40.1, day) for i in range(1500)]
+    points += [(5000 + i, -121 + i / 10, 39 + i / 10, day) for i in range(20)]
+    places = [(rng.uniform(-120.3, -119.95), rng.uniform(39.95, 40.3), rng.choice([0.004, 0.01, 0.2])) for _ in range(80)]
+    boxes = [(i, x - h, y - h, x + h, y + h, day, day, closed([(x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h)])) for i, (x, y, h) in enumerate(places)]
+    detections = spark.createDataFrame(points, "det_id long, lon double, lat double, acq_day date")
+    shapes = "incident_id long, min_lon double, min_lat double, max_lon double, max_lat double, start_date date, end_date date, rings array<array<struct<x: double, y: double>>>"
+    fires = spark.createDataFrame(boxes, shapes)
+    want = {(p, f) for p, x, y, _ in points for f, (cx, cy, h) in enumerate(places) if abs(x - cx) < h and abs(y - cy) < h}
+    for rows, pairs in ((10**6, 10**6), (10**6, 500), (100, 2000)):
+        for pad in (0, None):
+            found = spatial.points_in_polygons(detections, fires, pad, rows_per_task=rows, pairs_per_task=pairs)
+            got = [(r["det_id"], r["incident_id"]) for r in found.collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+    # Quarters leave each task a share of the hot cell's pairs.
+    cells = spatial.incident_cells(fires, None)
+    located = detections.withColumn("_cx", F.floor(F.col("lon") / 0.25).cast("int")).withColumn("_cy", F.floor(F.col("lat") / 0.25).cast("int"))
+    formed = [spatial.quartered_join(located, cells, ["_cx", "_cy"], ["det_id"], 0.25, pairs_per_task=p).count() for p in (10**9, 2000)]
+    assert formed[1] < formed[0] / 2
+
+
 def test_proximity_with_incidents_of_all_sizes(spark):
     rng = random.Random(3)
     day = dt.date(2024, 7, 1)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumeframe.operators import metrics
-from plumeframe.scale import average_ranks, exact_quantiles, positions, prefix_sums, skew_join, top_rows, value_ranges
+from plumeframe.scale import average_ranks, exact_quantiles, positions, prefix_sums, ranked_rows, skew_join, top_rows, value_ranges
 
 
 @pytest.fixture(scope="module")
@@ -104,6 +104,22 @@ def test_ranks_over_many_ranges_equal_plain_ranks(spark):
     assert all(got[r.g, r.v] == r.r for r in plain.itertuples())
 
 
+@pytest.mark.parametrize("groups", [["g"], []])
+def test_ranked_rows_equal_plain_ranks(spark, groups):
+    """Narrow values, a value that a third of the rows share, a NULL group, weights."""
+    rows = spark.range(12_000).selectExpr(
+        "id", "if(id % 4 = 0, null, cast(id % 4 as string)) as g", "if(id % 3 = 0, 5.0, 1.7e9 + pmod(xxhash64(id), 4000) * 1e-3) as y", "pmod(xxhash64(id, 1), 50) / 7 as p",
+        "id % 5 + 1 as w",
+    )
+    found = ranked_rows(rows, groups, {"y": "ry", "p": "rp"}, "w").toPandas()
+    assert len(found) == 12_000 and found["id"].is_unique
+    plain = found.loc[found.index.repeat(found["w"])].fillna({"g": ""})
+    by = plain.groupby("g") if groups else plain.groupby(plain["w"] > 0)
+    for value, rank in (("y", "ry"), ("p", "rp")):
+        assert (by[value].rank() == plain[rank]).all()
+    assert (by["y"].transform("size") == plain["n"]).all()
+
+
 def test_rank_correlation_of_a_null_group(spark):
     rows = [(None, float(i), float(i * i)) for i in range(6)] + [("a", float(i), float(-i)) for i in range(6)]
     found = metrics.rank_correlation(spark.createDataFrame(rows, "g string, y double, p double"), ["g"], "y", "p").collect()
