@@ -6,6 +6,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -357,7 +358,7 @@ def test_copies_link_one_to_one(spark):
     assert {r["overlap_ratio"] for r in rows} == {1.0}
 
 
-RINGS = "key string, rings array<array<struct<x: double, y: double>>>"
+KEYED_RINGS = "key string, rings array<array<struct<x: double, y: double>>>"
 
 
 def closed(*rings):
@@ -391,7 +392,7 @@ def common_by_slabs(a, b) -> float:
 
 
 def overlay_pairs(spark, shapes_a, shapes_b, cell):
-    left, right = (spark.createDataFrame(list(s.items()), RINGS) for s in (shapes_a, shapes_b))
+    left, right = (spark.createDataFrame(list(s.items()), KEYED_RINGS) for s in (shapes_a, shapes_b))
     strips = [overlays.shape_strips(df, "key", cell).withColumnRenamed("key", f"{side}_key") for df, side in ((left, "left"), (right, "right"))]
     out = overlays.common_areas(*strips, ["cx", "cy"], ["left_key", "right_key"], ["left_key"], cell)
     areas = {r["key"]: r["area"] for df in (left, right) for r in overlays.shape_areas(df, "key").collect()}
@@ -428,7 +429,7 @@ def test_common_area_whatever_the_cell_and_the_direction_of_rings(spark):
 
 def test_a_cell_inside_a_shape_is_one_strip(spark):
     shape = {"k": closed([(0.05, 0.05), (9.95, 0.05), (9.95, 9.95), (0.05, 9.95)])}
-    strips = overlays.shape_strips(spark.createDataFrame(list(shape.items()), RINGS), "key", 1.0)
+    strips = overlays.shape_strips(spark.createDataFrame(list(shape.items()), KEYED_RINGS), "key", 1.0)
     counts = {(r["cx"], r["cy"]): r["count"] for r in strips.groupBy("cx", "cy").count().collect()}
     assert len(counts) == 100 and all(counts[x, y] == 1 for x in range(1, 9) for y in range(1, 9))
 
