@@ -454,6 +454,26 @@ def test_shapes_below_a_lattice_cell_are_linked(spark):
     assert sum(r["match_method"] == "irwin_exact" for r in linked) == 11
 
 
+def test_copies_of_a_shape_are_overlaid_once(spark):
+    kind = "key string, start_date date, rings array<array<struct<x: double, y: double>>>"
+    square = lambda x: closed([(x, 40), (x + 1, 40), (x + 1, 41), (x, 41)])
+    day = dt.date(2024, 6, 1)
+    a = [(f"a{i}", day, square(-120.0)) for i in range(30)] + [("late", dt.date(2024, 6, 9), square(-120.0))]
+    b = [(f"b{i}", day, square(-119.5)) for i in range(20)]
+    left, right = (spark.createDataFrame(rows, kind) for rows in (a, b))
+    members, classes = linkage._shape_days(left, "left")
+    assert classes.count() == 2 and members.count() == 31
+    got = {(r["left_key"], r["right_key"]): (r["start_diff"], r["overlap_ratio"]) for r in linkage.overlap_ratios(left, right, 2).collect()}
+    assert set(got) == {(f"a{i}", f"b{j}") for i in range(30) for j in range(20)} and set(got.values()) == {(0, 0.5)}
+
+
+def test_wide_shapes_of_few_edges_are_cut_by_wide_cells(spark):
+    ring = lambda n, r: closed([(r * math.cos(2 * math.pi * i / n), r * math.sin(2 * math.pi * i / n)) for i in range(n)])
+    fit = lambda *rings: overlays.fitting_cell(spark.createDataFrame([(str(i), r) for i, r in enumerate(rings)], KEYED_RINGS), 0.05)
+    assert fit(ring(4, 1.0)) == 1.6 and fit(ring(4, 0.01)) == 0.05
+    assert fit(ring(2500, 1.0)) == 0.05
+
+
 def test_points_inside_thin_and_scattered_perimeters(spark):
     box = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
     shapes = {
