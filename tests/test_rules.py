@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from plumeframe.config import Channel, GridSpec, ReductionRules
+from plumeframe.config import Channel, GridSpec, ReductionRules, SampleSettings, SplitDates
 from plumeframe.functions import geo
 from plumeframe.functions import scalars as s
 from plumeframe.operators import graph, grids, incidents, linkage, metrics, models, observations, overlays, overpass, spatial, stability, temporal
@@ -687,3 +687,52 @@ def test_overlap_adds_up_places_and_keeps_cut_days(spark):
     days = fires.select("incident_id", "min_lon", "min_lat", "max_lon", "max_lat", F.date_trunc("day", "start_ts").alias("start_hour"), F.lit(at(3, 23)).alias("end_hour"))
     days = days.withColumn("_day", F.explode(F.sequence(F.to_date("start_hour"), F.to_date("end_hour"))))
     assert {(r["_day"].day, r["n"], bin(r["h"])) for r in reports._day_overlap(points, days).collect()} == {(1, 2, bin(1 << 4 | 1 << 6)), (2, 3, bin(1 << 3 | 1 << 23)), (3, 2, bin(1 << 2 | 1 << 3))}
+
+
+def test_samples_of_one_window_or_box_share_their_patches(spark):
+    grid = GridSpec(-2_400_000.0, -900_000.0, 200_000.0, 200_000.0, 14, 12)
+    day = dt.date(2024, 1, 1)
+    plan = SampleSettings(day, day, SplitDates(day, day, day, day, day, day), grid, (Channel("MASSDEN", "8m_above_ground"),), Channel("MASSDEN", "8m_above_ground"), patch=(3, 3))
+    at = dt.datetime(2024, 1, 1, 6)
+    # The first two boxes hold the same grid cells, the last two are one box.
+    sides = {1: (-610_000.0, -110_000.0, 210_000.0, 510_000.0), 2: (-650_000.0, -150_000.0, 250_000.0, 550_000.0), 3: (0.0, 0.0, 900_000.0, 900_000.0), 4: (0.0, 0.0, 900_000.0, 900_000.0)}
+    boxes = spark.createDataFrame([(i, *b) for i, b in sides.items()], "incident_id long, xmin double, ymin double, xmax double, ymax double")
+    field = [("MASSDEN", "8m", at, iy, ix, float(iy * 100 + ix * ix)) for iy in range(12) for ix in range(14)]
+    fields = spark.createDataFrame(field, "variable string, level string, run_time timestamp, iy int, ix int, value double")
+    needed = spark.createDataFrame([(f"k{i}", i, at, "MASSDEN", "8m") for i in sides], "sample_key string, incident_id long, run_time timestamp, variable string, level string")
+    got = {r["sample_key"]: r["patch"] for r in samples.with_patches(needed, boxes, fields, plan).collect()}
+    assert len(got) == 4 and got["k1"] == got["k2"] and got["k3"] == got["k4"] and got["k1"] != got["k3"]
+
+    rng = random.Random(5)
+    spots = [(i, rng.uniform(-103, -85), rng.uniform(36, 48), float(rng.randint(1, 9)), at) for i in range(300)]
+    points = spark.createDataFrame(spots, "det_id long, lon double, lat double, frp double, hour_utc timestamp")
+    x, y = geo.project("lon", "lat")
+    placed = points.select(x.alias("x"), y.alias("y"), "frp").collect()
+    rasters = {r["sample_key"]: r["patch"] for r in samples.hotspot_patches(needed, boxes, points, plan).collect()}
+    assert len(rasters) == 4
+    for i, (xmin, ymin, xmax, ymax) in sides.items():
+        inside = sum(p["frp"] for p in placed if xmin <= p["x"] <= xmax and ymin <= p["y"] <= ymax)
+        assert inside > 0 and sum(rasters[f"k{i}"]) == inside
+    assert rasters["k3"] == rasters["k4"]
+
+
+def test_baseline_scores_of_shifted_patches(spark):
+    rng = random.Random(8)
+    day = dt.date(2024, 1, 1)
+    plan = SampleSettings(day, day, SplitDates(day, day, day, day, day, day), GRID, (), Channel("MASSDEN", "8m_above_ground"), patch=(4, 4), leads=(12, 24))
+    speed = samples.SPACING_M / (12 * 3600.0)
+    patch = lambda v=None: [float(rng.randint(0, 9)) if v is None else v * speed for _ in range(16)]
+    parts = {("input", "MASSDEN_8m", 0): patch(), ("input", "UGRD_10m", 0): patch(1.0), ("input", "VGRD_10m", 0): patch(-1.0), ("label", "MASSDEN_8m", 12): patch(), ("label", "MASSDEN_8m", 24): patch()}
+    rows = [("k", *name, values) for name, values in parts.items()]
+    tensors = spark.createDataFrame(rows, "sample_key string, kind string, channel string, lead_hours int, patch array<float>")
+    scores = samples.baseline_scores(tensors, plan, (12, 24))
+    got = scores.first()
+    mass = np.array(parts["input", "MASSDEN_8m", 0]).reshape(4, 4)
+    for lead, step in ((12, 1), (24, 2)):
+        truth = np.array(parts["label", "MASSDEN_8m", lead]).reshape(4, 4)
+        moved = np.zeros((4, 4))
+        moved[: 4 - step, step:] = mass[step:, : 4 - step]
+        assert got[f"persistence_mse_t_plus_{lead}h"] == pytest.approx(((mass - truth) ** 2).mean())
+        assert got[f"advection_mse_t_plus_{lead}h"] == pytest.approx(((moved - truth) ** 2).mean())
+    # The means of the wind are columns of their own, not written out inside the shifts.
+    assert scores._jdf.queryExecution().optimizedPlan().toString().count("AS _mean_u") == 1
