@@ -736,3 +736,33 @@ def test_baseline_scores_of_shifted_patches(spark):
         assert got[f"advection_mse_t_plus_{lead}h"] == pytest.approx(((moved - truth) ** 2).mean())
     # The means of the wind are columns of their own, not written out inside the shifts.
     assert scores._jdf.queryExecution().optimizedPlan().toString().count("AS _mean_u") == 1
+
+
+def test_only_incidents_of_the_panel_are_cut_into_cells(spark):
+    box = lambda x0, y0, x1, y1: [[{"x": x, "y": y} for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))]]
+    day = dt.date(2024, 1, 3)
+    # The second box has more cells than a row can list.
+    rows = [(1, 5.0, day, day, 0.0, 0.0, 1.0, 1.0, box(0.0, 0.0, 1.0, 1.0)), (2, 1.0, day, day, -1e9, 0.0, 1e9, 1.0, box(-1e9, 0.0, 1e9, 1.0))]
+    fires = spark.createDataFrame(
+        rows,
+        "incident_id long, size_acres double, start_date date, end_date date, min_lon double, min_lat double, max_lon double, max_lat double, rings array<array<struct<x:double,y:double>>>",
+    )
+    points = spark.createDataFrame([(7, day, 0.5, 0.5), (8, dt.date(2024, 1, 4), 0.5, 0.5)], "det_id long, acq_day date, lon double, lat double")
+    panel = spark.createDataFrame([(1, day)], "incident_id long, day date")
+    out = spatial.assign_points(points, fires, None, "area", panel)
+    assert [tuple(r) for r in out.select("det_id", "incident_id").collect()] == [(7, 1)]
+
+
+def test_cloud_pixels_outside_requested_cells_stay(spark):
+    ring = [[{"x": x, "y": y} for x, y in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0))]]
+    fires = spark.createDataFrame(
+        [(1, 0.0, 0.0, 1.0, 1.0, ring)],
+        "incident_id long, min_lon double, min_lat double, max_lon double, max_lat double, rings array<array<struct<x:double,y:double>>>",
+    )
+    pixels = spark.createDataFrame(
+        [("a", 0.5, 0.5, True), ("a", 0.6, 0.5, False), ("a", 9.5, 0.5, True), ("b", 0.5, 0.5, True)], "granule_key string, lon double, lat double, cloud boolean"
+    )
+    requests = spark.createDataFrame([("a", 1), ("c", 1)], "granule_key string, incident_id long")
+    out = overpass.cloud_fraction(pixels, fires, requests)
+    assert "LeftSemi" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["granule_key"], r["cloud_frac"], r["cloud_pixels"]) for r in out.collect()) == [("a", 0.5, 2), ("c", None, 0)]
