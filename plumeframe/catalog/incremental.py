@@ -18,9 +18,9 @@ from plumeframe.streaming import incremental as live
 def _station_state(spark, sf):
     """Station hours arriving in three files, the second one with repeated hours."""
     source = t.scratch(spark, "hours")
-    hours = stage(two_fields(spark, sf).select("station_id", "hour_utc", "value0", "value1"))
-    parts = ["hour(hour_utc) < 8", "hour(hour_utc) < 16 and hour(hour_utc) >= 6", "hour(hour_utc) >= 16"]
     places = stage(stations(spark, sf))
+    hours = stage(two_fields(spark, sf, places).select("station_id", "hour_utc", "value0", "value1"))
+    parts = ["hour(hour_utc) < 8", "hour(hour_utc) < 16 and hour(hour_utc) >= 6", "hour(hour_utc) >= 16"]
     state = live.state_path(t.scratch(spark, "state"), places, first="MASSDEN", second="COLMD")
     for part in parts:
         # One arrival, one run: the second run skips the hours of the first.

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from plumeframe.functions.scalars import local_day, timestamp_from_minute
 from plumeframe.operators.incidents import latest_index
 from plumeframe.operators.observations import attach_day_means
-from plumeframe.scale import stage
+from plumeframe.scale import stage, stored
 from plumeframe.sources.sinks import table_exists
 
 # ---- station sums ----------------------------------------------------------------------------
@@ -51,6 +51,8 @@ def add_hours(hours: DataFrame, batch_id: int, stations: DataFrame, state: str)
     new = hours.dropDuplicates(["station_id", "hour_utc"])
     if seen is not None:
         new = new.join(seen.select("station_id", "hour_utc"), ["station_id", "hour_utc"], "left_anti")
+    # Read by the sums and by the list of hours.
+    new = stored(new)
     both = new.filter(F.col("value0").isNotNull() & F.col("value1").isNotNull())
     sums = (
         both.join(stations.select("station_id", "timezone"), "station_id")
