@@ -154,6 +154,32 @@ def test_top_k_equals_brute_force(spark):
     assert got == sorted(want, key=str)
 
 
+def test_a_pack_gives_its_best_rows_whatever_the_blocks():
+    rng = np.random.default_rng(4)
+    for scale in (1, 1 << 29):
+        vectors = rng.integers(-3, 4, size=(90, 6)) * scale
+        pivots = pivot_search.choose_pivots(vectors.astype(float), 3)
+        away = np.stack([np.linalg.norm(vectors - p, axis=1) for p in pivots], axis=1)
+        ids = rng.permutation(90).astype(np.int64)
+        query, floors = (ids[:7], vectors[:7], away[:7]), np.full(7, -np.inf)
+        rows, found, scores = pivot_search.best_of_pack(query, (ids, vectors, away), 5, floors, block_rows=8)
+        for i in range(7):
+            best = sorted((-int(s), int(j)) for s, j in zip(vectors @ vectors[i], ids) if j != ids[i])[:5]
+            assert sorted((-int(s), int(j)) for s, j in zip(scores[rows == i], found[rows == i])) == best
+            assert floors[i] == -best[-1][0]
+
+
+def test_a_search_of_few_queries_is_spread_over_tasks(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4)], 0) for i in range(1000)]
+    index = pivot_search.pivot_table(spark.createDataFrame(rows, VECTORS), pivots=4)
+    found = pivot_search.top_k(index, F.col("vec_id") % 100 == 0, k=3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "FlatMapCoGroupsInArrow" in plan
+    lanes = pivot_search._lanes(index, F.col("vec_id") % 100 == 0, 4_096).first()
+    assert lanes["lanes"] * lanes["sides"] > 1 and found.count() == 30
+
+
 def test_fixity_audit_finds_damage_and_loss(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://h/{i}", "<p>" + "x" * (i * 37 % 900)) for i in range(300)] + [(None, None, None), (5, "http://h/5", "<p>" + "x" * 185)], "page_id long, url string, html string")
     records = warc_fixity.warc_records(pages, file_bytes=40_000)
