@@ -529,6 +529,31 @@ def test_a_hot_cell_is_quartered_and_gives_the_same_pairs(spark):
     assert formed[1] < formed[0] / 2
 
 
+def test_cells_of_few_and_of_many_edges_give_the_pairs_of_a_plain_test(spark):
+    day = dt.date(2024, 7, 1)
+    circle = lambda x, y, r, n: [(x + r * math.cos(2 * math.pi * k / n), y + r * math.sin(2 * math.pi * k / n)) for k in range(n)]
+    box = lambda x, y, h: [(x - h, y - h), (x + h, y - h), (x + h, y + h), (x - h, y + h)]
+    outlines = [[circle(-110, 40, 0.7, 60)], [box(-110, 40, 0.5)], [box(-110.25, 40.25, 0.5), box(-110.25, 40.25, 0.25)], [[(-110, 39.5), (-109.5, 40), (-110, 40.5), (-110.5, 40)]], [circle(-110, 40, 0.01, 5)]]
+    shapes = "incident_id long, min_lon double, min_lat double, max_lon double, max_lat double, start_date date, end_date date, rings array<array<struct<x: double, y: double>>>"
+    rows = []
+    for i, rings in enumerate(outlines):
+        xs, ys = zip(*[p for r in rings for p in r])
+        rows.append((i, min(xs), min(ys), max(xs), max(ys), day, day, [closed(r)[0] for r in rings]))
+    fires = spark.createDataFrame(rows, shapes)
+    # A lattice of points, so that many lie on corners, on edges and on the borders of cells.
+    points = spark.createDataFrame([(i * 100 + j, -111 + i / 32, 39 + j / 32, day) for i in range(70) for j in range(70)], "det_id long, lon double, lat double, acq_day date")
+    plain = points.crossJoin(fires.withColumn("_e", geo.ring_edges("rings"))).filter(geo.strictly_inside("lon", "lat", "_e"))
+    want = {(r["det_id"], r["incident_id"]) for r in plain.select("det_id", "incident_id").collect()}
+    for pad in (None, 0):
+        got = [(r["det_id"], r["incident_id"]) for r in spatial.points_in_polygons(points, fires, pad).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    # Cells beside a shape are gone, those that it holds whole and those of few edges carry no list.
+    cells = spatial._prepared_cells(fires, 0.25)
+    assert cells.count() < spatial.incident_cells(fires, None).count()
+    assert cells.filter("_whole").count() > 10 and cells.filter("_whole and _edges is not null").count() == 0
+    assert {r[0] for r in cells.filter("_edges is not null").select("incident_id").distinct().collect()} == {0, 2}
+
+
 def test_proximity_with_incidents_of_all_sizes(spark):
     rng = random.Random(3)
     day = dt.date(2024, 7, 1)
