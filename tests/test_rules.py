@@ -497,6 +497,20 @@ def test_points_inside_thin_and_scattered_perimeters(spark):
     assert all(150 < r["count"] < 250 for r in many) and sum(r["count"] for r in many) == 400
 
 
+def test_spans_of_one_shape_are_those_of_the_scan_and_points_need_no_window(spark):
+    rings = closed([(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (1, 3), (3, 3), (3, 1)], [(10, 10), (10.5, 10), (10, 10.5)])
+    shape = spark.createDataFrame([(1, rings)], "incident_id long, rings array<array<struct<x: double, y: double>>>")
+    want = sorted(tuple(r)[1:] for r in spatial.scan_spans(shape, "incident_id", 50).collect())
+    x, y = (np.array([p[c] for r in rings for p in r]) for c in (0, 1))
+    got = spatial._spans(x, y, np.cumsum([len(r) for r in rings]), 50)
+    assert sorted((r, k, y, a, b) for (r, k, y, a, b, _) in want) == sorted(zip(*(c.tolist() for c in got[:5])))
+    # Spans of all incidents were sorted twice, and each hashed every place.
+    assert "Window" not in spatial.points_inside(shape, 12)._jdf.queryExecution().executedPlan().toString()
+    # Rows of one id share its places, each with its own centre.
+    twice = spatial.points_inside(shape.unionByName(shape), 12)
+    assert sorted(r["i"] for r in twice.collect()) == [0, *range(12)]
+
+
 def test_scan_spans_add_up_to_the_area(spark):
     rings = closed([(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (1, 3), (3, 3), (3, 1)], [(10, 10), (10.5, 10), (10, 10.5)])
     rows = [(1, [[(float(x), float(y)) for x, y in r] for r in rings])]
