@@ -497,6 +497,22 @@ def test_points_inside_thin_and_scattered_perimeters(spark):
     assert all(150 < r["count"] < 250 for r in many) and sum(r["count"] for r in many) == 400
 
 
+def test_first_edges_come_from_a_sort_not_from_a_heap(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, (i * 37) % 1000 // 2) for i in range(1000)], "id int, score int").repartition(5)
+    order = [F.desc("score"), F.asc("id")]
+    want = sorted(((r["id"], r["score"]) for r in rows.collect()), key=lambda r: (-r[1], r[0]))
+    for n in (1, 300, 999, 5000):
+        got = linkage._first_rows(rows, order, n)
+        assert sorted((r["id"], r["score"]) for r in got.collect()) == sorted(want[:n])
+    # No step of the matching plans a limit, whose heap holds all of its rows.
+    plans, staged = [], linkage.stage
+    monkeypatch.setattr(linkage, "stage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or staged(df))
+    edges = spark.createDataFrame([(f"n{i // 2}", f"n{(i + 1) // 2}", 1.0 - i / 100, 0.5, 0) for i in range(60)], "left_key string, right_key string, match_score double, overlap_ratio double, start_diff int")
+    sizes = [edges.select(F.col(f"{s}_key").alias("key")).distinct().withColumn("n", F.lit(1).cast("bigint")) for s in ("left", "right")]
+    linkage.match_greedy(edges, *sizes, fold_rows=25).count()
+    assert len(plans) > 3 and not any("TakeOrderedAndProject" in p for p in plans)
+
+
 def test_spans_of_one_shape_are_those_of_the_scan_and_points_need_no_window(spark):
     rings = closed([(0, 0), (4, 0), (4, 4), (0, 4)], [(1, 1), (1, 3), (3, 3), (3, 1)], [(10, 10), (10.5, 10), (10, 10.5)])
     shape = spark.createDataFrame([(1, rings)], "incident_id long, rings array<array<struct<x: double, y: double>>>")
