@@ -497,6 +497,26 @@ def test_points_inside_thin_and_scattered_perimeters(spark):
     assert all(150 < r["count"] < 250 for r in many) and sum(r["count"] for r in many) == 400
 
 
+def test_wide_boxes_are_copied_into_few_cells(spark):
+    rng = random.Random(6)
+    begin = dt.datetime(2024, 7, 1)
+    windows = [(i, x, y, x + w, y + w, begin, begin + dt.timedelta(hours=30)) for i in range(40) for x, y, w in [(rng.uniform(-120, -117), rng.uniform(38, 40), rng.choice([0.5, 1.0, 3.0]))]]
+    boxes = spark.createDataFrame(windows, "box long, min_lon double, min_lat double, max_lon double, max_lat double, start_hour timestamp, end_hour timestamp")
+    rows = [(i, rng.uniform(-121, -113), rng.uniform(37, 44), begin + dt.timedelta(hours=rng.randrange(-3, 40))) for i in range(400)]
+    points = spark.createDataFrame(rows, "det_id long, lon double, lat double, hour_utc timestamp")
+    want = {(p, b) for p, x, y, t in rows for b, w, s, e, n, t0, t1 in windows if w <= x <= e and s <= y <= n and t0 <= t <= t1}
+    bounds = ("min_lon", "min_lat", "max_lon", "max_lat")
+    for cell in (None, 0.25, 8.0):
+        got = [(r["det_id"], r["box"]) for r in spatial.points_in_boxes(points, boxes, cell=cell).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    wide = spatial._box_wide_cell(boxes, bounds)
+    assert wide == 2.0 or wide == 1.0
+    assert spatial._box_wide_cell(boxes.filter("box < 0"), bounds) == spatial.CELL_DEGREES
+    # No cell width in the call: a box of the mean width lies in a handful of cells, not in dozens.
+    plan = spatial.points_in_boxes(points, boxes)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"/ {wide}" in plan and f"/ {spatial.CELL_DEGREES}" not in plan
+
+
 def test_first_edges_come_from_a_sort_not_from_a_heap(spark, monkeypatch):
     rows = spark.createDataFrame([(i, (i * 37) % 1000 // 2) for i in range(1000)], "id int, score int").repartition(5)
     order = [F.desc("score"), F.asc("id")]
